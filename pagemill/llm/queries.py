@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import oracles, quality_rules, source_mix
+from pagemill.llm import oracles, piece_bpe, quality_rules, source_mix, token_counts
 from pagemill.llm.common import read
 
 
+#: Vocabulary files; a cluster names its own place for them.
+PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
+CONTEXT_TOKENS = 1024
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary(PIECES), F.col("doc_id"))
+    return coded.withColumnRenamed("carried_0", "doc_id")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary(BYTES), F.col("doc_id"), limit=CONTEXT_TOKENS)
+    return counted.withColumnRenamed("carried_0", "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score(read(spark, sf_dir, "documents"), F.col("doc_id"))
     return scored.select(F.col("carried_0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
