@@ -28,6 +28,18 @@ def local_session(cores: int | str = 8, app: str = "pagemill", shuffle_partition
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if named is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-", dir=os.environ.get("TMPDIR")))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package from wherever the driver was started.
+
+    On a cluster the package is shipped with --py-files or installed, and the extra entry of the path is never met.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
