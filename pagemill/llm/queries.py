@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import oracles, piece_bpe, quality_rules, source_mix, token_counts
+from pagemill.llm import oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts
 from pagemill.llm.common import read
 
 
@@ -38,6 +38,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("carried_0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_bk.classes(read(spark, sf_dir, "documents"), F.col("doc_id"))
+    return found.select(F.col("carried_0").alias("doc_id"), simhash_bk.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"), F.col("doc_id"))
     return mixed.select(F.col("carried_0").alias("doc_id"), "size", "source_size", "target", "taken")
