@@ -58,6 +58,15 @@ mixture as (
 """
 
 ORACLES = {
+    "op1_impact_search": """
+        with vectors as (
+          select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+          select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+          from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+        from scored qualify rank <= 20""",
     "op3_quality_rules": f"with {QUALITY_CTES} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from quality",
     "op8_source_mix": f"with {MIX_CTES.replace('MIX_INPUT', 'documents')} select doc_id, size, source_size, target, (copies * size)::bigint as taken from mixture",
 }

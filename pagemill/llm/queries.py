@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts
+from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts
 from pagemill.llm.common import read
 
 
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary(PIECES), F.col("doc_id"))
     return coded.withColumnRenamed("carried_0", "doc_id")
