@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts
+from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts, toxicity
 from pagemill.llm.common import read
 
 
@@ -52,6 +52,14 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("carried_0").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    told = toxicity.scored(docs, model, F.col("doc_id")).withColumnRenamed("carried_0", "doc_id")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return told.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
