@@ -47,7 +47,7 @@ levels as (
   select *, (sum(total) over () - 3 * coalesce(sum(total) over (order by total / weight, skey rows between unbounded preceding and 1 preceding), 0.0))
          / sum(weight) over (order by total / weight, skey rows between current row and unbounded following) as lvl from weighted),
 targets as (
-  select skey, total::bigint as source_size, least(3 * total, coalesce(min(case when not lvl * weight > 3 * total then lvl end) over () * weight, 3 * total)) as target from levels),
+  select skey, total::bigint as source_size, least(3 * total, coalesce(max(case when not lvl * weight > 3 * total then lvl end) over () * weight, 3 * total)) as target from levels),
 placed as (
   select *, row_number() over (partition by skey order by band, bucket, size, mixed, doc_id) as upto from banded),
 rated as (

@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
     The targets are min(most * size, level * weight) for the one level at which they add up to all sizes: that is
     where sharing the excess anew by weight comes to rest. Sorted by size per weight, the sources that stop at
-    their cap are a prefix, so the level follows from running sums.
+    their cap are a prefix; the level follows from running sums and is the largest one whose own source does not stop.
     """
     order = W.orderBy("source")
     turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     level = (F.sum("size").over(everything) - most * F.coalesce(F.sum("size").over(upto), F.lit(0.0))) / F.sum("weight").over(onward)
     capped = ranked.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") > most * F.col("size"))
-    final = F.min(F.when(~F.col("stops"), F.col("level"))).over(everything)
+    final = F.max(F.when(~F.col("stops"), F.col("level"))).over(everything)
     target = F.least(most * F.col("size"), F.coalesce(final * F.col("weight"), most * F.col("size")))
     return capped.select("source", F.col("size").cast("long").alias("source_size"), target.alias("target"))
 
