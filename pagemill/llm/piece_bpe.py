@@ -393,3 +393,26 @@ def round_trip(docs: DataFrame, path: str, *carried: Column, text: str = "text")
             yield pd.concat([frame.drop(columns="text"), done], axis=1)
 
     return named.mapInPandas(run, schema)
+
+
+def encoded_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The columns of `docs` but its text, with ids, n_tokens and whether decoding the ids gives the text back."""
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+    others = [c for c in docs.columns if c != text]
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).alias("text"))
+    made = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+
+    @F.pandas_udf(made)
+    def coded(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path)
+        for s in series:
+            rows, counts, same = [], [], []
+            for texts in batches(s):
+                ids, lengths = enc.encode(texts)
+                same += [a == b for a, b in zip(enc.decode(ids, lengths), texts, strict=True)]
+                rows += np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1])
+                counts += lengths.tolist()
+            yield pd.DataFrame({"ids": pd.Series(rows, dtype=object), "n_tokens": np.array(counts, np.int64), "round_trip": np.array(same, bool)})
+
+    return named.select("row", coded("text").alias("coded")).select("row.*", "coded.*")
