@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import packed, word_count
+from pagemill.session import ensure_checkpoint_dir
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -77,7 +78,9 @@ def mix(docs: DataFrame, *carried: Column, weights: Sequence[int] = WEIGHTS, mos
     bucket = F.floor(F.col("mixed") / F.lit(2**32 // BUCKETS))
     rows = rows.select(*kept_names, "source", "key", "size", "mixed", band.cast("long").alias("band"), bucket.cast("long").alias("bucket"))
 
-    cells = rows.groupBy("source", "band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    # Counted once: without the cut every branch below would read the texts again.
+    ensure_checkpoint_dir(docs.sparkSession)
+    cells = rows.groupBy("source", "band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).checkpoint()
     bands = cells.groupBy("source", "band").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     totals = bands.groupBy("source").agg(F.sum("words").alias("source_size"))
     earlier_bands = W.partitionBy("source").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
