@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import ensure_checkpoint_dir
+
 #: A word is a run of characters other than these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +27,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """`rows` written as Parquet to the shared checkpoint folder and read back, so that Spark knows their size."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def packed(rows: DataFrame, name: str = "row") -> Column:
     """All columns of `rows` as one struct, so that working columns never clash with names of the input."""
     return F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, source_mix, token_counts, toxicity
+from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity
 from pagemill.llm.common import read
 
 
@@ -47,6 +47,12 @@ def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("carried_0").alias("doc_id"), simhash_bk.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op6_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = site_style.extract(read(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
+    named = texts.withColumnsRenamed({"carried_0": "page_id", "carried_1": "url"})
+    return named.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"), F.col("doc_id"))
     return mixed.select(F.col("carried_0").alias("doc_id"), "size", "source_size", "target", "taken")
