@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pagemill.llm.licence_digests import COPYRIGHT_LINE, LICENCES, SPELLINGS
 from pagemill.llm.quality_rules import RULES, STOP_WORDS
+from pagemill.llm.warc_revisits import TRACKING
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,7 +59,53 @@ mixture as (
   select *, greatest(0, least(floor(upto * rate + shift) - floor((upto - 1) * rate + shift), 3))::bigint as copies from rated)
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda c: not regexp_matches(c, {_quoted(COPYRIGHT_LINE)})), ' ')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    return rf"sha256(trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in LICENCES.items() for text in texts)
+LICENCE_SQL = f"""
+with known as (select digest, min(licence_id) as licence_id from (select licence_id, {_canonical('body')} as digest from (values {_KNOWN}) as v(licence_id, body)) group by digest),
+rows as (select row_number() over () as rid, doc_id, text, {_canonical('text')} as digest from documents),
+lines as (select distinct rid, {_canonical('line')} as d from (select rid, unnest(string_split(coalesce(text, ''), chr(10))) as line from rows) where length(line) between 1 and 400),
+notices as (select rid, string_agg(distinct licence_id, ',' order by licence_id) as notices from lines join known on d = digest group by rid)
+select doc_id, digest, licence_id, coalesce(notices, '') as notices from rows left join known using (digest) left join notices using (rid)"""
+
+_PLAIN = "regexp_replace(trim(url), '#.*$', '')"
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
+REVISIT_SQL = rf"""
+with parts as (
+  select page_id as n, url, coalesce(html, '') as html,
+         regexp_replace(regexp_replace(lower(regexp_extract({_PLAIN}, '{_SCHEME}([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') as host,
+         regexp_replace(regexp_extract({_PLAIN}, '{_SCHEME}[^/?]*([^?]*)', 1), '(/index\.html?|/)$', '') as path,
+         list_sort(list_filter(string_split(regexp_extract({_PLAIN}, '\?(.*)$', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(q), '{TRACKING}'))) as kept
+  from pages where page_id is not null and url is not null),
+keyed as (
+  select n, url, '"' || substr(md5(html), 1, 16) || '"' as tag, length(html) as size, n * 60 as t, n * 60 + (n % 5 + 1) * 86400 + 30 as later,
+         case when host <> '' then host || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as key from parts),
+met as (
+  select v.n, v.url, v.later, v.tag, r.n as rn, r.tag as rtag, r.size
+  from keyed v left join keyed r on v.key = r.key and r.t < v.later
+  qualify row_number() over (partition by v.n order by r.t desc nulls last, 'r' || r.n desc) = 1),
+judged as (
+  select *, case when rn is null then 'no_response' when n % 7 = 0 then 'mismatch' when n % 5 <> 0 then case when tag = rtag then 'resolved' else 'mismatch' end
+                 when n % 30 = rn % 30 then 'resolved' else 'mismatch' end as outcome from met)
+select 'v' || n as revisit_id, url, make_timestamp((1704067200 + later) * 1000000) as time, outcome,
+       case when outcome = 'resolved' then 'r' || rn end as response_id,
+       case when outcome = 'resolved' then array_to_string(list_sort(['cache-control: max-age=600', 'content-length: ' || size, 'content-type: text/html',
+            'etag: ' || case when n % 5 <> 0 then 'W/' || tag else rtag end, 'last-modified: day ' || (n % 30), 'x-seen: ' || (n % 3)]), chr(10)) end as headers
+from judged"""
+
 ORACLES = {
+    "op7_licence_digests": LICENCE_SQL,
+    "op9_warc_revisits": REVISIT_SQL,
     "op1_impact_search": """
         with vectors as (
           select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings

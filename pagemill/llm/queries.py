@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import impact_search, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity
+from pagemill.llm import impact_search, licence_digests, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
 from pagemill.llm.common import read
 
 
@@ -53,11 +53,22 @@ def op6_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_digests.scan(read(spark, sf_dir, "documents"), F.col("doc_id"))
+    return found.select(F.col("carried_0").alias("doc_id"), "digest", "licence_id", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"), F.col("doc_id"))
     return mixed.select(F.col("carried_0").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = warc_revisits.captures(read(spark, sf_dir, "pages"))
+    records = raw.select(*[c.alias(n) for n, c in warc_revisits.parse(F.col("raw")).items()])
+    return warc_revisits.resolve(records).withColumn("headers", warc_revisits.header_text(F.col("headers")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
