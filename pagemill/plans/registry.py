@@ -1,21 +1,311 @@
-"""The named queries and their SQL twins."""
+"""The named queries over the given tables and their SQL twins.
+
+A document stands for a page: its source is the book, its language the author, its id the image. Its paragraphs end at single
+line ends. Conversations stand for short books, whose turns are pages in order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from pagemill.functions import fuzzy as Z
+from pagemill.functions import text as X
+from pagemill.operators import capture, catalog, chunking, index, resolve, retrieval
+from pagemill.plans import audit
+from pagemill.plans.oracles import ORACLES
+from pagemill.sources import books
 from pagemill.sources.tables import table
 
+TOP = 20
+PROBE_TERMS = 6
+PARAGRAPH = r"\n+"
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.concat("source", F.lit(".md")).alias("book_file"), F.col("source").alias("book_title"), F.col("lang").alias("author"), F.lit("").alias("year"), F.format_string("%d.jpeg", "doc_id").alias("image"), F.lit(None).cast("string").alias("page"), F.col("doc_id").alias("position"), "text")
+
+
+def pages_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk a document, for the queries whose SQL twin has no folds."""
+    return units(spark, sf_dir).withColumn("id", F.col("position"))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    return index.build_index(pages_as_chunks(spark, sf_dir), "text", "author", "book_title")
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each benchmark item: its first content terms."""
+    terms = F.slice(X.query_terms(F.col("text")), 1, PROBE_TERMS)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(terms, " ").alias("query"))
+
+
+def _rounded(ranking: DataFrame) -> DataFrame:
+    return ranking.select("query_id", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def lexical_topk(spark, sf_dir):
+    return _rounded(retrieval.lexical(document_index(spark, sf_dir), probes(spark, sf_dir), TOP))
+
+
+def coverage_topk(spark, sf_dir):
+    return _rounded(retrieval.coverage(document_index(spark, sf_dir), probes(spark, sf_dir), TOP))
+
+
+def fuzzy_topk(spark, sf_dir):
+    return _rounded(retrieval.fuzzy(document_index(spark, sf_dir), probes(spark, sf_dir), TOP))
+
+
+def rrf_fusion(spark, sf_dir):
+    ix, asked = document_index(spark, sf_dir), probes(spark, sf_dir)
+    both = retrieval.fused([retrieval.lexical(ix, asked, TOP), retrieval.coverage(ix, asked, TOP)])
+    return both.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def term_stats(spark, sf_dir):
+    return document_index(spark, sf_dir).terms.where("cf >= 2")
+
+
+def hybrid_search(spark, sf_dir):
+    """Three lexical channels, fused, re-scored by the stand-in scorer, diversified and cited."""
+    chunks = chunking.chunk_units(units(spark, sf_dir), PARAGRAPH)
+    windows = chunking.chunk_windows(chunks, PARAGRAPH)
+    ix, asked = index.build_index(chunks, "text", "author", "book_title"), probes(spark, sf_dir)
+    merged = retrieval.fused([retrieval.lexical(ix, asked), retrieval.coverage(ix, asked), retrieval.fuzzy(ix, asked)])
+    best = retrieval.diversified(retrieval.reranked(merged, asked, windows), chunks, k=5)
+    told = best.join(chunks, "id").join(asked, "query_id")
+    cited = X.citation(F.col("author"), F.col("book_title"), F.col("book_file"), F.col("year"), F.col("image"), F.col("page"))
+    return told.select("query_id", "rank", F.bround("score", 4).alias("score"), cited.alias("citation"), retrieval.excerpt(F.col("text"), F.col("query")).alias("excerpt"), "id")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id")
+    return hybrid_search(spark, sf_dir)
+
+
+def _centroids(spark, sf_dir):
+    """A query vector for each label: the mean of its vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    mean = rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    return mean.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+
+
+def dense_topk(spark, sf_dir):
+    hits = retrieval.dense_hits(table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir), TOP, key="vec_id", vector="embedding")
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def dense_maxpool(spark, sf_dir):
+    windows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).alias("chunk_id"), F.col("embedding").alias("vec"))
+    pooled = retrieval.dense(windows, _centroids(spark, sf_dir), TOP)
+    return pooled.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def recall_by_label(spark, sf_dir):
+    hits = dense_topk(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    first = hits.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("query_id"), F.col("rank"))).alias("first_rank"))
+    return audit.recall_mrr(first)
+
+
+def exact_dedup(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.format_string("%d.jpeg", "doc_id").alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    found = resolve.exact_duplicates(files)
+    return found.select("sha256", "canonical", F.array_join("dropped", ",").alias("dropped"), "n")
+
+
+def duplicate_passages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.substring("text", 1, 200).alias("passage")).agg(F.countDistinct("doc_id").alias("n")).where("n > 1")
+
+
+def benchmark_containment(spark, sf_dir):
+    """Documents that hold a benchmark text whole: they meet on its first eight words, then the text decides."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), X.tokens(F.col("text")).alias("w"))
+    key = lambda w, at: F.array_join(F.slice(w, at, 8), " ")
+    heads = b.where("size(w) >= 8").select("item_id", "item", key(F.col("w"), 1).alias("head"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.tokens(F.col("text")).alias("w")).where("size(w) >= 8")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: key(F.col("w"), i)))
+    met = d.select("doc_id", "text", F.explode(runs).alias("head")).join(heads, "head")
+    return met.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+
+
+def page_quality(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.text_quality(t).alias("quality"), X.is_runaway(t).alias("runaway"), X.letters(t).alias("letters"))
+
+
+def shot_types(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.shot_type(F.col("text")).alias("type"))
+
+
+def metadata_fields(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.isbn(t).alias("isbn"), X.year(t).alias("year"), X.publisher(t).alias("publisher"), X.call_number(t).alias("call_number"))
+
+
+def running_headers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.running_header(F.col("text")).alias("header"), F.array_join(X.page_numbers(F.col("text")).cast("array<string>"), ",").alias("page_numbers"))
+
+
+def plain_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.markdown_to_text(F.col("text")).alias("plain"), X.normalized(F.col("text")).alias("normalized"))
+
+
+def prompt_echo(spark, sf_dir):
+    """Documents that hold a line of forty characters and more of any benchmark text: lines meet lines."""
+    marks = table(spark, sf_dir, "benchmark").select(F.explode(X.lines(F.col("text"))).alias("line")).where(F.length("line") >= 40).distinct()
+    told = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.lines(F.col("text"))).alias("line"))
+    return told.join(marks, "line", "left_semi").select("doc_id").distinct()
+
+
+def capture_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"))
+    return capture.capture_order(e, "user_id", "event_id", "ts").select("event_id", "user_id", F.col("capture_no").cast("long").alias("capture_no"))
+
+
+def session_books(spark, sf_dir):
+    e = capture.sessions(table(spark, sf_dir, "events"), "user_id", "event_id", "ts")
+    return e.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def session_windows(spark, sf_dir):
+    """The same sessions by time alone, through Spark's session windows."""
+    e = table(spark, sf_dir, "events")
+    found = e.groupBy("user_id", F.session_window("ts", "21600 seconds")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return found.select("user_id", "n", "first_ts", "last_ts")
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.format_string("book_%d.md", "conv_id").alias("book_file"), F.format_string("IMG_%04d.jpeg", "turn").alias("image"), F.col("turn").alias("position"), "role", "text")
+
+
+def neighbour_pages(spark, sf_dir):
+    """For each book the page after its system turn, with one page on either side."""
+    turns = _turns(spark, sf_dir)
+    hits = turns.where("role = 'user'").groupBy("book_file").agg(F.min("image").alias("image"))
+    return catalog.neighbours(turns.select("book_file", "image"), hits, 1).select("book_file", "image", "hit")
+
+
+def merge_tiny(spark, sf_dir):
+    return chunking.merge_tiny(_turns(spark, sf_dir)).select("book_file", "position", "image", "text")
+
+
+def book_round_trip(spark, sf_dir):
+    """Turns written as book Markdown and parsed back into page units."""
+    t = _turns(spark, sf_dir).select(F.col("book_file").alias("book_id"), F.col("book_file").alias("title"), F.lit("").alias("author"), F.lit("1999").alias("year"), "image", F.col("position").cast("string").alias("page"), "position", "text")
+    written = books.book_markdown(t).select(F.col("book_id").alias("book_file"), F.col("markdown").alias("raw"))
+    return books.parse_books(written).select("book_file", "book_title", "year", "image", "page", "text")
+
+
+def group_shots(spark, sf_dir):
+    """Conversations as rolls of shots: system turns are covers, the others pages."""
+    t = table(spark, sf_dir, "conversations")
+    role = F.when(F.col("role") == "system", "meta").otherwise("body")
+    shots = t.select(
+        F.col("conv_id").alias("roll"), F.format_string("IMG_%04d.jpeg", "turn").alias("image"), F.when(F.col("role") == "system", "COVER").otherwise("PAGE").alias("type"), role.alias("role"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 9000).cast("timestamp_ntz").alias("time"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+        F.lit(None).cast("string").alias("cover_title"), F.lit("").alias("metadata"), F.col("text").alias("ocr_text"), F.col("text").alias("raw_md"), X.page_numbers(F.col("text")).alias("page_numbers"),
+    )
+    return capture.group_shots(shots)
+
+
+def split_parts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunking.split_long(F.coalesce("text", F.lit("")), paragraph=PARAGRAPH)).alias("part", "text"))
+
+
+def window_parts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunking.split_windows(F.coalesce("text", F.lit("")), paragraph=PARAGRAPH)).alias("ord", "text"))
+
+
+def books_listing(spark, sf_dir):
+    return catalog.books_listing(units(spark, sf_dir))
+
+
+def catalog_summary(spark, sf_dir):
+    return catalog.catalog_summary(units(spark, sf_dir))
+
+
+def scope_books(spark, sf_dir):
+    return retrieval.scope_books(units(spark, sf_dir), "SRC1 fr")
+
+
+def catalog_diff(spark, sf_dir):
+    """An index run after which Spanish pages are new, French ones changed and German ones gone."""
+    d = table(spark, sf_dir, "documents")
+    sha = F.sha1(F.coalesce("text", F.lit("")))
+    old = d.where("lang <> 'es'").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", F.lit("old")).otherwise(sha).alias("content_sha"))
+    new = d.where("lang <> 'de'").select(F.col("doc_id").alias("id"), sha.alias("content_sha"))
+    return catalog.catalog_diff(old, new).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kind = X.shot_type(F.col("text"))
+    role = F.when(kind.isin("COVER", "IMPRINT"), "meta").otherwise("body")
+    shots = d.select("doc_id", "text", role.alias("role"))
+    emitted = (F.col("role") == "body") | audit.recovered_body(F.col("role"), F.col("text")).isNotNull()
+    reason = audit.coverage_reason(emitted, F.col("role"), F.col("text"))
+    return audit.coverage_summary(shots.select(reason.alias("reason"), F.length("text").cast("long").alias("chars")))
+
+
+def doctor_report(spark, sf_dir):
+    chunks = units(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec"), F.lit("m").alias("vec_model"), F.lit("window").alias("text"))
+    return audit.doctor(chunks, e, model="m")
+
+
+def probe_candidates(spark, sf_dir):
+    return audit.probe_candidates(pages_as_chunks(spark, sf_dir), document_index(spark, sf_dir).terms)
+
+
+def probe_recall(spark, sf_dir):
+    """Every book's own probe, asked of the any-term channel: recall and mean reciprocal rank."""
+    chunks, ix = pages_as_chunks(spark, sf_dir), document_index(spark, sf_dir)
+    asked = audit.probe_candidates(chunks, ix.terms).select(F.col("id").alias("query_id"), "query", F.col("book_file").alias("book"), F.format_string("%d.jpeg", "id").alias("image"), F.lit(None).cast("string").alias("page"))
+    return audit.recall_mrr(audit.first_hits(retrieval.lexical(ix, asked, 5), asked, chunks))
+
+
+def _page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("position"), F.format_string("page_%d", "page_id").alias("work"), F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1).alias("title"))
+
+
+def title_candidates(spark, sf_dir):
+    works = _page_titles(spark, sf_dir).withColumn("isbn", F.lit("")).withColumn("call", F.lit(""))
+    return resolve.title_candidates(works)
+
+
+def bibliography_match(spark, sf_dir):
+    """Page titles against a bibliography of the documents' openings."""
+    works = _page_titles(spark, sf_dir).select("work", F.lit("").alias("isbn"), F.array("title").alias("titles"))
+    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.lit("BOOK").alias("type"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("container"), F.lit("").alias("isbn"))
+    return resolve.match_bibliography(works, entries)
+
+
+def turn_similarity(spark, sf_dir):
+    """How much each turn repeats the turn before it."""
+    c = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    told = c.select("conv_id", "turn", X.normalized(F.col("text")).alias("now"), X.normalized(before).alias("before")).where("turn > 0")
+    return told.select("conv_id", "turn", F.bround(Z.similarity(F.col("now"), F.col("before")), 4).alias("similarity"))
+
+
+_QUERIES = (
+    lexical_topk, coverage_topk, fuzzy_topk, rrf_fusion, term_stats, hybrid_search, dense_topk, dense_maxpool, recall_by_label, exact_dedup, duplicate_passages, benchmark_containment, page_quality, shot_types,
+    metadata_fields, running_headers, plain_text, prompt_echo, capture_order, session_books, session_windows, neighbour_pages, merge_tiny, book_round_trip, group_shots, split_parts, window_parts,
+    books_listing, catalog_summary, scope_books, catalog_diff, coverage_summary, doctor_report, probe_candidates, probe_recall, title_candidates, bibliography_match, turn_similarity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
