@@ -11,12 +11,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 TITLE_RATIO = 0.6
 CONTAINED_LEAST = 6
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """The matcher's ratio of two strings; not symmetric, and null for nulls."""
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
@@ -37,7 +38,7 @@ def titles_match(a: str | None, b: str | None) -> bool:
     return difflib.SequenceMatcher(None, a, b).ratio() >= TITLE_RATIO
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def same_title(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([titles_match(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 

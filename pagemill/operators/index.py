@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import index_terms
+from pagemill.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -20,13 +21,20 @@ class TextIndex:
     totals: DataFrame
 
 
-def build_index(chunks: DataFrame, *columns: str | Column, key: str = "id") -> TextIndex:
-    """Index of the given text columns together; counts are added up where the rows are before anything moves."""
+def build_index(chunks: DataFrame, *columns: str | Column, key: str = "id", stored: bool = True) -> TextIndex:
+    """Index of the given text columns together; counts are added up where the rows are before anything moves.
+
+    A stored index is written once to the checkpoint folder, so that several channels and their statistics do not tokenise the
+    corpus again.
+    """
     texts = [F.col(c) if isinstance(c, str) else c for c in columns]
     words = F.flatten(F.array(*[index_terms(c) for c in texts]))
     told = chunks.select(F.col(key).alias("id"), words.alias("words"))
     postings = told.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
     lengths = told.select("id", F.size("words").cast("long").alias("dl"))
+    if stored:
+        ensure_checkpoint_dir(chunks.sparkSession)
+        postings, lengths = postings.checkpoint(), lengths.checkpoint()
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return TextIndex(postings, lengths, terms, totals)

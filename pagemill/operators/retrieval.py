@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pagemill.functions.text import query_terms
 from pagemill.operators.index import TextIndex
@@ -73,6 +74,15 @@ def coverage(index: TextIndex, queries: DataFrame, n: int = POOL) -> DataFrame:
     return ranked(bm25(index, terms_of(queries), all_terms=True), n)
 
 
+def _letter_counts(words: Sequence[str]) -> np.ndarray:
+    """How often each letter occurs in each word; rarer characters share counters, which keeps the bound a bound."""
+    counts = np.zeros((len(words), 64), np.int16)
+    for i, word in enumerate(words):
+        for c in word:
+            counts[i, ord(c) & 63] += 1
+    return counts
+
+
 def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least: float = VARIANT_RATIO, count: int = VARIANT_COUNT) -> DataFrame:
     """(term, variant): up to `most` indexed terms that match each wanted term (term) best, ties to the larger string."""
     asked = [r["term"] for r in wanted.select("term").distinct().limit(MOST_QUERIES * 16 + 1).collect()]
@@ -81,20 +91,15 @@ def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            words = frame["term"].to_numpy()
+            held, sizes = _letter_counts(words), np.array([len(w) for w in words])
             rows = []
-            by_size: dict[int, list[str]] = {}
-            for word in frame["term"]:
-                by_size.setdefault(len(word), []).append(word)
-            for term in asked:
-                matcher = difflib.SequenceMatcher()
-                matcher.set_seq2(term)
-                for size, words in by_size.items():
-                    if 2 * min(size, len(term)) < least * (size + len(term)):
-                        continue
-                    for word in words:
-                        matcher.set_seq1(word)
-                        if matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
-                            rows.append((term, word, r))
+            for term, own in zip(asked, _letter_counts(asked), strict=True):
+                # The ratio is at most twice the letters in common over all letters.
+                common = np.minimum(held, own[None, :]).sum(axis=1)
+                for i in np.flatnonzero(2 * common >= least * (sizes + len(term))):
+                    if (r := difflib.SequenceMatcher(None, words[i], term).ratio()) >= least:
+                        rows.append((term, words[i], r))
             yield pd.DataFrame(rows, columns=["term", "variant", "ratio"]).astype({"term": object, "variant": object, "ratio": float})
 
     near = index.terms.where(F.col("cf") >= count).select("term").mapInPandas(run, "term string, variant string, ratio double")
@@ -163,7 +168,7 @@ def fused(rankings: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
 Scorer = Callable[[Column, Column], Column]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_score(queries: pd.Series, texts: pd.Series) -> pd.Series:
     """Stand-in for a cross-encoder: the share of the query's words that the text has, less a little for its length."""
     out = []

@@ -17,6 +17,7 @@ from pagemill.functions import text as X
 from pagemill.operators import capture, catalog, chunking, index, resolve, retrieval
 from pagemill.plans import audit
 from pagemill.plans.oracles import ORACLES
+from pagemill.session import ensure_checkpoint_dir
 from pagemill.sources import books
 from pagemill.sources.tables import table
 
@@ -35,8 +36,8 @@ def pages_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).withColumn("id", F.col("position"))
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
-    return index.build_index(pages_as_chunks(spark, sf_dir), "text", "author", "book_title")
+def document_index(spark: SparkSession, sf_dir: str, stored: bool = True) -> index.TextIndex:
+    return index.build_index(pages_as_chunks(spark, sf_dir), "text", "author", "book_title", stored=stored)
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +69,13 @@ def rrf_fusion(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    return document_index(spark, sf_dir).terms.where("cf >= 2")
+    return document_index(spark, sf_dir, stored=False).terms.where("cf >= 2")
 
 
 def hybrid_search(spark, sf_dir):
     """Three lexical channels, fused, re-scored by the stand-in scorer, diversified and cited."""
-    chunks = chunking.chunk_units(units(spark, sf_dir), PARAGRAPH)
+    ensure_checkpoint_dir(spark)
+    chunks = chunking.chunk_units(units(spark, sf_dir), PARAGRAPH).checkpoint()
     windows = chunking.chunk_windows(chunks, PARAGRAPH)
     ix, asked = index.build_index(chunks, "text", "author", "book_title"), probes(spark, sf_dir)
     merged = retrieval.fused([retrieval.lexical(ix, asked), retrieval.coverage(ix, asked), retrieval.fuzzy(ix, asked)])

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.functions.text import lines, strip, yaml_value
 
-PAGE_RECORD = T.StructType.fromDDL(
+PAGE_RECORD = (
     "image string, type string, role string, rotation int, orient_passes int, orient_probes int, text_score int, quality double, "
     "pass_stats struct<seconds: double, prompt_tokens: int, generation_tokens: int, prompt_tps: double, generation_tps: double, finish_reason: string>, "
     "figures array<string>, raw_md string, ocr_text string, cover_title string, metadata string, running_header string, page_numbers array<int>, "
@@ -21,7 +20,7 @@ PAGE_HEADING = r"(?i)^###\s+Page\s+(\S+)"
 
 def read_page_records(spark: SparkSession, path: str, model: str | None = None, prompt_version: str | None = None) -> DataFrame:
     """Page records of JSON files, one a file; broken files are left out, and so are those of another model or prompt."""
-    rows = spark.read.schema(T.StructType([*PAGE_RECORD.fields, T.StructField("_broken", T.StringType())])).option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).json(path)
+    rows = spark.read.schema(PAGE_RECORD + ", _broken string").option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).json(path)
     kept = rows.where("_broken is null and image is not null").drop("_broken")
     for name, wanted in (("model", model), ("prompt_version", prompt_version)):
         if wanted is not None:
