@@ -86,9 +86,12 @@ def parse_ris(raw: DataFrame) -> DataFrame:
     pairs = F.transform(tagged, lambda x: F.struct(F.substring(x, 1, 2).alias("tag"), strip(F.regexp_replace(x, r"^[A-Z][A-Z0-9]\s+-\s?", "")).alias("value")))
     rows = told.withColumn("pairs", pairs)
 
+    def tagged_as(tag: str) -> Column:
+        return F.transform(F.filter("pairs", lambda p: p["tag"] == tag), lambda p: p["value"])
+
     def values(*tags: str) -> Column:
         """The values of the first of the tags that occurs."""
-        lists = [F.transform(F.filter("pairs", lambda p, t=t: p["tag"] == t), lambda p: p["value"]) for t in tags]
+        lists = [tagged_as(t) for t in tags]
         return F.coalesce(*[F.when(F.size(v) > 0, v) for v in lists], F.array().cast("array<string>"))
 
     first = lambda *tags: F.coalesce(F.get(values(*tags), F.lit(0)), F.lit(""))
