@@ -150,31 +150,33 @@ def _matrix(sample: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, np.nd
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rates by class, correlations) of a binary vote matrix, by expectation maximisation.
+    """(posterior, rates by class, correlations) of a binary vote matrix, by expectation maximisation from given labels.
 
     A voter that does not fire abstains and says nothing. Votes are independent given the class up to the correlations of
     their residuals; a voter's log-likelihood ratio is divided by one plus the sum of its positive correlations, so that
-    voters who say the same thing count about once.
+    voters who say the same thing count about once. Evidence that only fires for one class can pull all rows into it, so
+    the rounds end where the posterior begins to leave the labels, and the round nearest to them is kept.
     """
     posterior = start.astype(float)
-    rates, correlations = np.zeros((2, votes.shape[1])), np.zeros((votes.shape[1],) * 2)
+    kept, nearest = None, np.inf
     for _ in range(rounds):
         share = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
         sides = np.stack([1 - posterior, posterior])
         rates = (sides @ votes + 0.5) / (sides.sum(axis=1, keepdims=True) + 1)
-        expected = sides.T @ rates
-        residual = votes - expected
+        residual = votes - sides.T @ rates
         spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
         correlations = residual.T @ residual / len(votes) / spread[:, None] / spread[None, :]
         np.fill_diagonal(correlations, 0)
         worth = 1 / (1 + np.clip(correlations, 0, None).sum(axis=0))
         logit = np.log(share / (1 - share)) + votes @ (np.log(rates[1] / rates[0]) * worth)
         fresh = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(fresh - posterior).max() < 1e-4:
-            posterior = fresh
+        gap, moved = np.abs(fresh - (start > 0.5)).mean(), np.abs(fresh - posterior).max()
+        if gap < nearest:
+            kept, nearest = (fresh, rates, correlations), gap
+        if moved < 1e-4 or gap > 1.5 * nearest + 1e-3:
             break
         posterior = fresh
-    return posterior, rates, correlations
+    return kept
 
 
 def _linear(owner: np.ndarray, hit: np.ndarray, target: np.ndarray, size: int, rounds: int = 800, decay: float = 0.1) -> tuple[float, np.ndarray]:
