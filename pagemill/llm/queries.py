@@ -64,8 +64,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = warc_revisits.captures(read(spark, sf_dir, "pages"))
-    records = raw.select(*[c.alias(n) for n, c in warc_revisits.parse(F.col("raw")).items()])
+    records = warc_revisits.parsed(warc_revisits.captures(read(spark, sf_dir, "pages")))
     return warc_revisits.resolve(records).withColumn("headers", warc_revisits.header_text(F.col("headers")))
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.session import ensure_checkpoint_dir
+
 DAY = 86_400
 # Fields that an answer without a body must not change.
 FIXED_HEADERS = ("connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -47,21 +49,20 @@ def headers(block: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def parse(raw: Column) -> dict[str, Column]:
-    """The columns that `resolve` reads, from one whole WARC record: its own header block, the HTTP header block, a body."""
-    own = F.regexp_extract(raw, r"(?s)\A(.*?)\r?\n\r?\n", 1)
-    http = F.regexp_extract(raw, r"(?s)\A.*?\r?\n\r?\n(.*?)(\r?\n\r?\n|\z)", 1)
-    warc = headers(own)
-    status = F.regexp_extract(http, r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    return {
-        "record_id": warc["warc-record-id"],
-        "url": warc["warc-target-uri"],
-        "time": F.to_timestamp_ntz(F.regexp_replace(warc["warc-date"], "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-        "kind": warc["warc-type"],
-        "profile": warc["warc-profile"],
-        "status": F.when(status != "", status.cast("int")),
-        "headers": headers(http),
-    }
+def parsed(records: DataFrame, raw: str = "raw") -> DataFrame:
+    """The columns that `resolve` reads, from whole WARC records: their own header block, the HTTP header block, a body.
+
+    A record is split once, at its first two blank lines; every further step is a projection of its own, so that no block is
+    parsed for each field anew.
+    """
+    parts = records.select(F.split(raw, r"\r?\n\r?\n", 3).alias("parts"))
+    blocks = parts.select(headers(F.col("parts")[0]).alias("warc"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("http"))
+    status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
+    warc = F.col("warc")
+    return blocks.select(
+        warc["warc-record-id"].alias("record_id"), warc["warc-target-uri"].alias("url"), F.try_to_timestamp(F.regexp_replace(warc["warc-date"], "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("time"),
+        warc["warc-type"].alias("kind"), warc["warc-profile"].alias("profile"), F.when(status != "", status.cast("int")).alias("status"), headers(F.col("http")).alias("headers"),
+    )
 
 
 def _tag(value: Column) -> Column:
@@ -73,7 +74,10 @@ def resolve(records: DataFrame) -> DataFrame:
     revisit_id, url, time, outcome, response_id and merged headers (null unless resolved)."""
     revisit = (F.col("kind") == "revisit") & F.coalesce(F.col("profile").contains("server-not-modified"), F.lit(False))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    known = records.select("record_id", "time", "headers", canonical_url(F.col("url")).alias("key"), "url", revisit.alias("revisit"), full.alias("full")).where("revisit or full")
+    # Kept without bodies, once: the branches below would else parse all records again, and a filter would work the fields out twice.
+    ensure_checkpoint_dir(records.sparkSession)
+    told = records.select("record_id", "time", "headers", canonical_url(F.col("url")).alias("key"), "url", revisit.alias("revisit"), full.alias("full"))
+    known = told.checkpoint().where("revisit or full")
     lost = known.where("revisit and (key is null or time is null)").withColumn("found", F.lit(None))
     usable = known.where("key is not null and time is not null").withColumn("seconds", F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1_000_000.0)).withColumn("day", F.floor(F.col("seconds") / DAY))
     stored = F.when(F.col("full"), F.struct("time", "record_id", "headers"))

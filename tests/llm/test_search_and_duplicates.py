@@ -179,5 +179,11 @@ def test_revisits(spark):
 
 def test_records_are_parsed_from_raw_bytes(spark):
     raw = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: http://e.org/\r\nWARC-Date: 2024-01-01T00:00:05Z\r\n\r\nHTTP/1.1 200 OK\r\nETag: \"1\"\r\nX: 1\r\nX: 2\r\n\r\nbody\r\n\r\nETag: no"
-    row = spark.createDataFrame([(raw,)], "raw string").select(*[c.alias(n) for n, c in warc_revisits.parse(F.col("raw")).items()]).first()
+    row = warc_revisits.parsed(spark.createDataFrame([(raw,)], "raw string")).first()
     assert row["record_id"] == "<a>" and row["status"] == 200 and row["headers"] == {"etag": '"1"', "x": "2"} and str(row["time"]) == "2024-01-01 00:00:05"
+
+
+def test_broken_records_are_no_records(spark):
+    raw = [None, "", "WARC/1.0", "WARC/1.0\r\nWARC-Date: never\r\n\r\n", "x" * 100_000]
+    rows = warc_revisits.parsed(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    assert rows.count() == 5 and warc_revisits.resolve(rows).collect() == []
