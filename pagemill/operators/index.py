@@ -13,7 +13,7 @@ from pagemill.session import ensure_checkpoint_dir
 
 @dataclass
 class TextIndex:
-    """postings (term, id, tf), lengths (id, dl), terms (term, df, cf) and one row of totals (n, avgdl)."""
+    """postings (term, id, tf, dl), lengths (id, dl), terms (term, df, cf) and one row of totals (n, avgdl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -30,7 +30,8 @@ def build_index(chunks: DataFrame, *columns: str | Column, key: str = "id", stor
     texts = [F.col(c) if isinstance(c, str) else c for c in columns]
     words = F.flatten(F.array(*[index_terms(c) for c in texts]))
     told = chunks.select(F.col(key).alias("id"), words.alias("words"))
-    postings = told.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    # A posting carries its row's length, so that scoring needs no join with the lengths.
+    postings = told.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
     lengths = told.select("id", F.size("words").cast("long").alias("dl"))
     if stored:
         ensure_checkpoint_dir(chunks.sparkSession)

@@ -17,6 +17,7 @@ GENERIC = (
 )
 GENERIC_START = r"(?i)^(singapore|directions|sea|east|map\s*[0-9]*|preface|appendix|contents|introduction|memoir)\b"
 BOILERPLATE = r"(?i)(catalogu(?:e|ing).{0,40}record|record for this book|available from the (?:british library|library of congress)|library of congress catalog(?:u|ing|ed)?)"
+RAREST = 3
 COPY_SUFFIX = r"( \([0-9]+\)| copy( [0-9]+)?)$"
 
 
@@ -59,17 +60,27 @@ def _alike(q: Column, t: Column) -> Column:
     return F.when(F.length(t) < LEAST_CHARS, F.lit(0.0)).when(contained, F.lit(CONTAINED)).otherwise(ratio(q, t))
 
 
-def _meeting_words(title: str) -> Column:
-    """What two folded titles must share to be compared: a word of four letters or more; the whole title if it has none."""
-    words = F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= 4))
-    return F.when(F.size(words) > 0, words).otherwise(F.array(title))
+def _meeting_points(titles: DataFrame, against: DataFrame) -> DataFrame:
+    """(title, meet): up to `RAREST` words of each folded title (title) that are rarest over both tables; the title if it has none.
+
+    Words that many titles hold bring nobody together, so no word makes a group of pairs.
+    """
+
+    def words(table: DataFrame) -> DataFrame:
+        found = F.array_distinct(F.filter(F.split("title", " "), lambda w: F.length(w) >= 4))
+        return table.select("title").distinct().select("title", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array("title"))).alias("meet"))
+
+    own = words(titles)
+    known = own.unionByName(words(against)).groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("title").orderBy("n", "meet"))
+    return own.join(known, "meet").withColumn("place", place).where(F.col("place") <= RAREST).select("title", "meet")
 
 
 def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     """(work, position, score, how, tie): the entry of a bibliography that each work (work, isbn, titles) is.
 
     An equal ISBN decides; else the best title at 0.85 or more, the first in file order on ties. Titles are compared where
-    they have a word in common, so that the work grows with the titles and not with their square.
+    they have one of their rarest words in common, so that the work grows with the titles and not with their square.
     """
     usable = entries.where(citable(F.col("type"), F.col("title"), F.col("container"))).select("position", bare_isbn(F.col("isbn")).alias("isbn"), folded_title(main_title(F.col("title"))).alias("rmain"), folded_title(F.col("title")).alias("rfull"))
     keyed = works.select("work", bare_isbn(F.col("isbn")).alias("isbn"), "titles")
@@ -77,7 +88,9 @@ def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     exact = by_isbn.select("work", "position", F.lit(1.0).alias("score"), F.lit("isbn").alias("how"), F.lit(False).alias("tie"))
     asked = keyed.join(by_isbn, "work", "left_anti").select("work", F.explode("titles").alias("title")).where("title <> '' and not startswith(title, 'Untitled (')")
     guesses = asked.select("work", folded_title(main_title(F.col("title"))).alias("qmain"), folded_title(F.col("title")).alias("qfull")).where((F.length("qmain") >= LEAST_CHARS) & ~F.col("qmain").isin(*GENERIC)).distinct()
-    met = guesses.withColumn("meet", F.explode(_meeting_words("qfull"))).join(usable.drop("isbn").withColumn("meet", F.explode(_meeting_words("rfull"))), "meet").drop("meet").distinct()
+    asked_titles, listed = guesses.select(F.col("qfull").alias("title")), usable.select(F.col("rfull").alias("title"))
+    q, r = _meeting_points(asked_titles, listed).withColumnRenamed("title", "qfull"), _meeting_points(listed, asked_titles).withColumnRenamed("title", "rfull")
+    met = guesses.join(q.join(r, "meet").select("qfull", "rfull").distinct(), "qfull").join(usable.drop("isbn"), "rfull")
     near = could_reach(F.col("qmain"), F.col("rmain"), ACCEPTED) | could_reach(F.col("qfull"), F.col("rfull"), ACCEPTED)
     held = F.col("qfull").contains(F.col("rmain")) | F.col("rfull").contains(F.col("qmain"))
     scored = met.where(near | held).select("work", "position", F.greatest(_alike(F.col("qmain"), F.col("rmain")), _alike(F.col("qfull"), F.col("rfull"))).alias("score"))
@@ -98,18 +111,26 @@ def strong_key_hosts(works: DataFrame) -> DataFrame:
 def title_candidates(works: DataFrame) -> DataFrame:
     """Pairs of works (work, position, title, isbn, call) whose titles agree though no key joins them: a, b, score, for people to decide.
 
-    Pairs meet on a word of four letters or more, never all with all.
+    Works of one folded title are paired with the first of them only; different titles are paired through their first works, where
+    they share one of their rarest words.
     """
-    told = works.select("work", "position", "title", folded_title(F.col("title")).alias("folded"), F.coalesce(F.nullif(bare_isbn(F.col("isbn")), F.lit("")), F.nullif(F.col("call"), F.lit(""))).alias("key")).where("folded <> ''")
-    keyed = told.withColumn("meet", F.explode(_meeting_words("folded")))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.position") < F.col("b.position"))).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("work", "title", "folded", "key")]).distinct()
-    alike = met.where(same_title(F.col("a_folded"), F.col("b_folded")))
-    equal = F.col("a_folded") == F.col("b_folded")
-    one_key = F.col("a_key").isNotNull() | F.col("b_key").isNotNull()
-    score = equal.cast("int") * 3 + (one_key & equal).cast("int") * 2 + (F.length("a_folded") >= 20).cast("int") - 3 * (F.col("a_title").rlike(GENERIC_START) | F.col("b_title").rlike(GENERIC_START)).cast("int")
-    conflict = F.coalesce(F.col("a_key") != F.col("b_key"), F.lit(False))
-    out = alike.select(F.col("a_work").alias("a"), F.col("b_work").alias("b"), F.when(conflict, -100).otherwise(score).alias("score"))
+    key = F.coalesce(F.nullif(bare_isbn(F.col("isbn")), F.lit("")), F.nullif(F.col("call"), F.lit("")))
+    told = works.select("work", "position", "title", folded_title(F.col("title")).alias("folded"), key.alias("key")).where("folded <> ''")
+    first = told.groupBy("folded").agg(F.min_by(F.struct("work", "position", "title", "key"), F.struct("position", "work")).alias("first"))
+    equal = told.join(first, "folded").where("work <> first.work").select(F.col("first").alias("a"), F.struct("work", "position", "title", "key").alias("b"), "folded", F.col("folded").alias("other"))
+    titles = first.select(F.col("folded").alias("title"))
+    points = _meeting_points(titles, titles.where("false"))
+    a, b = points.select("meet", F.col("title").alias("folded")), points.select("meet", F.col("title").alias("other"))
+    near = a.join(b, "meet").where("folded <> other").select("folded", "other").distinct()
+    near = near.join(first.withColumnRenamed("first", "a"), "folded").join(first.select(F.col("folded").alias("other"), F.col("first").alias("b")), "other").where("a.position < b.position")
+    alike = near.where(same_title(F.col("folded"), F.col("other"))).select("a", "b", "folded", "other")
+    both = equal.unionByName(alike)
+    same = F.col("folded") == F.col("other")
+    one_key = F.col("a.key").isNotNull() | F.col("b.key").isNotNull()
+    generic = F.col("a.title").rlike(GENERIC_START) | F.col("b.title").rlike(GENERIC_START)
+    score = same.cast("int") * 3 + (one_key & same).cast("int") * 2 + (F.length("folded") >= 20).cast("int") - 3 * generic.cast("int")
+    conflict = F.coalesce(F.col("a.key") != F.col("b.key"), F.lit(False))
+    out = both.select(F.col("a.work").alias("a"), F.col("b.work").alias("b"), F.when(conflict, -100).otherwise(score).alias("score"))
     return out.where("score > 0")
 
 

@@ -56,7 +56,7 @@ def bm25(index: TextIndex, wanted: DataFrame, all_terms: bool = False) -> DataFr
     weighed = weighed.select("query_id", "term", (F.col("times") * idf).alias("weight"), "avgdl")
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / avgdl)
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    met = index.postings.join(weighed, "term").join(index.lengths, "id").select("query_id", "id", "term", part.alias("part"))
+    met = index.postings.join(weighed, "term").select("query_id", "id", "term", part.alias("part"))
     scored = met.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("met"))
     if all_terms:
         needed = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"), F.sum("times").alias("asked")).where("asked > 1")
