@@ -396,23 +396,44 @@ def round_trip(docs: DataFrame, path: str, *carried: Column, text: str = "text")
 
 
 def encoded_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The columns of `docs` but its text, with ids, n_tokens and whether decoding the ids gives the text back."""
+    """The columns of `docs` but its text, with ids, n_tokens and whether decoding the ids gives the text back.
+
+    Batches pass as Arrow slices of bounded text, and ids leave as one flat array with offsets, so no list of Python numbers is
+    built.
+    """
+    import pyarrow as pa
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
     others = [c for c in docs.columns if c != text]
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).alias("text"))
-    made = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+    made = [StructField("ids", ArrayType(IntegerType(), False)), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())]
 
-    @F.pandas_udf(made)
-    def coded(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for s in series:
-            rows, counts, same = [], [], []
-            for texts in batches(s):
+        for batch in incoming:
+            for at, n in slices(batch.column("text")):
+                part = batch.slice(at, n)
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, lengths = enc.encode(texts)
-                same += [a == b for a, b in zip(enc.decode(ids, lengths), texts, strict=True)]
-                rows += np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1])
-                counts += lengths.tolist()
-            yield pd.DataFrame({"ids": pd.Series(rows, dtype=object), "n_tokens": np.array(counts, np.int64), "round_trip": np.array(same, bool)})
-
-    return named.select("row", coded("text").alias("coded")).select("row.*", "coded.*")
+                same = [a == b for a, b in zip(enc.decode(ids, lengths), texts, strict=True)]
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), held, pa.array(lengths, pa.int64()), pa.array(same, pa.bool_())], ["row", "ids", "n_tokens", "round_trip"])
+
+    coded = named.mapInArrow(run, StructType([named.schema["row"], *made]))
+    return coded.select("row.*", "ids", "n_tokens", "round_trip")
+
+
+def slices(texts, most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of an Arrow string array of bounded size in bytes."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > most:
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
