@@ -126,10 +126,11 @@ def score(docs: DataFrame, *carried: Column, rules: Sequence[Rule] = RULES, text
     named = [c.alias(f"carried_{i}") for i, c in enumerate(carried)]
     kept_names = [f"carried_{i}" for i in range(len(carried))]
     split = docs.select(*named, F.col(text).alias("text"), words(F.col(text)).alias("tokens"))
-    measured = split.select(*kept_names, *[c.alias(n) for n, c in measures(F.col("text"), F.col("tokens")).items()])
+    # The row number keeps a later filter from being pushed below the measures, where each would be worked out anew.
+    measured = split.select(*kept_names, *[c.alias(n) for n, c in measures(F.col("text"), F.col("tokens")).items()], F.monotonically_increasing_id().alias("row_no"))
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
 def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` whose text keeps to the rules, with all their columns."""
-    return score(docs, packed(docs), rules=rules, text=text).where("kept").select("carried_0.*")
+    return score(docs, packed(docs), rules=rules, text=text).where("kept and row_no >= 0").select("carried_0.*")
