@@ -99,7 +99,7 @@ def tokens(text: Column) -> Column:
 
 def triples(items: Column) -> Column:
     """Runs of three neighbours as strings, which hash; none for fewer than three items. Tokens hold no space, so runs stay apart."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - 2), lambda i: F.array_join(F.slice(items, i, 3), " "))
+    runs = F.transform(F.sequence(F.lit(0), F.size(items) - 3), lambda i: F.concat_ws(" ", *[F.get(items, i + k) for k in range(3)]))
     return F.when(F.size(items) >= 3, runs).otherwise(F.array().cast("array<string>"))
 
 

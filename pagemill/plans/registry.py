@@ -127,10 +127,10 @@ def duplicate_passages(spark, sf_dir):
 def benchmark_containment(spark, sf_dir):
     """Documents that hold a benchmark text whole: they meet on its first eight words, then the text decides."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), X.tokens(F.col("text")).alias("w"))
-    key = lambda w, at: F.array_join(F.slice(w, at, 8), " ")
-    heads = b.where("size(w) >= 8").select("item_id", "item", key(F.col("w"), 1).alias("head"))
+    key = lambda w, at: F.concat_ws(" ", *[F.get(w, at + k) for k in range(8)])
+    heads = b.where("size(w) >= 8").select("item_id", "item", key(F.col("w"), F.lit(0)).alias("head"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", X.tokens(F.col("text")).alias("w")).where("size(w) >= 8")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: key(F.col("w"), i)))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: key(F.col("w"), i)))
     met = d.select("doc_id", "text", F.explode(runs).alias("head")).join(heads, "head")
     return met.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
 
