@@ -134,6 +134,8 @@ def test_main_text():
     assert site_style.main_text(None) == "" and site_style.main_text("") == "" and site_style.main_text("plain &amp; simple") == "plain & simple"
     assert site_style.main_text("<body><p>one<p>two<div>three</div><ul><li>a<li>b</ul>") == "one\ntwo\nthree\na\nb"
     assert site_style.main_text("<article><p>cut off <b") == "cut off"
+    sides = '<body class="has-sidebar ad"><div class="content no-comments"><article class="post share-on"><p>x</p><div class="post-comments"><article class="comment"><p>y</p></article></div></article></div>'
+    assert site_style.main_text(sides.replace(" share-on", "")) == "x"
     assert site_style.main_text("<main><p>m</p></main><p>o</p>") == "m" and len(site_style.main_text("<p>" + "x" * 200_000)) == 200_000
 
 
