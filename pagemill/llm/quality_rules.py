@@ -67,7 +67,7 @@ def _repeat_words(tokens: Column, window: int) -> Column:
         return F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(hashes) - F.lit(window)),
-                lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, window)).alias("key"), i.alias("start")),
+                lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]).alias("key"), i.alias("start")),
             )
         )
 
