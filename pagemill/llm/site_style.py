@@ -50,6 +50,9 @@ DROPPED_NAMES = frozenset(
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus form search "
     "pagination pager widget widgets toolbar skip copyright disclaimer banner paywall".split()
 )
+MODIFIERS = frozenset("no has with without is show hide enable disable".split())
+#: Elements that hold the page or its text whatever their class says.
+WHOLE = frozenset("html body main".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -71,6 +74,13 @@ class Node:
     children: list[str] = field(default_factory=list)
 
 
+def _names_noise(token: str) -> bool:
+    """Whether a class or id says that an element is no main text: by its first or last word, unless it only says what the
+    page has or lacks beside it (has-sidebar, no-comments)."""
+    parts = NAME.findall(token)
+    return bool(parts) and parts[0] not in MODIFIERS and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES)
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """(tag with the words of its class and id, whether they name it as something other than main text)."""
     dropped = tag in DROPPED_TAGS
@@ -85,7 +95,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
             continue
         for token in value.split():
             words.append(re.sub(r"\d+", "", token))
-            dropped |= any(part in DROPPED_NAMES for part in NAME.findall(token))
+            dropped |= tag not in WHOLE and _names_noise(token)
     return ".".join([tag, *sorted(words)]), dropped
 
 
