@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import piece_bpe, quality_rules, simhash_bk, source_mix, toxicity
+from pagemill.llm import near_copies, piece_bpe, quality_rules, source_mix, toxicity
 from pagemill.llm.common import read
 from pagemill.llm.queries import PIECES, vocabulary
 from pagemill.session import ensure_checkpoint_dir, make_importable
@@ -30,9 +30,9 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: texts linked by a Jaccard similarity of 4/5 or more of their five-word shingles."""
     make_importable(spark)
-    return simhash_bk.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ agree in id and text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,19 +41,26 @@ BATCH_POINTS = 100_000
 FRONTIER = 2_000_000
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a whole text as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of the runs of `shingle` words of a text in order; one of all words if there are fewer, none without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     width = min(shingle, len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
-    hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a whole text as an unsigned number."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         block = np.array(hashes[at : at + 65_536], "<u8")
@@ -61,7 +68,7 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *carried: Column, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *carried: Column, text: str = "text", of: Callable[[str | None], int] = simhash) -> DataFrame:
     """`carried` columns and the fingerprint of every text, as a bigint of the same bits."""
     named = docs.select(*[c.alias(f"carried_{i}") for i, c in enumerate(carried)], F.col(text).alias("text"))
     schema = StructType([*[f for f in named.schema.fields if f.name != "text"], StructField("print", LongType())])
@@ -69,7 +76,7 @@ def fingerprints(docs: DataFrame, *carried: Column, text: str = "text") -> DataF
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = frame.drop(columns="text")
-            out["print"] = np.array([simhash(t) for t in frame["text"]], np.uint64).view(np.int64)
+            out["print"] = np.array([of(t) for t in frame["text"]], np.uint64).view(np.int64)
             yield out
 
     return named.mapInPandas(run, schema)

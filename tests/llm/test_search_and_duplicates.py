@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import components, impact_search, simhash_bk, site_style, warc_revisits
+from pagemill.llm import components, impact_search, near_copies, simhash_bk, site_style, warc_revisits
 from tests.llm import odd
 
 
@@ -113,6 +113,56 @@ def test_one_of_each(spark):
     assert simhash_bk.one_of_each(odd.empty(spark)).collect() == [] and simhash_bk.classes(odd.empty(spark)).collect() == []
 
 
+# --- near copies of the pipeline
+
+
+def plain_kept(rows):
+    """Ids that stand for their components of texts with five-word Jaccard 4/5 or more, over all pairs."""
+    sets = []
+    for _, text in rows:
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if part[i] != part[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                old = part[i]
+                part = [part[j] if p == old else p for p in part]
+    return sorted(min(r[0] for r, p in zip(rows, part, strict=True) if p == q) for q in set(part))
+
+
+def edited(rnd, words, changes):
+    out = list(words)
+    for at in rnd.choice(len(out), changes, replace=False):
+        out[at] = f"new{rnd.integers(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("sample", [16, 1])
+def test_near_copies_of_the_pipeline_miss_no_pair(spark, sf_dir, monkeypatch, sample):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rnd = np.random.default_rng(4)
+    made = []
+    for size in (4, 5, 12, 40, 150, 300):
+        words = [f"w{rnd.integers(900)}" for _ in range(size)]
+        made += [" ".join(words), *[edited(rnd, words, min(c, size)) for c in (0, 1, 2, 3, 4, 6)]]
+        made += [f"{' '.join(words)} the same tail of many texts on this page {rnd.integers(10**6)}" for _ in range(4)]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(made)] + [(20_000, None), (20_001, " \t"), (20_002, "")]
+    docs = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, print string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
+
+
+def test_near_copies_of_odd_rows(spark):
+    got = [r["doc_id"] for r in near_copies.one_of_each(odd.documents(spark)).collect()]
+    assert sorted(got) == [-8, 1, 3, 5, 6]
+    assert near_copies.one_of_each(odd.empty(spark)).collect() == []
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(5, 5), (200, 150), (150, 200), (2, 1)]
     got = {r["node"]: r["root"] for r in components.least_members(spark.createDataFrame(links, "a long, b long")).collect()}
