@@ -57,6 +57,7 @@ LICENCES = {
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "all-rights-reserved": ("All rights reserved.",),
 }
+NOTICE = 400
 #: A line that states a copyright, and nothing of the terms.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©]*(copyright|copr|©|c\)) *[^\p{L}]*((19|20)[0-9][0-9]|©|by |c\)).*$"
 # Spellings taken as equal, applied in this order to lower-case text.
@@ -88,13 +89,14 @@ def known(spark: SparkSession, licences: dict[str, tuple[str, ...]] = LICENCES)
 
 def scan(docs: DataFrame, *carried: Column, text: str = "text", licences: dict[str, tuple[str, ...]] = LICENCES) -> DataFrame:
     """`carried` columns, the text's digest, licence_id (null for none) and notices: the licences that single lines name,
-    sorted."""
+    sorted. Lines of every length count; one above NOTICE characters that is the text itself is told by licence_id alone."""
     names = [f"carried_{i}" for i in range(len(carried))]
     table = known(docs.sparkSession, licences)
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.length(line).between(1, 400))
-    rows = docs.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], digest(F.col(text)).alias("digest"), F.array_distinct(F.transform(lines, digest)).alias("line_digests"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    of = lambda least, most: F.array_distinct(F.transform(F.filter(lines, lambda line: F.length(line).between(least, most)), digest))
+    rows = docs.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], digest(F.col(text)).alias("digest"), of(1, NOTICE).alias("line_digests"), of(NOTICE + 1, 2**31 - 1).alias("long_digests"))
     pairs = {r["digest"]: r["licence_id"] for r in table.collect()}
     by_digest = F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
-    held = F.array_intersect("line_digests", F.array(*[F.lit(d) for d in sorted(pairs)]))
+    held = F.array_intersect(F.concat("line_digests", F.array_remove("long_digests", F.col("digest"))), F.array(*[F.lit(d) for d in sorted(pairs)]))
     notices = F.array_sort(F.array_distinct(F.transform(held, lambda d: F.element_at(by_digest, d))))
     return rows.join(F.broadcast(table), "digest", "left").select(*names, "digest", "licence_id", notices.alias("notices"))

@@ -141,6 +141,15 @@ def test_licences(spark):
     assert licence_digests.scan(odd.empty(spark), F.col("doc_id")).collect() == [] and licence_digests.scan(odd.documents(spark)).count() == 12
 
 
+def test_licences_on_one_long_line_beside_other_lines(spark):
+    named = {n: licence_digests.LICENCES[n][0] for n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib")}
+    assert all(len(t) > 400 for t in named.values())
+    texts = [(n, f"A tool for harbours.\n{t}\nAll rights reserved.") for n, t in named.items()]
+    docs = spark.createDataFrame([*texts, ("two", "\n".join([named["MIT"], named["Zlib"]])), ("none", named["MIT"] + " more\nprose")], "doc_id string, text string")
+    got = {r["carried_0"]: (r["licence_id"], list(r["notices"])) for r in licence_digests.scan(docs, F.col("doc_id")).collect()}
+    assert got == {n: (None, sorted([n, "all-rights-reserved"])) for n in named} | {"two": (None, ["MIT", "Zlib"]), "none": (None, [])}
+
+
 # --- toxicity
 
 
