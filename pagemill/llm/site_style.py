@@ -55,6 +55,7 @@ MODIFIERS = frozenset("no has with without is show hide enable disable".split())
 WHOLE = frozenset("html body main".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*/>"
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -190,10 +191,11 @@ def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) ->
     """The article's blocks in page order, one a line; `low` holds the keys of paths to leave out."""
     blocks, _ = parse(html)
     kept = [(container, text) for path, dropped, container, text in blocks if not dropped and not (low and path_key(path) in low)]
-    for kind in ("article", "main"):
-        own = [text for container, text in kept if container == kind]
-        if own:
-            return "\n".join(own)
+    articles, mains = ([text for container, text in kept if container == kind] for kind in ("article", "main"))
+    if articles and sum(map(len, articles)) >= sum(map(len, mains)):
+        return "\n".join(articles)
+    if mains:
+        return "\n".join(text for container, text in kept if container)
     return "\n".join(text for _, text in kept)
 
 

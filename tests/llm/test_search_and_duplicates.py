@@ -189,6 +189,20 @@ def test_main_text():
     assert site_style.main_text("<main><p>m</p></main><p>o</p>") == "m" and len(site_style.main_text("<p>" + "x" * 200_000)) == 200_000
 
 
+def test_self_closed_svg_and_math_are_empty():
+    for icon in ("<svg/>", '<svg class="a/b" href="x>y" />', "<math display=block/>", "<SVG width='1' />"):
+        assert site_style.main_text(f"<article><p>one {icon} two</p><p>three</p><svg><text>no</text></svg><p>four</p></article>") == "one two\nthree\nfour"
+    assert site_style.main_text('<p>a</p><svg viewBox="0 0"><path d="M0"/><text>no</text></svg><p>b</p>') == "a\nb"
+
+
+def test_teaser_articles_do_not_replace_main_text():
+    body = "The whole text of the page stands here and goes on for a while."
+    cards = "<article><p>Card one</p></article><article><p>Card two</p></article>"
+    assert site_style.main_text(f"<main><p>{body}</p></main>{cards}").startswith(body)
+    assert body in site_style.main_text(f"<main>{cards}<p>{body}</p></main>")
+    assert site_style.main_text(f"<main><p>Up</p><article><p>{body}</p></article></main>") == body
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     rows = [(i, f"http://one.example/{i}", f"<body><div class=x1>Follow us on this site</div><article><p>Text {i} of its own</p><div class=tail>Ask the desk for reprints</div></article>") for i in range(12)]
     rows += [(i, "http://two.example/", rows[0][2]) for i in range(20, 40)] + [(50, None, rows[0][2]), (51, "http://one.example/x", None), (52, "http://one.example/y", "")]
