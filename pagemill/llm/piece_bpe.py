@@ -245,8 +245,8 @@ class Encoder:
         flat = [w for ws in split for w in ws]
         if not flat:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        codes, unique = pd.factorize(np.array(flat, dtype=object))
-        ids, sizes = self.model.merge_words(list(unique))
+        codes, unique = numbered(flat)
+        ids, sizes = self.model.merge_words(unique)
         taken = sizes[codes]
         starts = (np.cumsum(sizes) - sizes)[codes]
         ends = np.cumsum(taken)
@@ -318,6 +318,13 @@ def _utf8(raw: bytes) -> str:
         return "".join(out)
 
 
+def numbered(strings: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(the number of each string, the different strings). Strings are told apart by all their characters, NUL at the end too."""
+    unique = list(dict.fromkeys(strings))
+    place = dict(zip(unique, range(len(unique)), strict=True))
+    return np.fromiter(map(place.__getitem__, strings), np.int64, len(strings)), unique
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -7,10 +7,12 @@ map from entry state to exit state: the maps of all chunks of a batch are comput
 prefix scan, and each chunk is then run once from the entry state that the scan gives it.
 
 The second reads the bytes of a pre-token. Its transitions carry the change in the number of tokens, so the count is
-the sum along the path. A state holds what can still matter of the prefix read so far: the longest suffix that begins
+the sum along the path. A pre-token of over `LONG` bytes is cut into chunks: each chunk is a map from entry state to exit state and
+count, walked for the entries that can be met, and the maps of a batch are composed by a prefix scan like those of the first. A state holds what can still matter of the prefix read so far: the longest suffix that begins
 some token, with the last token and the relative count at each place in it where a token may still start. The token that ends at the new place is the
 one suffix whose neighbour on the left is not merged into it; counts follow from the place where it starts.
-The transitions are compiled when first met and shared by all later texts; past `MOST_STATES` the table starts anew.
+The transitions are compiled when first met and shared by all later texts; a batch that finds over `MOST_STATES` starts the table
+anew, so it holds no more than those and what one batch adds, a state a byte at most.
 
 Defined results: a null text counts as empty, and an empty text has no tokens. Strings of special tokens inside a text
 count as that one token, the library's default; nothing is added, truncated or padded. Texts are whole and independent, so
@@ -30,12 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from pagemill.llm.piece_bpe import batches
+from pagemill.llm.piece_bpe import batches, numbered
 
 MOST_STATES = 150_000
 FEW = 40
 CHUNK = 64
 LEAD = 8
+#: Bytes of a pre-token that is walked as a whole, of the chunks of longer ones, and of what is read ahead of a chunk to guess its entry.
+LONG = 192
+LINK = 96
+AHEAD = 48
 
 # Character classes. The letters that contractions are made of stand apart.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, END, R, V, L, E, STMD = range(12)
@@ -293,27 +299,92 @@ class CountTransducer:
         packed = self.moves[move] = to << 8 | change + 128
         return packed
 
-    def count_unique(self, pieces: list[str]) -> np.ndarray:
-        """Tokens of each pre-token: all pieces walk the transducer in step, the longest first in the array."""
-        if len(self.states) > MOST_STATES:
-            self._clear()
-        raw = [p.encode("utf-8", "replace") for p in pieces]
+    def _walk(self, raw: list[bytes], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, tokens) of byte strings from entry states: all walk the transducer in step, the longest first in the array."""
         sizes = np.array([len(r) for r in raw], np.int64)
         order = np.argsort(-sizes, kind="stable")
         flat = np.frombuffer(b"".join(raw), np.uint8)
         begin = (np.cumsum(sizes) - sizes)[order]
         active = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
-        state, total = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        state, total = entry[order].astype(np.int64), np.zeros(len(raw), np.int64)
         for k, m in enumerate(active.tolist()):
             moves, back = np.unique(state[:m] << 8 | flat[begin[:m] + k], return_inverse=True)
             known = self.moves
             packed = np.array([known[x] if x in known else self._compile(x) for x in moves.tolist()], np.int64)[back]
             state[:m] = packed >> 8
             total[:m] += (packed & 255) - 128
+        left, out = np.empty(len(raw), np.int64), np.empty(len(raw), np.int64)
+        left[order], out[order] = state, total
+        return left, out
+
+    def count_unique(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        if len(self.states) > MOST_STATES:
+            self._clear()
+        raw = [p.encode("utf-8", "replace") for p in pieces]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        short, long = np.flatnonzero(sizes <= LONG), np.flatnonzero(sizes > LONG)
         out = np.empty(len(raw), np.int64)
-        out[order] = total
+        out[short] = self._walk([raw[i] for i in short.tolist()], np.zeros(len(short), np.int64))[1]
+        if len(long):
+            out[long] = self._count_long([raw[i] for i in long.tolist()])
         return out
 
+    def _count_long(self, raw: list[bytes]) -> np.ndarray:
+        """Tokens of long byte strings, by composing the state maps of their chunks."""
+        cut = [[r[at : at + LINK] for at in range(0, len(r), LINK)] for r in raw]
+        chunks = [c for cs in cut for c in cs]
+        first = np.cumsum([0, *map(len, cut)])[:-1]
+        content = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        kind = np.fromiter(map(content.__getitem__, chunks), np.int64, len(chunks))
+        texts = list(content)
+        leads, _ = self._walk([r[max(0, at - AHEAD) : at] for r in raw for at in range(0, len(r), LINK)], np.zeros(len(chunks), np.int64))
+        is_first = np.zeros(len(chunks), bool)
+        is_first[first] = True
+        leads[is_first] = 0
+        # Which chunk may follow which: an exit of the one is an entry of the other.
+        after = np.unique(np.stack([kind[:-1], kind[1:]], axis=1)[~is_first[1:]], axis=0)
+        begin = np.searchsorted(after[:, 0], np.arange(len(texts) + 1))
+        maps: dict[tuple[int, int], tuple[int, int]] = {}
+        todo = set(zip(kind.tolist(), leads.tolist(), strict=True))
+        while todo:
+            asked = sorted(todo)
+            exits, counts = self._walk([texts[k] for k, _ in asked], np.array([s for _, s in asked], np.int64))
+            maps.update(zip(asked, zip(exits.tolist(), counts.tolist(), strict=True), strict=True))
+            todo = {(j, e) for (k, _), e in zip(asked, exits.tolist(), strict=True) for j in after[begin[k] : begin[k + 1], 1].tolist()} - maps.keys()
+        return self._composed(kind, first, maps)
+
+    @staticmethod
+    def _composed(kind: np.ndarray, first: np.ndarray, maps: dict[tuple[int, int], tuple[int, int]]) -> np.ndarray:
+        """Counts at the end of each run of chunks that starts at `first`, by a parallel prefix scan over their maps."""
+        entries: dict[int, list[int]] = {}
+        for k, s in maps:
+            entries.setdefault(k, []).append(s)
+        width = max(map(len, entries.values()))
+        place = {(k, s): i for k, found in entries.items() for i, s in enumerate(found)}
+        following = np.append(kind[1:], -1)
+        starts = np.zeros(len(kind), bool)
+        starts[first] = True
+        to, count = np.zeros((len(kind), width), np.int64), np.zeros((len(kind), width), np.int64)
+        seen: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for i, (k, then) in enumerate(zip(kind.tolist(), following.tolist(), strict=True)):
+            if (row := seen.get((k, then))) is None:
+                told = [maps[k, s] for s in entries[k]]
+                row = seen[k, then] = [place.get((then, e), 0) for e, _ in told], [c for _, c in told]
+            to[i, : len(row[0])], count[i, : len(row[1])] = row
+        # From here a map takes the entry of its run's first chunk, which is the start state, to an entry of the next chunk.
+        run = np.cumsum(starts) - 1
+        reach = np.arange(len(kind)) - first[run]
+        step = 1
+        while step <= int(reach.max(initial=0)):
+            on = np.flatnonzero(reach >= step)
+            via = to[on - step]
+            count[on] = count[on - step] + np.take_along_axis(count[on], via, axis=1)
+            to[on] = np.take_along_axis(to[on], via, axis=1)
+            step *= 2
+        last = np.append(first[1:], len(kind)) - 1
+        return count[last, [place[int(k), 0] for k in kind[first]]]
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         parts = [self.special.split(t) if self.special else [t] for t in texts]
@@ -321,8 +392,8 @@ class CountTransducer:
         totals = np.array([len(p) - 1 for p in parts], np.int64)
         pieces, part = self.pre_tokens([x for p in parts for x in p])
         if pieces:
-            codes, unique = pd.factorize(np.array(pieces, dtype=object))
-            totals += np.bincount(owner[part], weights=self.count_unique(list(unique))[codes], minlength=len(texts)).astype(np.int64)
+            codes, unique = numbered(pieces)
+            totals += np.bincount(owner[part], weights=self.count_unique(unique)[codes], minlength=len(texts)).astype(np.int64)
         return totals
 
 

@@ -87,6 +87,24 @@ def test_merges_that_bring_up_better_pairs_and_overlap(spark):
     assert encoder.decode(flat, np.array([len(x) for x in anything])) == [library.decode(x) for x in anything]
 
 
+def with_nul(rnd, n):
+    """Texts whose words differ by NUL alone, side by side in one batch."""
+    return ["> >\x00", "\x00 ", "x", "x\x00 end", "x\x00", "x", "\x00" * 500] + ["".join(rnd.choice("a\x00b >é") for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+
+
+def test_ids_of_texts_with_nul_beside_each_other():
+    import random
+
+    import sentencepiece
+
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_bpe.encoder(PIECES)
+    texts = with_nul(random.Random(9), 1500)
+    ids, lengths = encoder.encode(texts)
+    want = library.encode(texts, num_threads=1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert encoder.decode(ids, lengths) == [library.decode(x) for x in want]
+
+
 def test_encoding_of_empty_tables(spark):
     assert piece_bpe.encoded_documents(odd.empty(spark), PIECES).collect() == []
     assert piece_bpe.round_trip(odd.empty(spark), PIECES, F.col("doc_id")).collect() == []
@@ -119,6 +137,18 @@ def test_counts_of_contractions_spaces_specials_and_long_runs():
     assert counter.count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_counts_of_texts_with_nul_and_of_composed_chunks():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, counter = Tokenizer.from_file(BYTES), token_counts.transducer(BYTES)
+    rnd = random.Random(11)
+    texts = with_nul(rnd, 1500) + ["a" * 9000, "ab" * 3000, "abc" * 1999, "漢字仮名" * 700, "-" * 5000, "".join(rnd.choice("ab") for _ in range(20_000)), "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(3000))]
+    texts += ["".join(rnd.choice(["the", "ing", "tion", "er", "x", "q", "zz"]) for _ in range(rnd.randint(50, 900))) for _ in range(100)]
+    assert counter.count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_a_table_that_starts_anew_counts_alike(monkeypatch):
     texts = [f"some{i} wordz{i * 7} and{i % 5}" for i in range(300)]
     fresh = token_counts.CountTransducer(BYTES)
