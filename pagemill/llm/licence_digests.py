@@ -1,7 +1,7 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form (lower case, no copyright lines, equivalent spellings made one, punctuation and
-white space folded) and its SHA-256 is joined by equality to the digests of known licences. The same lookup over
+A text is brought to a canonical form (lower case, no copyright statements, equivalent spellings made one, punctuation and
+white space folded; terms behind a statement on its line stay) and its SHA-256 is joined by equality to the digests of known licences. The same lookup over
 single lines finds licence notices inside other texts. Known licences are a fixed small table, so the joins are
 broadcast and nothing is shuffled; the whole text is always digested.
 
@@ -46,20 +46,78 @@ _ZLIB = (
     "be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed "
     "or altered from any source distribution."
 )
-LICENCES = {
-    "MIT": (_MIT, "MIT License\n" + _MIT, "The MIT License (MIT)\n" + _MIT, "Licensed under the MIT License.", "Released under the MIT License."),
-    "ISC": (f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_DISCLAIMER}",),
-    "0BSD": (f"{_ISC_GRANT}. {_ISC_DISCLAIMER}",),
-    "BSD-2-Clause": (_BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_END,),
-    "BSD-3-Clause": (_BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END,),
-    "Zlib": (_ZLIB,),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "all-rights-reserved": ("All rights reserved.",),
+# SHA-256 of the canonical forms of published licence texts too long to stand here, whole and (where they have an
+# appendix) up to the end of their terms.
+PUBLISHED = {
+    "Apache-2.0": ("4f1eb3db712f18c5575314f703fa33be14d644a2dcf0430b55f27941ec398cec", "eba09ec9194590d52417962821b1442923fe20c4948e560c7aa66c0ae9963672"),
+    "Artistic-1.0": ("e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",),
+    "GFDL-1.3": ("2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",),
+    "GPL-1.0": ("490a17f9c44b8e7737e6d5b52eebf4c3610f67ee98c4ad515329fa012eebe42d", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    "GPL-2.0": ("2d0b5e012e036a2690fe078a56f4c6dabcb7e2c352ef799e5e2074dab15ef4ae", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    "GPL-3.0": ("d83c17395c9a12cd395b7344eeb0d7e93e4ce5c7e6565e5590ba6d2df2f9e9e1", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("f1daf3234686278093cf1137babd0598754ada714f0fc44e06e080008f7c6b38",),
+    "MPL-2.0": ("4cabe7a78fd77da2d52b1a2929bf10219e45cfc14279d76a49774370a74b3d17",),
 }
+# Names by which notices call licences.
+NAMED = {
+    "MIT": ("MIT License", "MIT licence terms", "Expat License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL, version 2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL, version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0", "Creative Commons Zero 1.0"),
+}
+NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This software is licensed under the {}.")
+# Creative Commons clauses, their full names, and versions.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+COMMONS_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def _licences() -> dict[str, tuple[str, ...]]:
+    """Texts and notices by licence: whole texts, also under a title or after "All rights reserved.", and a notice for each name."""
+    whole = {
+        "MIT": (_MIT, "MIT License\n" + _MIT, "The MIT License (MIT)\n" + _MIT),
+        "ISC": (f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_DISCLAIMER}",),
+        "0BSD": (f"{_ISC_GRANT}. {_ISC_DISCLAIMER}",),
+        "BSD-2-Clause": (_BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_END,),
+        "BSD-3-Clause": (_BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END,),
+        "Zlib": (_ZLIB,),
+    }
+    out = {name: (*texts, *[f"All rights reserved.\n{t}" for t in texts]) for name, texts in whole.items()}
+    for name, called in NAMED.items():
+        out[name] = (*out.get(name, ()), *[form.format(c) for form in NOTICES for c in called])
+    for clause, full in COMMONS.items():
+        for version in COMMONS_VERSIONS:
+            spelled = tuple(f"This work is licensed under a Creative Commons {full} {version} {kind}License." for kind in ("", "International "))
+            out[f"CC-{clause}-{version}"] = (*[form.format(f"CC {clause} {version}") for form in NOTICES], *spelled)
+    return out | {"all-rights-reserved": ("All rights reserved.",)}
+
+
+LICENCES = _licences()
+#: A line of more characters that is the whole text is told by licence_id alone.
 NOTICE = 400
-#: A line that states a copyright, and nothing of the terms.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}©]*(copyright|copr|©|c\)) *[^\p{L}]*((19|20)[0-9][0-9]|©|by |c\)).*$"
+# How terms begin where they stand on one line behind a copyright statement.
+TERMS = (
+    "all rights|permission (is|to)|licen[sc]ed|released under|distributed under|redistribution and|everyone is|this (software|work|program|library|file|source)|the (software|mit|bsd|apache)|"
+    "you may|use of this|provided"
+)
+#: A copyright statement at the start of a line, up to the terms that follow it on the line (group 5) or the line's end.
+STATEMENT = rf"^[^\p{{L}}\p{{N}}©]*(copyright|copr|©|c\)) *[^\p{{L}}\n]*((19|20)[0-9][0-9]|©|by |c\))([^\n]*?)(\b({TERMS})\b[^\n]*)?\z"
 # Spellings taken as equal, applied in this order to lower-case text.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),
@@ -69,7 +127,7 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     """The form that is digested."""
-    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: ~line.rlike(COPYRIGHT_LINE))
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.regexp_replace(line, STATEMENT, "$5"))
     out = F.array_join(lines, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -80,11 +138,12 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, licences: dict[str, tuple[str, ...]] = LICENCES) -> DataFrame:
-    """(digest, licence_id) of the known texts; of two with one digest the first name in order counts."""
+def known(spark: SparkSession, licences: dict[str, tuple[str, ...]] = LICENCES, published: dict[str, tuple[str, ...]] = PUBLISHED) -> DataFrame:
+    """(digest, licence_id) of the known texts and digests; of two with one digest the first name in order counts."""
     rows = [(name, text) for name, texts in licences.items() for text in texts]
-    table = spark.createDataFrame(rows, "licence_id string, text string")
-    return table.select(digest(F.col("text")).alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    table = spark.createDataFrame(rows, "licence_id string, text string").select(digest(F.col("text")).alias("digest"), "licence_id")
+    given = spark.createDataFrame([(d, name) for name, digests in published.items() for d in digests], "digest string, licence_id string")
+    return table.unionByName(given).groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def scan(docs: DataFrame, *carried: Column, text: str = "text", licences: dict[str, tuple[str, ...]] = LICENCES) -> DataFrame:
@@ -97,6 +156,6 @@ def scan(docs: DataFrame, *carried: Column, text: str = "text", licences: dict[s
     rows = docs.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], digest(F.col(text)).alias("digest"), of(1, NOTICE).alias("line_digests"), of(NOTICE + 1, 2**31 - 1).alias("long_digests"))
     pairs = {r["digest"]: r["licence_id"] for r in table.collect()}
     by_digest = F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
-    held = F.array_intersect(F.concat("line_digests", F.array_remove("long_digests", F.col("digest"))), F.array(*[F.lit(d) for d in sorted(pairs)]))
+    held = F.filter(F.concat("line_digests", F.array_remove("long_digests", F.col("digest"))), lambda d: d.isin(*sorted(pairs)))
     notices = F.array_sort(F.array_distinct(F.transform(held, lambda d: F.element_at(by_digest, d))))
     return rows.join(F.broadcast(table), "digest", "left").select(*names, "digest", "licence_id", notices.alias("notices"))

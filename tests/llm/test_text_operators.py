@@ -1,5 +1,6 @@
 """Quality rules, token ids, token counts, licences and toxicity, against brute force and on odd input."""
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -180,6 +181,31 @@ def test_licences_on_one_long_line_beside_other_lines(spark):
     assert got == {n: (None, sorted([n, "all-rights-reserved"])) for n in named} | {"two": (None, ["MIT", "Zlib"]), "none": (None, [])}
 
 
+def test_terms_behind_a_copyright_statement_stay(spark):
+    mit, bsd = (licence_digests.LICENCES[n][0] for n in ("MIT", "BSD-2-Clause"))
+    texts = {
+        "notice": "Copyright (c) 2020 Foo, Inc. Licensed under the MIT License.", "one line": f"Copyright (c) 2020 J. Foo <j@foo.org> {mit}", "beside": f"A tool.\nCopyright 2019-2021 by Foo. {mit}\nMore.",
+        "bsd": f"Copyright (c) 1999, Foo. All rights reserved.\n{bsd}", "nothing": "Copyright (c) 2020 Foo Bar.", "commons": "prose\nLicensed under CC BY-NC 4.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["carried_0"]: (r["licence_id"], list(r["notices"])) for r in licence_digests.scan(docs, F.col("doc_id")).collect()}
+    assert got == {
+        "notice": ("MIT", ["MIT"]), "one line": ("MIT", []), "beside": (None, ["MIT"]), "bsd": ("BSD-2-Clause", ["BSD-2-Clause", "all-rights-reserved"]), "nothing": (None, []), "commons": (None, ["CC-BY-NC-4.0"]), "gpl": ("GPL-3.0", ["GPL-3.0"]),
+    }
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no published texts on this machine")
+def test_digests_of_published_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for name, file in files.items():
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+            text = f.read()
+        rows += [(name, text), (name, "Copyright (C) 2021 Foo Bar\n\n" + text.upper().replace("\n", "\r\n"))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r["carried_0"], r["licence_id"]) for r in licence_digests.scan(docs, F.col("doc_id")).collect()} == {(n, n) for n in files}
+
+
 # --- toxicity
 
 
