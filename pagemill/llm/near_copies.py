@@ -1,12 +1,15 @@
-"""Near copies by word shingles: every pair of texts whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
+"""Near copies by SimHash and BK-trees beyond a few bits: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
 
-No pair is left to chance. Shingles have one order for all texts; of two sets with that similarity, each has a shared
-shingle among its first n - ceil(4n/5) + 1. These prefixes are the keys under which texts meet. What meets and passes the bounds on
-size, position and parities of hashed cells, none of which turns away a pair that is alike, is compared by whole sets. The order puts shingles that a sample finds in many texts last, so common
-passages are rarely keys; it decides the work, never the result.
+Fingerprints of such texts differ in some ten bits, too many for shards of common bit blocks. Shards are keyed instead by
+bands of least shingle hashes: two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.9998 at 4/5.
+In a shard the fingerprints form a BK-tree, searched with a radius that all but one in ten thousand pairs at 4/5 keep to, and
+what the trees find is compared by whole shingle sets. So no link is ever wrong, and one in some three thousand pairs at
+4/5 (fewer above) has no link of its own; such a text is still found where a third one links the two.
 
-Texts of equal words are one node. Under each key a text is first compared with its neighbour in size and with the key's
-least text; components of what they link are contracted, and only texts that are still apart are then compared pair by pair.
+Texts of equal words are one node. On its way into a shard's tree every node meets others, and is first compared with the
+nearest of these alone; components of what that links are contracted, and only nodes still apart are then searched
+for with the full radius. Shards above `SHARD` nodes are dealt into parts: nodes of the shard's largest component into parts of
+their own, which never meet each other, so a group of near copies costs what its size is and not its square.
 
 Defined results: a null text counts as empty; texts without words are copies of each other; a text of fewer than five words is
 one shingle. Of a component the row with the least id is kept, nulls last, and one of rows that agree in id and text.
@@ -14,7 +17,7 @@ one shingle. Of a component the row with the least id is kept, nulls last, and o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,25 +27,24 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import packed, stored
 from pagemill.llm.components import least_members
-from pagemill.llm.simhash_bk import _identity, fingerprints, shingle_hashes
+from pagemill.llm.simhash_bk import BATCH_POINTS, SHARD, forest, identity, majority, shingle_hashes, within
 from pagemill.session import ensure_checkpoint_dir
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 ALIKE = (4, 5)
-#: One text in so many is read to find common shingles; found there as often as COMMON, they come last, the COMMON_MAX most frequent at most.
-SAMPLE = 16
-COMMON = 3
-COMMON_MAX = 100_000
-#: Longs of parities a text.
-SKETCH = 8
+RADIUS = 20
+BANDS, ROWS = 16, 4
 #: Characters of text worked on at a time.
 SLICE = 400_000
 CELLS = 1 << 24
+#: Odd multipliers that give each least hash an order of its own, and the one that folds a band into its key.
+_MIX = (np.random.default_rng(20240).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64)).view(np.int64)
+    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
 
 
 def words_digest(text: str | None) -> int:
@@ -51,27 +53,132 @@ def words_digest(text: str | None) -> int:
     return xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order, as many as a set that is alike cannot all miss."""
-    size = len(found)
-    rank = np.zeros(size, np.int64)
-    if len(common) and size:
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        rank = np.where(common[at] == found, times[at], 0)
-    return found[np.lexsort((found, rank))][: size + 1 + -ALIKE[0] * size // ALIKE[1]]
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each of the sets, none of which is empty."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band, np.uint64)
+        for mix in _MIX[band * ROWS : (band + 1) * ROWS]:
+            least = np.minimum.reduceat(flat * mix, starts)
+            key = (key ^ least ^ (least >> np.uint64(31))) * _FOLD
+        keys[:, band] = key
+    return keys
+
+
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Slices of bounded text, or of one text where that is longer."""
+    upto = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // SLICE
+    cuts = [*np.flatnonzero(np.diff(upto, prepend=-1)).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield slice(a, b)
 
 
-def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The frame's rows in slices of bounded text, or one row where that is longer."""
-    upto = np.cumsum([len(t or "") for t in frame["text"]], dtype=np.int64) // SLICE
-    cuts = [*np.flatnonzero(np.diff(upto, prepend=-1)).tolist(), len(frame)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield frame.iloc[a:b]
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(identity, node, print, keys) of every row: the digest of its words, the fingerprint and the band keys of its shingle set."""
+    parts = ("no_id", "id", "digest")
+    named = docs.select(identity(key, text).alias("identity"), F.col(text).alias("text")).select(*[F.col(f"identity.{p}").alias(p) for p in parts], "text")
+    schema = ", ".join(f"{p} {named.schema[p].dataType.simpleString()}" for p in parts) + ", node long, print long, keys array<long>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in _slices(frame["text"]):
+                out = frame.iloc[part]
+                sets = [shingle_set(t) for t in out["text"]]
+                full = [s for s in sets if len(s)]
+                keys = iter(band_keys(full).view(np.int64) if full else ())
+                none = np.zeros(0, np.int64)
+                nodes, prints = ([f(x) for x in xs] for f, xs in ((words_digest, out["text"]), (majority, sets)))
+                out = out.drop(columns="text")
+                out["node"], out["print"] = np.array(nodes, np.uint64).view(np.int64), np.array(prints, np.uint64).view(np.int64)
+                out["keys"] = pd.Series([next(keys) if len(s) else none for s in sets], index=out.index, dtype=object)
+                yield out
+
+    return named.mapInPandas(run, schema).select(F.struct(*parts).alias("identity"), "node", "print", "keys")
+
+
+def _shards(nodes: DataFrame, shard: int) -> DataFrame:
+    """(key, node, print, n, parts) of every node under each key that it shares with another."""
+    members = nodes.select("node", "print", F.explode("keys").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(sizes, "key").select("key", "node", "print", "n", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("parts"))
+
+
+def _pairs(frames: Iterator[pd.DataFrame], find) -> Iterator[pd.DataFrame]:
+    """The pairs that `find` gives for rows of arrays, some rows of bounded size at a time."""
+    held, size = [], 0
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            held.append(row)
+            size += len(row.nodes) + (0 if getattr(row, "others", None) is None else len(row.others))
+            if size > BATCH_POINTS:
+                yield find(held)
+                held, size = [], 0
+    if held:
+        yield find(held)
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _flat(rows: list, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.asarray(getattr(r, name), np.int64) for r in rows if getattr(r, name) is not None]])
+
+
+def first_pairs(shards: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of each node with the nearest that its shard's BK-tree leads it past, and of the parts of a shard."""
+    dealt = shards.withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int"))
+    groups = dealt.groupBy("key", "part", "parts").agg(F.array_sort(F.collect_list(F.struct("node", "print"))).alias("rows"))
+    trees = groups.select(F.col("rows.node").alias("nodes"), F.col("rows.print").alias("prints"))
+
+    def find(rows: list) -> pd.DataFrame:
+        nodes, prints = _flat(rows, "nodes"), _flat(rows, "prints").view(np.uint64)
+        met: list[np.ndarray] = []
+        forest(prints, np.repeat(np.arange(len(rows)), [len(r.nodes) for r in rows]), met)
+        near = np.flatnonzero(met[1] <= radius)
+        return _as_pairs(nodes[near], nodes[met[0][near]])
+
+    heads = groups.where("parts > 1").select("key", F.col("rows")[0]["node"].alias("head"))
+    across = heads.join(heads.groupBy("key").agg(F.min("head").alias("least")), "key").where("head > least").select(F.col("least").alias("a"), F.col("head").alias("b"))
+    return trees.mapInPandas(lambda frames: _pairs(frames, find), "a long, b long").unionByName(across).distinct()
+
+
+def rest_pairs(shards: DataFrame, roots: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Pairs (a, b) within the radius of nodes of one shard that `roots` (node, root) leaves in different components."""
+    told = shards.join(roots, "node", "left").select("key", "node", "print", "parts", F.coalesce("root", "node").alias("root"))
+    sizes = told.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), (F.sum("n") - F.max("n")).alias("strays")).where("roots > 1")
+    open_ = told.join(mixed.select("key", "main", "strays"), "key")
+    # Parts below zero hold the main component alone; small shards stay whole.
+    many = F.ceil(F.col("strays") / F.lit(shard)).cast("int")
+    part = F.when(F.col("parts") == 1, 0).when(F.col("root") == F.col("main"), -1 - F.expr("pmod(xxhash64(node), parts)")).otherwise(F.pmod(F.xxhash64("node"), many)).cast("int")
+    groups = open_.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("node", "print", "root")).alias("rows")).select("key", "part", *[F.col(f"rows.{c}").alias(f"{c}s") for c in ("node", "print", "root")])
+    renamed = {"part": "to", "nodes": "others", "prints": "other_prints", "roots": "other_roots"}
+    none = [F.lit(None).cast("array<long>").alias(n) for n in ("others", "other_prints", "other_roots")]
+    inside = groups.where("part >= 0").select("nodes", "prints", "roots", *none)
+    across = groups.where("part >= 0").join(groups.withColumnsRenamed(renamed), "key").where("to < part").select(*inside.columns)
+
+    def find(rows: list) -> pd.DataFrame:
+        nodes, prints, roots_ = _flat(rows, "nodes"), _flat(rows, "prints").view(np.uint64), _flat(rows, "roots")
+        sizes = [len(r.nodes) for r in rows]
+        starts, keys, children = forest(prints, np.repeat(np.arange(len(rows)), sizes))
+        asked = [[getattr(r, own) if r.others is None else getattr(r, other) for r in rows] for own, other in (("nodes", "others"), ("prints", "other_prints"), ("roots", "other_roots"))]
+        o_nodes, o_prints, o_roots = (np.concatenate([np.asarray(x, np.int64) for x in xs]) for xs in asked)
+        counts = [len(x) for x in asked[0]]
+        found = [np.zeros((2, 0), np.int64)]
+        for q, p in within(o_prints.view(np.uint64), np.repeat(starts, counts), prints, keys, children, radius):
+            apart = o_roots[q] != roots_[p]
+            found.append(np.stack([o_nodes[q[apart]], nodes[p[apart]]]))
+        return _as_pairs(*np.concatenate(found, axis=1))
+
+    return inside.unionByName(across).mapInPandas(lambda frames: _pairs(frames, find), "a long, b long").distinct()
 
 
 def _bits(asked: DataFrame) -> np.ndarray:
-    """A bit for each of CELLS cells, set where a print of `asked` falls: texts are read by it where they lie and never shuffled."""
-    cell = F.expr(f"pmod(print, {CELLS}) + 1")
+    """A bit for each of CELLS cells, set where a place of `asked` falls: texts are read by it where they lie and never shuffled."""
+    cell = F.expr(f"pmod(place, {CELLS}) + 1")
     found = asked.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
     bits = np.zeros((CELLS // 32_768, 4096), np.uint8)
     for row in found:
@@ -79,117 +186,47 @@ def _bits(asked: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def _mapped(texts: DataFrame, schema: str, make: Callable[[int, str | None], tuple], asked: DataFrame | None = None) -> DataFrame:
-    """`make` of (print, text) gives columns of `schema` as equally long sequences, put one below the other; of all texts, or
-    at least of those whose print is in `asked`."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    bits = None if asked is None else _bits(asked)
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Those of `pairs` (a, b), each once, whose whole shingle sets are alike. Only the rows that stand for a node asked for are read closely."""
+    asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    bits = _bits(asked.select(F.xxhash64("identity").alias("place")))
+    told = docs.select(F.xxhash64(identity(key, text)).alias("place"), F.col(text).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if bits is not None:
-                cell = frame["print"].to_numpy() % CELLS
-                frame = frame[(bits[cell >> 3] >> (cell & 7) & 1).astype(bool)]
-            for part in _slices(frame):
-                made = zip(*[make(p, t) for p, t in zip(part["print"], part["text"], strict=True)], strict=True)
-                yield pd.DataFrame({n: [x for c in cs for x in c] if n == "found" else np.concatenate(cs) for n, cs in zip(names, made, strict=True)})
-
-    return texts.select("print", "text").mapInPandas(run, schema)
-
-
-def keys(texts: DataFrame) -> DataFrame:
-    """(key, print, n, at): the prefix of each text's set of n shingles with the places in the order."""
-    sample = _mapped(texts.where(f"pmod(print, {SAMPLE}) = 0"), "key long", lambda _, text: (shingle_set(text),))
-    often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_MAX).orderBy("key").collect()
-    common, times = np.array([r["key"] for r in often], np.int64), np.array([r["n"] for r in often], np.int64)
-
-    def make(print_: int, text: str | None) -> tuple:
-        found = shingle_set(text)
-        first = prefix(found, common, times)
-        return first, np.full(len(first), print_, np.int64), np.full(len(first), len(found), np.int32), np.arange(len(first), dtype=np.int32)
-
-    return _mapped(texts, "key long, print long, n int, at int", make)
-
-
-def _can_be_alike(a: str, b: str) -> Column:
-    """Bounds on what two texts that meet under a key can share, by their sizes and the key's places."""
-    top, base = ALIKE
-    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    most = F.least(f"{a}at", f"{b}at") + F.least(F.col(f"{a}n") - F.col(f"{a}at"), F.col(f"{b}n") - F.col(f"{b}at"))
-    return (small * base >= large * top) & (most.cast("long") * (top + base) >= (F.col(f"{a}n").cast("long") + F.col(f"{b}n")) * top)
-
-
-def _parities(found: np.ndarray) -> np.ndarray:
-    """Whether each of the SKETCH * 64 cells holds an odd number of a set's shingles."""
-    cells = (found.view(np.uint64) >> np.uint64(32)).astype(np.int64) % (SKETCH * 64)
-    return np.packbits(np.bincount(cells, minlength=SKETCH * 64).astype(np.uint8) & 1).view(np.int64)
-
-
-def sketches(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(print, s0, s1, ...): the parities of the sets of the texts asked for. Those of two sets differ in no more places than the sets do."""
-    schema = ", ".join(["print long", *[f"s{i} long" for i in range(SKETCH)]])
-    return _mapped(texts, schema, lambda print_, text: ([print_], *_parities(shingle_set(text)).reshape(SKETCH, 1)), asked)
-
-
-def _sketches_allow(a: str, b: str) -> Column:
-    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-    return apart * sum(ALIKE) <= (F.col(f"{a}n").cast("long") + F.col(f"{b}n")) * (ALIKE[1] - ALIKE[0])
-
-
-def _sided(rows: DataFrame, side: str, *shared: str) -> DataFrame:
-    return rows.select(*shared, *[F.col(c).alias(f"{side}{c}") for c in rows.columns if c not in shared])
-
-
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b), each once, whose whole sets are alike."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("print"))
-    sets = stored(_mapped(texts, "print long, found array<long>", lambda print_, text: ([print_], [shingle_set(text)]), asked))
+            cell = frame["place"].to_numpy() % CELLS
+            texts = frame["text"][(bits[cell >> 3] >> (cell & 7) & 1).astype(bool)].drop_duplicates()
+            for part in _slices(texts) if len(texts) else ():
+                some = texts.iloc[part]
+                yield pd.DataFrame({"node": np.array([words_digest(t) for t in some], np.uint64).view(np.int64), "found": [shingle_set(t).view(np.int64) for t in some]})
+
+    sets = told.mapInPandas(run, "node long, found array<long>").join(asked.select("node"), "node", "left_semi")
+    sets = stored(sets.groupBy("node").agg(F.first("found").alias("found")))
     both = pairs.join(sets.toDF("a", "a_found"), "a").join(sets.toDF("b", "b_found"), "b")
     shared = F.size(F.array_intersect("a_found", "b_found")).cast("long")
     return both.where(shared * sum(ALIKE) >= (F.size("a_found") + F.size("b_found")) * ALIKE[0]).select("a", "b")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a_print", "b_print").alias("a"), F.greatest("a_print", "b_print").alias("b"))
-
-
-def links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all texts that are alike; `texts` (print, text) has one row for each print."""
-    by_size = W.partitionBy("key").orderBy("n", "print")
-    least = F.first(F.struct("print", "n", "at")).over(by_size)
-    before, after = F.lag(F.struct("print", "n", "at")).over(by_size), F.lead("print").over(by_size)
-    met = keys(texts).select("*", least.alias("least"), before.alias("before"), after.alias("after"))
-    met = stored(met.where("before is not null or after is not null").drop("after"))
-    marks = stored(sketches(texts, met))
-    near = met.where("before is not null").select(F.col("print").alias("a_print"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.explode(F.array("before", "least")).alias("other"))
-    near = near.select("a_print", "a_n", "a_at", *[F.col(f"other.{c}").alias(f"b_{c}") for c in ("print", "n", "at")]).where(_can_be_alike("a_", "b_")).select("a_print", "a_n", "b_print", "b_n").distinct()
-    near = near.join(_sided(marks, "a_"), "a_print").join(_sided(marks, "b_"), "b_print").where(_sketches_allow("a_", "b_"))
-    tried = stored(_ordered(near).distinct())
-    first = stored(alike(tried, texts))
-    roots = least_members(first).select(F.col("node").alias("print"), "root")
-    told = met.select("key", "print", "n", "at").join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    apart = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = stored(told.join(apart, "key").join(marks, "print"))
-    rest = _sided(open_, "a_", "key").join(_sided(open_, "b_", "key"), "key").where((F.col("a_root") < F.col("b_root")) & _can_be_alike("a_", "b_") & _sketches_allow("a_", "b_"))
-    return first.unionByName(alike(stored(_ordered(rest).distinct().join(tried, ["a", "b"], "left_anti")), texts))
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots): nodes (node, identity of the least row with its words, print), and the component (node, root) of every node that is not its root."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = signatures(docs, key, text)
+    nodes = stored(rows.groupBy("node").agg(F.min("identity").alias("identity"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    shards = stored(_shards(nodes, shard))
+    tried = stored(first_pairs(shards, radius))
+    first = stored(alike(tried, nodes, docs, key, text))
+    rest = stored(rest_pairs(shards, least_members(first), radius, shard).join(tried, ["a", "b"], "left_anti"))
+    return nodes.drop("keys"), least_members(first.unionByName(alike(rest, nodes, docs, key, text)))
 
 
-def _parts(identity: str) -> list[Column]:
-    return [F.coalesce(F.col(f"{identity}.id").cast("string"), F.lit("")).alias("i"), F.col(f"{identity}.no_id").alias("n"), F.col(f"{identity}.digest").alias("d")]
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The rows of `docs` that stand for their group of near copies, with all their columns. Rows move once, to meet those to keep."""
+    nodes, roots = components(docs, key, text, radius, shard)
+    told = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("identity").alias("identity"))
 
+    def parts(name: str) -> list[Column]:
+        return [F.coalesce(F.col(f"{name}.id").cast("string"), F.lit("")).alias("i"), F.col(f"{name}.no_id").alias("n"), F.col(f"{name}.digest").alias("d")]
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stand for their group of near copies, with all their columns."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    rows = fingerprints(docs, _identity(key, text), text=text, of=words_digest).withColumnRenamed("carried_0", "identity")
-    firsts = rows.groupBy("print").agg(F.min("identity").alias("identity")).checkpoint()
-    told = docs.select(packed(docs), F.col(text).alias("text"), _identity(key, text).alias("identity")).select("row", "text", *_parts("identity"))
+    rows = docs.select(packed(docs), identity(key, text).alias("identity")).select("row", *parts("identity"))
     place = F.row_number().over(W.partitionBy("i", "n", "d").orderBy(F.lit(0)))
-    standing = told.join(firsts.select("print", *_parts("identity")), ["i", "n", "d"]).withColumn("place", place).where("place = 1")
-    texts = stored(standing.select("print", "text", "row"))
-    roots = least_members(links(texts.select("print", "text")))
-    members = roots.select(F.col("node").alias("print"), "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct())
-    told_members = members.join(firsts, "print")
-    least = told_members.groupBy("root").agg(F.min(F.struct("identity", "print")).alias("least")).select("root", F.col("least.print").alias("kept"))
-    lost = members.join(least, "root").where("print <> kept").select("print")
-    return texts.join(lost, "print", "left_anti").select("row.*")
+    return rows.join(told.select(*parts("identity")), ["i", "n", "d"]).withColumn("place", place).where("place = 1").select("row.*")

@@ -58,12 +58,14 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit fingerprint of a whole text as an unsigned number."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not hashes:
-        return 0
+    return majority(np.array(shingle_hashes(text, shingle, seed), "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are 1 where over half of the hashes (little-endian 64-bit) have them set; 0 for no hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
-        block = np.array(hashes[at : at + 65_536], "<u8")
+        block = hashes[at : at + 65_536]
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
@@ -95,11 +97,12 @@ def shard_keys(value: Column, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-def forest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, shard: np.ndarray, met: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """BK-trees of all shards: (the root of each shard, sorted edge keys parent * 65 + distance, children).
 
     Points of a shard must differ and lie side by side; the first is the root. All points that reach a node do so in
-    the same round, so the first of each (node, distance) becomes the child and the others move on to it.
+    the same round, so the first of each (node, distance) becomes the child and the others move on to it. `met`, if given,
+    takes for each point the nearest node on its way down, the first of equals, and the distance to it (65 for roots).
     """
     roots = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
     pending = np.ones(len(prints), bool)
@@ -107,8 +110,12 @@ def forest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarra
     point = np.flatnonzero(pending)
     node = roots[np.searchsorted(roots, point, side="right") - 1]
     keys, children = [], []
+    nearest, least = np.arange(len(prints)), np.full(len(prints), 65)
     while len(point):
-        edge = node * 65 + np.bitwise_count(prints[point] ^ prints[node]).astype(np.int64)
+        distance = np.bitwise_count(prints[point] ^ prints[node]).astype(np.int64)
+        closer = distance < least[point]
+        nearest[point[closer]], least[point[closer]] = node[closer], distance[closer]
+        edge = node * 65 + distance
         found, first, back = np.unique(edge, return_index=True, return_inverse=True)
         keys.append(found)
         children.append(point[first])
@@ -117,6 +124,8 @@ def forest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarra
         point, node = point[stay], point[first][back][stay]
     keys, children = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*children, np.zeros(0, np.int64)])
     order = np.argsort(keys)
+    if met is not None:
+        met += [nearest, least]
     return roots, keys[order], children[order]
 
 
@@ -212,7 +221,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return inside.unionByName(across).mapInPandas(run, "a bigint, b bigint")
 
 
-def _identity(key: str, text: str) -> Column:
+def identity(key: str, text: str) -> Column:
     """What tells rows apart: the id, nulls last, and a digest of the text."""
     return F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
 
@@ -231,7 +240,7 @@ def classes(docs: DataFrame, *carried: Column, key: str = "doc_id", text: str =
     """`carried` columns, then print (the fingerprint's bits as a bigint) and component_id of every row."""
     ensure_checkpoint_dir(docs.sparkSession)
     names = [f"carried_{i}" for i in range(len(carried))]
-    rows = fingerprints(docs, *carried, _identity(key, text), text=text).withColumnRenamed(f"carried_{len(carried)}", "identity").checkpoint()
+    rows = fingerprints(docs, *carried, identity(key, text), text=text).withColumnRenamed(f"carried_{len(carried)}", "identity").checkpoint()
     return rows.join(_least_of_class(rows, radius), "print").select(*names, "print", F.col("least.id").alias("component_id"))
 
 
@@ -245,12 +254,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     Texts move once, to meet the identities to keep; rows that agree in one then lie together.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = fingerprints(docs, _identity(key, text), text=text).withColumnRenamed("carried_0", "identity").checkpoint()
+    rows = fingerprints(docs, identity(key, text), text=text).withColumnRenamed("carried_0", "identity").checkpoint()
 
     def parts(identity: str) -> list[Column]:
         return [F.coalesce(F.col(f"{identity}.id").cast("string"), F.lit("")).alias("i"), F.col(f"{identity}.no_id").alias("n"), F.col(f"{identity}.digest").alias("d")]
 
     kept = _least_of_class(rows, radius).select(*parts("least")).distinct()
-    told = docs.select(packed(docs), _identity(key, text).alias("identity")).select("row", *parts("identity"))
+    told = docs.select(packed(docs), identity(key, text).alias("identity")).select("row", *parts("identity"))
     place = F.row_number().over(W.partitionBy("i", "n", "d").orderBy(F.lit(0)))
     return told.join(kept, ["i", "n", "d"]).withColumn("place", place).where("place = 1").select("row.*")

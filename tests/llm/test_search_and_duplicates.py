@@ -138,11 +138,10 @@ def edited(rnd, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("sample", [16, 1])
-def test_near_copies_of_the_pipeline_miss_no_pair(spark, sf_dir, monkeypatch, sample):
+@pytest.mark.parametrize("shard", [near_copies.SHARD, 4])
+def test_near_copies_of_the_pipeline_miss_no_pair(spark, sf_dir, shard):
     import corpus_pipeline
 
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
     rnd = np.random.default_rng(4)
     made = []
     for size in (4, 5, 12, 40, 150, 300):
@@ -152,11 +151,22 @@ def test_near_copies_of_the_pipeline_miss_no_pair(spark, sf_dir, monkeypatch, sa
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate(made)] + [(20_000, None), (20_001, " \t"), (20_002, "")]
     docs = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, print string")
-    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir) if shard == near_copies.SHARD else near_copies.one_of_each(docs, shard=shard)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
 
 
+def test_a_large_group_of_near_copies_beside_strays(spark):
+    rnd = np.random.default_rng(6)
+    base, other = ([f"{p}{rnd.integers(900)}" for _ in range(120)] for p in "wv")
+    half = base[:60] + other[:60]
+    texts = [edited(rnd, base, 1 + i % 4) for i in range(150)] + [edited(rnd, half, 1) for _ in range(5)] + [edited(rnd, base[:100] + other[:20], 2) for _ in range(5)] + [" ".join(other)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (near_copies.SHARD, 16):
+        assert sorted(r["doc_id"] for r in near_copies.one_of_each(docs, shard=shard).collect()) == plain_kept(rows)
+
+
 def test_near_copies_of_odd_rows(spark):
     got = [r["doc_id"] for r in near_copies.one_of_each(odd.documents(spark)).collect()]
     assert sorted(got) == [-8, 1, 3, 5, 6]
