@@ -1,18 +1,23 @@
 """Main text of web pages by site style trees.
 
-The DOMs of a host are merged into one tree of element paths. Each path has an importance between 0 and 1 from two
-entropies: of its presentation (the child sequences its elements have across the host's pages) and of its content (block
-texts that recur on many pages say little, texts of their own page say much). Branches of low importance are taken out of each page,
-together with elements whose tag, role or class names them as menus, headers, footers, sidebars, notices, adverts, forms or
-comments; of what is left, the article is the text.
-
-Tree nodes are counted by (host, path, style) with partial sums, so a host with a third of all pages is no task of its
-own; equal pages of a host count once. Only the low-importance paths go back to the pages, in a join that Spark makes a
-broadcast only if their written size is below its threshold.
-
-Defined results: a null or empty page has an empty text; a null url is a host of its own, and its pages are judged by tags and
-classes alone; a page that ends early is read as far as it goes; text is never dropped for length. Repeated rows get equal
-texts; an empty table gives an empty one.
+The DOMs of a host are merged into one tree of element paths. Every element that holds text is in it, menus and adverts
+too, and has an importance between 0 and 1 from two entropies: of its presentation (the child sequences it has on the
+host's pages) and of the content of its whole branch (the self-information of its blocks: a text on all pages says nothing, one of
+two equally frequent texts one bit). Entropies are turned into effective numbers, so an importance depends on the shares of
+pages and never on how many pages a host has. A page loses its branches of low importance times prior. The prior of an
+element is what its tag, role and class say: menus, headers, footers, sidebars, notices, adverts, forms and comments are
+low enough to go by themselves, doubtful names leave it to the tree, headings and table rows of an article are spared.
+Of what is left, the article is the text.
+
+Pages are parsed once, in linear time, into blocks and element paths; the rest is Spark: tree nodes are counted by (host, path,
+feature) with partial sums, so a host with a third of all pages is no task of its own, and equal pages of a host count
+once. Only the low paths go back to the pages, in a join that Spark makes a broadcast only if their written size is below its
+threshold.
+
+Defined results: a null or empty page has an empty text; a null url is a host of its own, and its pages, like those of hosts with
+under `LEAST_PAGES` different pages, are judged by priors alone; a page that ends early is read as far as it goes, up to a
+tag it breaks off in; elements nested deeper than `DEPTH` are read as siblings at that depth; text is never dropped for length.
+Repeated rows get equal texts; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,21 +25,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pagemill.llm.common import stored
-from pagemill.session import ensure_checkpoint_dir
 
-#: Paths seen on fewer distinct pages of a host are not judged.
+#: Paths seen on fewer distinct pages of a host are not judged; what is not judged counts as half important.
 LEAST_PAGES = 5
+UNJUDGED = 0.5
 LOW_IMPORTANCE = 0.2
+#: Weight of content beside presentation.
 DAMPING = 0.9
+NAMED, DOUBTFUL, NEUTRAL = 0.1, 0.25, 1.0
+DEPTH = 256
+#: Tags of a page with an unclosed quote, after which all its tags are taken to end at their first `>`.
+BROKEN_TAGS = 64
+#: Pages parsed into one Arrow batch.
+PAGES = 256
 
 # Elements by their role in HTML.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
@@ -43,71 +54,99 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED_TAGS = frozenset("nav footer aside form menu dialog search head button fieldset".split())
+RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title".split())
+SPARED_TAGS = frozenset("h1 h2 h3 h4 h5 h6 tr caption dt figcaption".split())
+PROSE_TAGS = frozenset("p pre blockquote".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "masthead topbar siteheader pageheader footer sitefooter pagefooter sidebar aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus form search "
-    "pagination pager widget widgets toolbar skip copyright disclaimer banner paywall".split()
+    "masthead topbar siteheader pageheader footer sitefooter pagefooter sidebar aside cookie cookies consent gdpr notice notices notification alert popup newsletter "
+    "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus search "
+    "pagination pager skip paywall".split()
 )
+# Names that also stand on what holds text, so that the tree decides.
+DOUBTFUL_NAMES = frozenset("widget widgets toolbar banner overlay modal disclaimer copyright form header".split())
 MODIFIERS = frozenset("no has with without is show hide enable disable".split())
 #: Elements that hold the page or its text whatever their class says.
 WHOLE = frozenset("html body main".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)\b(?:[^>\"'/]|\"[^\"]*\"|'[^']*'|/(?!>))*/>"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
+OUTSIDE, PROSE, MAIN, ARTICLE = range(4)
 
 
 @dataclass
-class Node:
+class Element:
+    """An open element: its place among the page's paths, the zone it lies in, and a running digest of its children."""
+
     tag: str
-    path: str
-    dropped: bool
-    container: str
-    children: list[str] = field(default_factory=list)
+    at: int
+    zone: int
+    children: int = 0
+    last: str = ""
+
+
+@dataclass
+class Page:
+    """A parsed page: element paths with the paths down to them and their priors (none where spared), blocks (place among the
+    paths, zone, text), styles (path, style)."""
+
+    place: dict[int, int] = field(default_factory=dict)
+    paths: list[int] = field(default_factory=list)
+    above: list[tuple[int, ...]] = field(default_factory=list)
+    priors: list[float | None] = field(default_factory=list)
+    blocks: list[tuple[int, int, str]] = field(default_factory=list)
+    styles: set[tuple[int, int]] = field(default_factory=set)
+
+
+@lru_cache(200_000)
+def _digest(above: int, label: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"{above}>{label}") - 2**63
 
 
-def _names_noise(token: str) -> bool:
-    """Whether a class or id says that an element is no main text: by its first or last word, unless it only says what the
-    page has or lacks beside it (has-sidebar, no-comments)."""
+def _prior_of(token: str) -> float:
+    """What a class or id says of an element, by its first or last word, unless it only says what the page has or lacks beside
+    it (has-sidebar, no-comments)."""
     parts = NAME.findall(token)
-    return bool(parts) and parts[0] not in MODIFIERS and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES)
+    if not parts or parts[0] in MODIFIERS:
+        return NEUTRAL
+    ends = {parts[0], parts[-1]}
+    return NAMED if ends & DROPPED_NAMES else DOUBTFUL if ends & DOUBTFUL_NAMES else NEUTRAL
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """(tag with the words of its class and id, whether they name it as something other than main text)."""
-    dropped = tag in DROPPED_TAGS
+@lru_cache(50_000)
+def _label(tag: str, attributes: str) -> tuple[str, float, bool]:
+    """(tag with the words of its class and id, prior, whether its role is main)."""
+    prior = NAMED if tag in DROPPED_TAGS else NEUTRAL
     if "=" not in attributes:
-        return tag, dropped
+        return tag, prior, False
     words: list[str] = []
+    main = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
-            dropped |= value.strip() in DROPPED_ROLES
+            prior = min(prior, NAMED if value.strip() in DROPPED_ROLES else NEUTRAL)
+            main |= value.strip() == "main"
             words.append(f"role-{value.strip()}")
             continue
         for token in value.split():
             words.append(re.sub(r"\d+", "", token))
-            dropped |= tag not in WHOLE and _names_noise(token)
-    return ".".join([tag, *sorted(words)]), dropped
+            if tag not in WHOLE:
+                prior = min(prior, _prior_of(token))
+    return ".".join([tag, *sorted(words)]), prior, main
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, bool, str, str]], list[tuple[str, str]]]:
-    """(blocks, styles) of a page: each block's path, whether it is dropped by name, the kind of container it lies in and
-    its text; and the sequence of children of every element that has any."""
-    blocks: list[tuple[str, bool, str, str]] = []
-    styles: list[tuple[str, str]] = []
-    root = Node("", "", False, "")
-    stack, buffer, at = [root], [], 0
+def parse(html: str | None) -> Page:
+    """The blocks of a page in order, and the element paths they lie in."""
     html = html or ""
+    page = Page(paths=[0], above=[()], priors=[None])
+    stack = [Element("", 0, OUTSIDE)]
+    buffer: list[str] = []
+    at, open_p, patience = 0, 0, BROKEN_TAGS
 
     def flush() -> None:
         if buffer:
@@ -115,148 +154,196 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, str, str]], list[tupl
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, top.dropped, top.container, text))
+                page.blocks.append((top.at, PROSE if top.zone == OUTSIDE and top.tag in PROSE_TAGS else top.zone, text))
 
     def close(depth: int) -> None:
+        nonlocal open_p
         flush()
         while len(stack) > depth:
             done = stack.pop()
+            open_p -= done.tag == "p"
             if done.children:
-                styles.append((done.path, " ".join(done.children)))
+                page.styles.add((page.paths[done.at], done.children))
 
-    for token in TOKEN.finditer(html):
-        if token.start() > at:
-            buffer.append(html[at : token.start()])
+    def deepest(tags) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
+
+    def enter(tag: str, attributes: str) -> None:
+        nonlocal open_p
+        parent = stack[-1]
+        label, prior, main = _label(tag, attributes)
+        if tag == "header" and parent.zone != ARTICLE:
+            prior = NAMED
+        zone = ARTICLE if tag == "article" else MAIN if (tag == "main" or main) and parent.zone != ARTICLE else parent.zone
+        path = _digest(page.paths[parent.at], label)
+        if label != parent.last:
+            parent.last, parent.children = label, _digest(parent.children, label)
+        if (place := page.place.get(path)) is None:
+            place = page.place[path] = len(page.paths)
+            page.paths.append(path)
+            page.above.append((*page.above[parent.at], path))
+            page.priors.append(None if prior == NEUTRAL and (tag in WHOLE or tag in SPARED_TAGS and zone == ARTICLE) else prior)
+        open_p += tag == "p"
+        stack.append(Element(tag, place, zone))
+
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            buffer.append(html[at:])
+            break
+        mark = html[start + 1 : start + 2]
+        if not (mark.isascii() and mark.isalpha() or mark in ("/", "!", "?")) or not mark:
+            buffer.append(html[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            buffer.append(html[at:start])
+        if mark in "!?" or mark == "/" and not html[start + 2 : start + 3].isalpha():
+            ending = "-->" if html.startswith("<!--", start) else ">"
+            end = html.find(ending, start + 2)
+            if end < 0:
+                break
+            at = end + len(ending)
+            continue
+        token = TAG.match(html, start) if patience else None
+        if token is None:
+            patience -= patience > 0
+            token = LOOSE_TAG.match(html, start)
+            if token is None:
+                break
         at = token.end()
-        slash, name, attributes = (token[2], token[3], token[4]) if token[3] else (token[5], token[6], token[7])
-        if not name:
+        slash, tag, attributes = token[1], token[2].lower(), token[3]
+        if tag in RAW_TAGS:
+            if not slash and not (tag in ("svg", "math") and attributes.endswith("/")):
+                end = RAW_ENDS[tag].search(html, at)
+                if end is None:
+                    break
+                at = end.start()
             continue
-        tag = name.lower()
         if tag in ("br", "td", "th"):
             buffer.append(" ")
-        if tag not in BLOCKS:
-            if tag in DROPPED_TAGS:
-                _drop_inline(tag, slash, attributes, stack, flush)
+        if tag not in BLOCKS and tag not in DROPPED_TAGS:
             continue
         if slash:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                close(depth)
-            else:
-                flush()
+            depth = deepest((tag,))
+            close(depth) if depth else flush()
             continue
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack):
-            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"))
+        if tag == "body":
+            close(deepest(("head",)) or len(stack))
+        elif tag in CLOSES_P and open_p:
+            close(deepest(("p",)))
         elif tag in IMPLIED:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SCOPES[tag]:
-                    break
-                if stack[i].tag in IMPLIED[tag]:
-                    close(i)
-                    break
+            depth = deepest(SCOPES[tag] | IMPLIED[tag])
+            if depth and stack[depth].tag in IMPLIED[tag]:
+                close(depth)
         flush()
         if tag in VOID:
             continue
-        parent = stack[-1]
-        label, dropped = _label(tag, attributes)
-        if tag == "header" and parent.container != "article":
-            dropped = True
-        container = parent.container
-        if tag == "article" or (tag == "main" or "role-main" in label) and container != "article":
-            container = "article" if tag == "article" else "main"
-        if not parent.children or parent.children[-1] != label:
-            parent.children.append(label)
-        stack.append(Node(tag, f"{parent.path}>{label}", parent.dropped or dropped, container))
-    if at < len(html):
-        rest = html[at:]
-        cut = rest.rfind("<")  # a tag that the page breaks off in is no text
-        buffer.append(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
+        if len(stack) > DEPTH:
+            close(DEPTH)
+        enter(tag, attributes)
     close(1)
-    return blocks, styles
-
-
-def _drop_inline(tag: str, slash: str, attributes: str, stack: list[Node], flush) -> None:
-    """Buttons and the head stand in the stack though they make no blocks, so that their text goes with them."""
-    flush()
-    if slash:
-        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-        if depth:
-            del stack[depth:]
-    else:
-        parent = stack[-1]
-        stack.append(Node(tag, f"{parent.path}>{tag}", True, parent.container))
-
-
-def main_text(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
-    """The article's blocks in page order, one a line; `low` holds the keys of paths to leave out."""
-    blocks, _ = parse(html)
-    kept = [(container, text) for path, dropped, container, text in blocks if not dropped and not (low and path_key(path) in low)]
-    articles, mains = ([text for container, text in kept if container == kind] for kind in ("article", "main"))
-    if articles and sum(map(len, articles)) >= sum(map(len, mains)):
-        return "\n".join(articles)
-    if mains:
-        return "\n".join(text for container, text in kept if container)
-    return "\n".join(text for _, text in kept)
-
-
-def path_key(path: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(path) - 2**63
+    return page
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The merged trees: (host, path, n_pages, importance), a row for each element path of a host that holds text.
+def parsed(pages: DataFrame, *carried: Column, url: str = "url", html: str = "html") -> DataFrame:
+    """`row` (the carried columns), site (a digest of the host, null for none), page (a digest of the html), and what `parse` finds:
+    paths (path, above, prior) of elements that hold text, blocks (path, zone, text) and styles (path, style)."""
+    import pyarrow as pa
 
-    With m pages at a path, presentation importance is the entropy of its styles over ln m, and content importance is one
-    less the mean over its blocks of ln(pages with that block) / ln m.
+    names = [f"carried_{i}" for i in range(len(carried))]
+    row = F.struct(*[c.alias(n) for c, n in zip(carried, names, strict=True)], F.lit(True).alias("there"))
+    named = pages.select(row.alias("row"), F.when(host(F.col(url)) != "", F.xxhash64(host(F.col(url)))).alias("site"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    kept = named.select("row", "site", "page").schema
+    schema = f"row {kept['row'].dataType.simpleString()}, site bigint, page bigint, paths array<struct<path: bigint, above: array<bigint>, prior: double>>, blocks array<struct<path: bigint, zone: int, text: string>>, styles array<struct<path: bigint, style: bigint>>"
+
+    def lists(sizes: list[int], values) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+    def chains(found: list[tuple[int, ...]]) -> pa.ListArray:
+        return lists([len(c) for c in found], pa.array([p for c in found for p in c], pa.int64()))
+
+    def built(html: list[str | None]) -> list[pa.Array]:
+        told = [parse(h) for h in html]
+        held = [[i for i in range(1, len(p.paths)) if i in used] for p, used in ((p, {p.place[x] for at, *_ in p.blocks for x in p.above[at]}) for p in told)]
+        paths = pa.StructArray.from_arrays([
+            pa.array([p.paths[i] for p, own in zip(told, held, strict=True) for i in own], pa.int64()), chains([p.above[i] for p, own in zip(told, held, strict=True) for i in own]),
+            pa.array([p.priors[i] for p, own in zip(told, held, strict=True) for i in own], pa.float64()),
+        ], ["path", "above", "prior"])
+        blocks = pa.StructArray.from_arrays([
+            pa.array([p.paths[at] for p in told for at, *_ in p.blocks], pa.int64()), pa.array([zone for p in told for _, zone, _ in p.blocks], pa.int32()), pa.array([text for p in told for *_, text in p.blocks], pa.string()),
+        ], ["path", "zone", "text"])
+        styles = pa.StructArray.from_arrays([pa.array([s[k] for p in told for s in sorted(p.styles)], pa.int64()) for k in (0, 1)], ["path", "style"])
+        return [lists([len(own) for own in held], paths), lists([len(p.blocks) for p in told], blocks), lists([len(p.styles) for p in told], styles)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                own = [part.column(n) for n in ("row", "site", "page")]
+                yield pa.RecordBatch.from_arrays([*own, *built(part.column("html").to_pylist())], ["row", "site", "page", "paths", "blocks", "styles"])
+
+    return named.mapInArrow(run, schema)
+
+
+def style_tree(told: DataFrame) -> DataFrame:
+    """The merged trees of parsed pages: (site, path, n_pages, presentation, content, importance, prior), a row for each element path
+    of a host that holds text.
+
+    With c of the m pages of a path holding a block, the block has the self-information ln(m / c). Content is one less the
+    inverse exponential of its mean over the blocks of the branch, presentation the same of the entropy of the path's styles.
     """
-    seen = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("html is not null and host <> ''")
-    schema = StructType([StructField("host", StringType()), StructField("page", LongType()), StructField("path", LongType()), StructField("kind", StringType()), StructField("feature", LongType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple[str, int, int, str, int]] = []
-            for name, page in zip(frame["host"], frame["html"], strict=True):
-                blocks, styles = parse(page)
-                digest = path_key(page)
-                own = {(path, "text", text) for path, dropped, _, text in blocks if not dropped}
-                paths = {path for path, _, _ in own}
-                own |= {(path, "style", style) for path, style in styles if path in paths} | {(path, "page", page) for path in paths}
-                rows += [(name, digest, path_key(path), kind, path_key(what)) for path, kind, what in own]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pd.DataFrame({f.name: pd.Series(list(c), dtype=np.int64 if f.dataType == LongType() else object) for f, c in zip(schema.fields, columns, strict=True)})
-
-    counted = seen.mapInPandas(run, schema).distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
-    spread = counted.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("clnc"))
-    of = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col(name)))
-    wide = spread.groupBy("host", "path").agg(of("page", "n").alias("m"), of("text", "n").alias("texts"), of("text", "clnc").alias("text_sum"), of("style", "n").alias("styles"), of("style", "clnc").alias("style_sum"))
-    scale = F.ln(F.greatest("m", F.lit(2)))
-    presentation = F.coalesce((F.ln("styles") - F.col("style_sum") / F.col("styles")) / scale, F.lit(0.0))
-    content = 1 - F.col("text_sum") / (F.col("texts") * scale)
-    importance = F.when(F.col("m") > 1, (1 - DAMPING) * presentation + DAMPING * content).otherwise(F.lit(1.0))
-    return wide.select("host", "path", F.col("m").alias("n_pages"), importance.alias("importance"))
+    seen = told.where("site is not null")
+    feature = lambda kind, path, what: F.struct(F.lit(kind).alias("kind"), path.alias("path"), what.alias("feature"))
+    features = F.concat(
+        F.transform("paths", lambda p: feature("page", p["path"], F.lit(0).cast("long"))),
+        F.transform("blocks", lambda b: feature("text", b["path"], F.xxhash64(b["text"]))),
+        F.transform("styles", lambda s: feature("style", s["path"], s["style"])),
+    )
+    rows = seen.select("site", "page", F.explode(features).alias("f")).select("site", "page", "f.*").distinct()
+    counted = rows.groupBy("site", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
+    spread = counted.groupBy("site", "path").agg(
+        F.max(F.when(F.col("kind") == "page", F.col("c"))).alias("m"),
+        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).alias(name) for kind, name, value in (("text", "blocks", F.col("c")), ("text", "block_sum", F.col("c") * F.ln("c")), ("style", "styles", F.col("c")), ("style", "style_sum", F.col("c") * F.ln("c")))],
+    ).where("m is not null")
+    chains = seen.select("site", F.explode("paths").alias("p")).groupBy("site", F.col("p.path").alias("path")).agg(F.first("p.above").alias("above"), F.min("p.prior").alias("prior"))
+    known = spread.join(chains, ["site", "path"])
+    own = known.where("blocks > 0").select("site", "blocks", (F.col("blocks") * F.ln("m") - F.col("block_sum")).alias("information"), F.explode("above").alias("path"))
+    branches = own.groupBy("site", "path").agg(F.sum("blocks").alias("held"), F.sum("information").alias("information"))
+    presentation = F.when(F.col("styles") > 0, 1 - F.exp(F.col("style_sum") / F.col("styles") - F.ln("styles"))).otherwise(F.lit(0.0))
+    content = 1 - F.exp(-F.col("information") / F.col("held"))
+    both = known.join(branches, ["site", "path"]).select("site", "path", F.col("m").alias("n_pages"), presentation.alias("presentation"), content.alias("content"), "prior")
+    return both.withColumn("importance", (1 - DAMPING) * F.col("presentation") + DAMPING * F.col("content"))
+
+
+def low_branches(tree: DataFrame, low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(site, low): the paths of each host's tree whose importance times prior is below `low`."""
+    importance = F.when(F.col("n_pages") >= least_pages, F.col("importance")).otherwise(F.lit(UNJUDGED))
+    return tree.where(importance * F.col("prior") < low).groupBy("site").agg(F.collect_set("path").alias("low"))
+
+
+def main_text(blocks: Column) -> Column:
+    """The article of kept blocks, one block a line: article elements unless the rest of the main element, or failing one
+    the prose of the page, is longer."""
+    of = lambda *zones: F.array_join(F.transform(F.filter(blocks, lambda b: b["zone"].isin(*zones)), lambda b: b["text"]), "\n")
+    article, main, prose = of(ARTICLE), of(MAIN), of(PROSE)
+    rest = F.when(main != "", main).otherwise(prose)
+    return F.when((article != "") & (F.length(article) >= F.length(rest)), article).when(main != "", of(MAIN, ARTICLE)).otherwise(of(OUTSIDE, PROSE, ARTICLE))
 
 
 def extract(pages: DataFrame, *carried: Column, url: str = "url", html: str = "html", low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """`carried` columns and the main text of every page."""
-    ensure_checkpoint_dir(pages.sparkSession)
-    names = [f"carried_{i}" for i in range(len(carried))]
-    tree = style_tree(pages, url, html)
-    noise = stored(tree.where((F.col("n_pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low")))
-    named = pages.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    told = named.join(noise, "host", "left").select(*names, "html", "low")
-    schema = StructType([*[f for f in told.schema.fields if f.name in names], StructField("text", StringType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[names].copy()
-            texts = [main_text(h, frozenset() if low is None else frozenset(low.tolist())) for h, low in zip(frame["html"], frame["low"], strict=True)]
-            out["text"] = pd.Series(texts, index=frame.index, dtype=object)
-            yield out
-
-    return told.mapInPandas(run, schema)
+    told = stored(parsed(pages, *carried, url=url, html=html))
+    noise = stored(low_branches(style_tree(told), low, least_pages))
+    judged = told.join(noise, "site", "left")
+    # Without a host there is no tree, and every importance is that of what is not judged.
+    untold = F.transform(F.filter("paths", lambda p: p["prior"] * UNJUDGED < low), lambda p: p["path"])
+    out = F.when(F.col("site").isNull(), untold).otherwise(F.coalesce("low", F.array().cast("array<bigint>")))
+    gone = F.transform(F.filter("paths", lambda p: F.arrays_overlap(p["above"], F.col("out"))), lambda p: p["path"])
+    cut = judged.withColumn("out", out).withColumn("gone", gone)
+    kept = F.filter("blocks", lambda b: ~F.array_contains("gone", b["path"]))
+    return cut.select("row", kept.alias("kept")).select(*[F.col(f"row.carried_{i}") for i in range(len(carried))], main_text(F.col("kept")).alias("text"))

@@ -189,38 +189,129 @@ text</pre><table><tr><td>c1</td><td>c2</td></tr></table><button>Press</button>
 <p title="a>b">Quoted</p></article><aside>Side</aside><section id="comments"><p>reader says</p></section><footer>&copy; foot</footer></body></html>"""
 
 
-def test_main_text():
-    assert site_style.main_text(PAGE) == "A & B\nFirst para graph <x>\nSecond one\nkept text\nc1 c2\nQuoted"
-    assert site_style.main_text(None) == "" and site_style.main_text("") == "" and site_style.main_text("plain &amp; simple") == "plain & simple"
-    assert site_style.main_text("<body><p>one<p>two<div>three</div><ul><li>a<li>b</ul>") == "one\ntwo\nthree\na\nb"
-    assert site_style.main_text("<article><p>cut off <b") == "cut off"
-    sides = '<body class="has-sidebar ad"><div class="content no-comments"><article class="post share-on"><p>x</p><div class="post-comments"><article class="comment"><p>y</p></article></div></article></div>'
-    assert site_style.main_text(sides.replace(" share-on", "")) == "x"
-    assert site_style.main_text("<main><p>m</p></main><p>o</p>") == "m" and len(site_style.main_text("<p>" + "x" * 200_000)) == 200_000
+def plain_text(page, low=frozenset()):
+    """The main text of a parsed page, with what `low` holds and, without a host, low priors left out."""
+    gone = {p for p, above, prior in zip(page.paths, page.above, page.priors, strict=True) if low & set(above)}
+    kept = [(zone, text) for at, zone, text in page.blocks if page.paths[at] not in gone]
+    article, main, prose = ("\n".join(t for z, t in kept if z == zone) for zone in (site_style.ARTICLE, site_style.MAIN, site_style.PROSE))
+    if article and len(article) >= len(main or prose):
+        return article
+    return "\n".join(t for z, t in kept if z in (site_style.MAIN, site_style.ARTICLE)) if main else "\n".join(t for _, t in kept)
+
+
+def without_host(html):
+    page = site_style.parse(html)
+    return plain_text(page, frozenset(p for p, prior in zip(page.paths, page.priors, strict=True) if prior is not None and prior * site_style.UNJUDGED < site_style.LOW_IMPORTANCE))
+
+
+def plain_site(pages):
+    """The texts of one host's pages by a tree that is counted in plain Python."""
+    told = [site_style.parse(h) for h in pages]
+    different = list({h: p for h, p in zip(pages, told, strict=True)}.values())
+    at, prior, branch, out = {}, {}, {}, set()
+    for p in different:
+        for path in {x for i, *_ in p.blocks for x in p.above[i]}:
+            i = p.place[path]
+            at.setdefault(path, []).append(p)
+            prior[path] = p.priors[i]
+    for path, holders in at.items():
+        shares = {}
+        for p in different:
+            for i, text in {(i, t) for i, _, t in p.blocks}:
+                if path in p.above[i]:
+                    shares.setdefault((p.paths[i], text), []).append(len(at[p.paths[i]]))
+        bits = [np.log(m[0] / len(m)) for m in shares.values() for _ in m]
+        styles = [s for p in different for x, s in p.styles if x == path]
+        counts = np.array([styles.count(s) for s in set(styles)]) / max(1, len(styles))
+        looks = 1 - np.exp(np.sum(counts * np.log(counts))) if styles else 0.0
+        importance = 0.1 * looks + 0.9 * (1 - np.exp(-np.mean(bits))) if len(holders) >= site_style.LEAST_PAGES else site_style.UNJUDGED
+        branch[path] = importance
+        if prior[path] is not None and importance * prior[path] < site_style.LOW_IMPORTANCE:
+            out.add(path)
+    return [plain_text(p, out) for p in told], branch
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, low int")
+    return {r["carried_0"]: r["text"] for r in site_style.extract(pages, F.col("page_id")).collect()}
+
+
+SINGLE_PAGES = {
+    PAGE: "A & B\nFirst para graph <x>\nSecond one\nkept text\nc1 c2\nQuoted", None: "", "": "", "plain &amp; simple": "plain & simple", "a < b <3 c": "a < b <3 c",
+    "<body><p>one<p>two<div>three</div><ul><li>a<li>b</ul>": "one\ntwo\nthree\na\nb", "<article><p>cut off <b": "cut off", "<head><title>t</title><body><p>x": "x",
+    '<body class="has-sidebar ad"><div class="content no-comments"><article class="post"><p>x</p><div class="post-comments"><article class="comment"><p>y</p></article></div></article></div>': "x",
+    "<main><p>m</p></main><p>o</p>": "m", "<article><p>short</p></article><p>The text of the page stands beside the article and is longer.</p>": "short\nThe text of the page stands beside the article and is longer.",
+    "<!--><p>a</p><!-- <p>b</p> --><p>c</p><!-- d": "a\nc", "<p title='x>y' class=\"a>b\">q</p><p a='>r</p>": "q\nr",
+}
+
+
+def test_main_text(spark):
+    rows = [(i, None, html) for i, html in enumerate(SINGLE_PAGES)] + [(99, None, "<p>" + "x" * 200_000)]
+    got = extracted(spark, rows)
+    assert got == dict(enumerate(SINGLE_PAGES.values())) | {99: "x" * 200_000}
+    assert all(without_host(html) == text for html, text in SINGLE_PAGES.items())
+
+
+def test_hostile_pages_take_seconds():
+    import time
+
+    start = time.perf_counter()
+    for html in ("<div>" * 200_000, "<a '" * 250_000, '<a ">" ' * 140_000, "<!" * 500_000, "<" * 1_000_000, "<div>" * 256 + "<p>x" * 200_000, "<svg \"" * 160_000):
+        page = site_style.parse(html)
+        assert max(map(len, page.above)) <= site_style.DEPTH + 1
+    assert time.perf_counter() - start < 40
+    assert len(site_style.parse("<div>" * 2000 + "deep").blocks) == 1
 
 
 def test_self_closed_svg_and_math_are_empty():
     for icon in ("<svg/>", '<svg class="a/b" href="x>y" />', "<math display=block/>", "<SVG width='1' />"):
-        assert site_style.main_text(f"<article><p>one {icon} two</p><p>three</p><svg><text>no</text></svg><p>four</p></article>") == "one two\nthree\nfour"
-    assert site_style.main_text('<p>a</p><svg viewBox="0 0"><path d="M0"/><text>no</text></svg><p>b</p>') == "a\nb"
+        assert without_host(f"<article><p>one {icon} two</p><p>three</p><svg><text>no</text></svg><p>four</p></article>") == "one two\nthree\nfour"
+    assert without_host('<p>a</p><svg viewBox="0 0"><path d="M0"/><text>no</text></svg><p>b</p>') == "a\nb"
 
 
 def test_teaser_articles_do_not_replace_main_text():
     body = "The whole text of the page stands here and goes on for a while."
     cards = "<article><p>Card one</p></article><article><p>Card two</p></article>"
-    assert site_style.main_text(f"<main><p>{body}</p></main>{cards}").startswith(body)
-    assert body in site_style.main_text(f"<main>{cards}<p>{body}</p></main>")
-    assert site_style.main_text(f"<main><p>Up</p><article><p>{body}</p></article></main>") == body
+    assert without_host(f"<main><p>{body}</p></main>{cards}").startswith(body)
+    assert body in without_host(f"<main>{cards}<p>{body}</p></main>")
+    assert without_host(f"<main><p>Up</p><article><p>{body}</p></article></main>") == body
 
 
 def test_style_tree_drops_what_a_site_repeats(spark):
     rows = [(i, f"http://one.example/{i}", f"<body><div class=x1>Follow us on this site</div><article><p>Text {i} of its own</p><div class=tail>Ask the desk for reprints</div></article>") for i in range(12)]
     rows += [(i, "http://two.example/", rows[0][2]) for i in range(20, 40)] + [(50, None, rows[0][2]), (51, "http://one.example/x", None), (52, "http://one.example/y", "")]
-    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, low int")
-    got = {r["carried_0"]: r["text"] for r in site_style.extract(pages, F.col("page_id")).collect()}
+    got = extracted(spark, rows)
     assert all(got[i] == f"Text {i} of its own" for i in range(12)) and len(got) == len(rows)
     assert all(got[i] == "Text 0 of its own\nAsk the desk for reprints" for i in [*range(20, 40), 50]) and got[51] == "" and got[52] == ""
-    assert site_style.extract(pages.where("false"), F.col("page_id")).collect() == []
+    assert extracted(spark, []) == {}
+
+
+def test_style_tree_against_a_plain_one(spark):
+    rnd = np.random.default_rng(8)
+    word = lambda k: f"w{rnd.integers(k)}"
+
+    def made(i):
+        menu = "".join(f"<li>{t}" for t in ("Home", "News", "Shop")[: 2 + i % 2])
+        cells = "".join(f"<tr><td>Size<td>{word(4)}" for _ in range(rnd.integers(3)))
+        return f"""<body><div class=bar><ul>{menu}</ul></div><div class=widget-{i % 3}>{word(3) if i % 2 else "Write to us"}</div><div class="text widget-body"><p>{word(999)} {i}</div>
+        <main><h2>Background</h2><p>{i} {word(99)}</p><div class=tip>{word(2)}</div><table>{cells}</table><article><h2>Methods</h2><p>own {i}</p><p>All alike</p><table>{cells}</table></article></main><div>{"Seen by all" if i % 9 else word(50)}</div>"""
+
+    for n in (4, 40):
+        pages = [made(i) for i in range(n)] + [made(1)] * 3
+        want, tree = plain_site(pages)
+        assert extracted(spark, [(i, "http://a.example/", h) for i, h in enumerate(pages)]) == dict(enumerate(want))
+        held = spark.createDataFrame([("http://a.example/", h) for h in pages], "url string, html string")
+        found = {r["path"]: (r["importance"] if r["n_pages"] >= site_style.LEAST_PAGES else site_style.UNJUDGED) for r in site_style.style_tree(site_style.parsed(held)).collect()}
+        assert found.keys() == tree.keys() and all(abs(found[p] - tree[p]) < 1e-9 for p in tree)
+
+
+def test_verdicts_do_not_depend_on_the_size_of_a_host(spark):
+    heads = ("Background", "Methods", "Results", "Outlook", "Sources")
+    page = lambda i: f"<body><div class=strip>{('Read on', 'Follow us')[i % 20 == 0]}</div><div class=x><h3>{heads[i % 5]}</h3><div class=by>{'ABCDE'[i % 5]}</div><p>Text {i}</p></div>"
+    want = lambda i: f"{heads[i % 5]}\n{'ABCDE'[i % 5]}\nText {i}"
+    for n in (100, 10_000):
+        got = extracted(spark, [(i, "http://a.example/", page(i)) for i in range(n)])
+        assert all(got[i] == want(i) for i in range(n))
 
 
 # --- revisits
