@@ -40,9 +40,9 @@ quality as (select *, not base_failed and {_rules_sql()} as kept from judged)
 MIX_CTES = rf"""
 sized as (
   select *, coalesce('=' || source, '~') as skey, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
-         ((coalesce(doc_id, -1) & 2147483647) * 2654435761) % 4294967296 as mixed from MIX_INPUT),
+         ((xor(coalesce(doc_id, -1), ('0x' || substr(md5(coalesce(text, '')), 1, 8))::bigint) & 2147483647) * 2654435761) % 4294967296 as mixed from MIX_INPUT),
 banded as (
-  select *, (length(bin(size)) * 8 + floor(size * 8 / pow(2.0, length(bin(size)))))::bigint as band, mixed // 4194304 as bucket from sized),
+  select *, (length(bin(size)) * 8 + floor(size * 8 / pow(2.0, length(bin(size)))))::bigint as band, (mixed // 4194304)::bigint as bucket from sized),
 totals as (select skey, sum(size)::double as total from banded group by skey),
 weighted as (select skey, total, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by skey) - 1) % 3 + 1)::int] as weight from totals),
 levels as (

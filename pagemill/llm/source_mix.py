@@ -6,7 +6,8 @@ each whole number that its stretch of the sum crosses. The order runs through th
 words differ from its target by little more than its largest document.
 
 No task sees a whole source: the sum is taken over (size band, bucket) cells, whose counts are summed before
-anything is ordered; only within a cell are the documents themselves put in order.
+anything is ordered; only within a cell are the documents themselves put in order, and equal rows have one order. The targets are
+worked out over one row a source, in one task: sources are named collections, not hosts.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; repeated rows
 and repeated ids are documents of their own; sources without any word take nothing; an empty table gives an
@@ -70,9 +71,12 @@ def mix(docs: DataFrame, *carried: Column, weights: Sequence[int] = WEIGHTS, mos
         *[c.alias(n) for c, n in zip(carried, kept_names, strict=True)],
         _source_key(F.col(source)).alias("source"),
         F.col(key).alias("key"),
+        F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 8), 16, 10).cast("long").alias("told"),
         word_count(F.col(text)).alias("size"),
     )
-    mixed = F.pmod(F.coalesce(F.col("key").cast("long"), F.lit(-1)).bitwiseAND(F.lit(2**31 - 1)) * F.lit(MIXER), F.lit(2**32))
+    # Bits of id and text: rows without an id, or that share one, spread over the cells and have an order like any other.
+    bits = F.coalesce(F.col("key").cast("long"), F.lit(-1)).bitwiseXOR(F.col("told")).bitwiseAND(F.lit(2**31 - 1))
+    mixed = F.pmod(bits * F.lit(MIXER), F.lit(2**32))
     rows = rows.select("*", mixed.alias("mixed"), F.length(F.bin("size")).alias("octave"))
     band = F.col("octave") * 8 + F.floor(F.col("size") * 8 / F.pow(F.lit(2.0), F.col("octave").cast("double")))
     bucket = F.floor(F.col("mixed") / F.lit(2**32 // BUCKETS))
