@@ -4,9 +4,9 @@ A revisit with the server-not-modified profile has no body. It belongs to the la
 URL, if the validators agree: entity tags by weak comparison, or Last-Modified where the revisit has no tag. The stored
 headers are then updated with those of the 304 answer that HTTP lets it change.
 
-The as-of join is a running last value, in two levels so that no URL is a task of its own: records are ordered within
-(URL, day), and only the last response of each day is carried over days. Bodies do not move; a resolved record names the one
-that holds its body.
+The as-of join is a running last value, in three levels so that neither a URL nor its day is a task of its own: records are
+ordered within (URL, ten seconds), the last response of each ten seconds is carried over its day, and that of each day over
+days. Bodies do not move; a resolved record names the one that holds its body.
 
 Defined results: records without a URL or a time, and revisits with nothing earlier, are unresolved (`no_response`); of
 responses at one time the largest id counts as the latest; a response at the revisit's own time is not earlier; disagreeing
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagemill.session import ensure_checkpoint_dir
 
-DAY = 86_400
+DAY, SLOT = 86_400, 10
 # Fields that an answer without a body must not change.
 FIXED_HEADERS = ("connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 # Query parameters that do not change what is served.
@@ -45,8 +45,10 @@ def headers(block: Column) -> Column:
     """The fields of a header block as a map from lower-case names; the last of repeated fields counts."""
     fields = F.filter(F.split(block, "\r?\n"), lambda line: line.rlike(r"^[!-9;-~]+:"))
     pairs = F.transform(fields, lambda line: F.struct(F.lower(F.regexp_extract(line, r"^([^:]+):", 1)).alias("name"), F.trim(F.regexp_extract(line, r"^[^:]+:(.*)$", 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(last)
+    # A map of lists has each name once: names are sorted with their places, and of neighbours with one name the last stays.
+    ordered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), i.alias("at"), p["value"].alias("value"))))
+    last = F.element_at(F.transform(F.array(ordered), lambda o: F.filter(o, lambda p, i: F.coalesce(F.get(o, i + 1)["name"] != p["name"], F.lit(True)))), 1)
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["value"])))
 
 
 def parsed(records: DataFrame, raw: str = "raw") -> DataFrame:
@@ -59,8 +61,11 @@ def parsed(records: DataFrame, raw: str = "raw") -> DataFrame:
     blocks = parts.select(headers(F.col("parts")[0]).alias("warc"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("http"))
     status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     warc = F.col("warc")
+    # To the second, or with up to nine digits of fraction, of which microseconds count.
+    date = F.when(warc["warc-date"].rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z?$"), F.regexp_replace(warc["warc-date"], "Z$", ""))
+    moment = F.try_to_timestamp(date).cast("timestamp_ntz")
     return blocks.select(
-        warc["warc-record-id"].alias("record_id"), warc["warc-target-uri"].alias("url"), F.try_to_timestamp(F.regexp_replace(warc["warc-date"], "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("time"),
+        warc["warc-record-id"].alias("record_id"), warc["warc-target-uri"].alias("url"), moment.alias("time"),
         warc["warc-type"].alias("kind"), warc["warc-profile"].alias("profile"), F.when(status != "", status.cast("int")).alias("status"), headers(F.col("http")).alias("headers"),
     )
 
@@ -79,16 +84,23 @@ def resolve(records: DataFrame) -> DataFrame:
     told = records.select("record_id", "time", "headers", canonical_url(F.col("url")).alias("key"), "url", revisit.alias("revisit"), full.alias("full"))
     known = told.checkpoint().where("revisit or full")
     lost = known.where("revisit and (key is null or time is null)").withColumn("found", F.lit(None))
-    usable = known.where("key is not null and time is not null").withColumn("seconds", F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1_000_000.0)).withColumn("day", F.floor(F.col("seconds") / DAY))
+    usable = known.where("key is not null and time is not null").withColumn("seconds", F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1_000_000.0)).withColumn("day", F.floor(F.col("seconds") / DAY)).withColumn("slot", F.floor(F.col("seconds") / SLOT))
     stored = F.when(F.col("full"), F.struct("time", "record_id", "headers"))
     usable = usable.withColumn("stored", stored)
 
-    days = usable.where("full").groupBy("key", "day").agg(F.max_by("stored", F.struct("time", "record_id")).alias("last"))
-    marks = usable.where("revisit").select("key", "day").distinct().join(days, ["key", "day"], "full")
-    carried = marks.withColumn("carried", F.last("last", ignorenulls=True).over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1))).select("key", "day", "carried")
-    earlier = W.partitionBy("key", "day").orderBy("time", F.col("full").cast("int"), "record_id").rowsBetween(W.unboundedPreceding, -1)
-    same_day = usable.withColumn("today", F.last("stored", ignorenulls=True).over(earlier)).where("revisit")
-    joined = same_day.join(carried, ["key", "day"], "left").withColumn("found", F.coalesce("today", "carried"))
+    def before(level: str, within: list[str], lasts: DataFrame) -> DataFrame:
+        """For every step of `level` in which revisits lie, the last response of the steps before it in the same group."""
+        asked = usable.where("revisit").select(*within, level).distinct().join(lasts, [*within, level], "full")
+        earlier = W.partitionBy(*within).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+        return asked.select(*within, level, F.last("last", ignorenulls=True).over(earlier).alias(f"before_{level}"))
+
+    latest = F.max_by("stored", F.struct("time", "record_id")).alias("last")
+    slots = usable.where("full").groupBy("key", "day", "slot").agg(latest)
+    days = slots.groupBy("key", "day").agg(F.max_by("last", F.struct("last.time", "last.record_id")).alias("last"))
+    earlier = W.partitionBy("key", "day", "slot").orderBy("time", F.col("full").cast("int"), "record_id").rowsBetween(W.unboundedPreceding, -1)
+    now = usable.withColumn("now", F.last("stored", ignorenulls=True).over(earlier)).where("revisit")
+    joined = now.join(before("slot", ["key", "day"], slots), ["key", "day", "slot"], "left").join(before("day", ["key"], days), ["key", "day"], "left")
+    joined = joined.withColumn("found", F.coalesce("now", "before_slot", "before_day"))
     found = joined.select("record_id", "url", "time", "headers", "found").unionByName(lost.select("record_id", "url", "time", "headers", F.lit(None).cast(joined.schema["found"].dataType).alias("found")))
 
     tag, old_tag = F.col("headers")["etag"], F.col("found.headers")["etag"]
