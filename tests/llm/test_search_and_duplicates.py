@@ -33,6 +33,13 @@ def test_top_k(spark, monkeypatch, kind):
     assert got == plain_top(rows, 20)
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(impact_search, "VECTOR_BLOCK", 10)
+    rows = [(20, [1.0, 2.0])] * 50 + [(21, [1.0, 1.0])] * 3
+    got = impact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=2).collect()
+    assert {(r["rank"], r["vec_id"], r["score"]) for r in got} == {(1, 21, 64 * 64 * 3), (2, 21, 64 * 64 * 3)} and len(got) == 2
+
+
 def test_reading_stops_early_and_loses_nothing():
     rnd = np.random.default_rng(2)
     values = np.floor(64 * rnd.normal(size=(3000, 64)) / 8).astype(np.int64)
@@ -350,6 +357,24 @@ def test_records_are_parsed_from_raw_bytes(spark):
     assert row["record_id"] == "<a>" and row["status"] == 200 and row["headers"] == {"etag": '"1"', "x": "2"} and str(row["time"]) == "2024-01-01 00:00:05"
 
 
+def test_dates_with_fractions_and_repeated_fields(spark):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Date: {}\r\n\r\nHTTP/1.1 200 OK\r\nX: 1\r\na: 2\r\nX: 3\r\nA: 0\r\n\r\n"
+    dates = {"2024-01-01T00:00:05.25Z": "2024-01-01 00:00:05.250000", "2024-01-01T00:00:05.123456789Z": "2024-01-01 00:00:05.123456", "2024-01-01T00:00:05Z": "2024-01-01 00:00:05", "2024-13-01T00:00:05Z": "None", "2024-01-01": "None"}
+    rows = warc_revisits.parsed(spark.createDataFrame([(head.format(d),) for d in dates], "raw string")).collect()
+    assert [str(r["time"]) for r in rows] == list(dates.values()) and all(r["headers"] == {"x": "3", "a": "0"} for r in rows)
+
+
+def test_many_captures_of_a_url_in_a_day(spark):
+    import datetime as dt
+
+    rnd = np.random.default_rng(5)
+    start, profile = dt.datetime(2024, 1, 1), "http://netpreserve.org/warc/1.0/revisit/server-not-modified"
+    rows = [(f"{i:04d}", "http://e.org/a", start + dt.timedelta(seconds=int(rnd.integers(200_000) // (1 + 99 * (i % 2)))), *(("response", None, 200) if i % 3 else ("revisit", profile, 304)), {"etag": '"1"'}) for i in range(900)]
+    records = spark.createDataFrame(rows, "record_id string, url string, time timestamp_ntz, kind string, profile string, status int, headers map<string,string>")
+    want = {r[0]: max(((x[2], x[0]) for x in rows if x[3] == "response" and x[2] < r[2]), default=(None, None))[1] for r in rows if r[3] == "revisit"}
+    assert {r["revisit_id"]: r["response_id"] for r in warc_revisits.resolve(records).collect()} == want
+
+
 def test_broken_records_are_no_records(spark):
     raw = [None, "", "WARC/1.0", "WARC/1.0\r\nWARC-Date: never\r\n\r\n", "x" * 100_000]
     rows = warc_revisits.parsed(spark.createDataFrame([(r,) for r in raw], "raw string"))
