@@ -7,14 +7,18 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 TITLE_RATIO = 0.6
 CONTAINED_LEAST = 6
+#: Titles of a block; blocks meet blocks.
+BLOCK = 2048
 
 
 @F.pandas_udf(DoubleType())
@@ -47,3 +51,69 @@ def could_reach(a: Column, b: Column, least: float) -> Column:
     """Whether two strings are near enough in length for their ratio to reach `least`: what a join tests first."""
     shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
     return 2 * shorter >= F.lit(least) * both
+
+
+def letter_counts(words: list[str]) -> np.ndarray:
+    """How often each letter occurs in each word; rarer characters share counters, which keeps the bound a bound."""
+    counts = np.zeros((len(words), 64), np.int16)
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    np.add.at(counts, (owner, points & 63), 1)
+    return counts
+
+
+def _common_subsequence(word: str, others: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a word of up to 64 characters with each of the others, bit-parallel over them."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    size = max(map(len, others))
+    grid = np.zeros((size, len(others)), np.uint64)
+    for j, other in enumerate(others):
+        grid[: len(other), j] = [places.get(c, 0) for c in other]
+    free = np.full(len(others), 2**64 - 1, np.uint64)
+    for row in grid:
+        met = free & row
+        free = (free + met) | (free - met)
+    return np.bitwise_count(~free & np.uint64((1 << len(word)) - 1)).astype(np.int64)
+
+
+def could_match(word: str, others: list[str], counts: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Places of the others whose ratio with the word may reach `least`. Matching characters are common letters in common order, so
+    neither bound turns away a pair that reaches it."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    needed = least * (sizes + len(word)) - 1e-9
+    near = np.flatnonzero(2 * np.minimum(counts, own[None, :]).sum(axis=1) >= needed)
+    if len(near) and len(word) <= 64:
+        near = near[2 * _common_subsequence(word, [others[i] for i in near.tolist()]) >= needed[near]]
+    return near
+
+
+def title_pairs(left: DataFrame, right: DataFrame, least: float, judge: Callable[[str, str], float | bool], contained: bool = True) -> DataFrame:
+    """(a, b, score) of different titles `left` (title) and `right` (title) whose ratio may reach `least`, or of which one may hold the
+    other, and for which `judge` gives other than nothing.
+
+    All titles are compared with all, in blocks: bounds on common letters and their order leave few pairs for the matcher, and none that
+    it would find is lost.
+    """
+    def blocks(titles: DataFrame, name: str) -> tuple[DataFrame, int]:
+        told = titles.select("title").where("title is not null").distinct()
+        n = max(1, -(-told.count() // BLOCK))
+        return told.groupBy(F.pmod(F.xxhash64("title"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("title").alias(f"{name}s")), n
+
+    (a, n), (b, m) = blocks(left, "a"), blocks(right, "b")
+    spread = a.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(max(8, min(n * m, 10_000)), "a", "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, others in zip(frame["as"], frame["bs"], strict=True):
+                own, others = list(own), list(others)
+                counts, rows = letter_counts(others), []
+                for title, held in zip(own, letter_counts(own), strict=True):
+                    found = set(could_match(title, others, counts, held, least).tolist())
+                    if contained:
+                        found |= {i for i, o in enumerate(others) if title in o or o in title}
+                    rows += [(title, others[i], float(score)) for i in sorted(found) if (score := judge(title, others[i]))]
+                yield pd.DataFrame(rows, columns=["a", "b", "score"]).astype({"a": object, "b": object, "score": float})
+
+    return spread.join(b, "b").select(F.col("as"), F.col("bs")).mapInPandas(run, "a string, b string, score double")

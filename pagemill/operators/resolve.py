@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.fuzzy import could_reach, ratio, same_title
+from pagemill.functions.fuzzy import TITLE_RATIO, title_pairs, titles_match
 from pagemill.functions.text import strip
 
 ACCEPTED, CONTAINED, CONTAINED_SHARE, CONTAINED_CHARS, LEAST_CHARS = 0.85, 0.99, 0.7, 20, 6
@@ -15,9 +15,10 @@ GENERIC = (
     "preface", "introduction", "contents", "table of contents", "index", "foreword", "acknowledgements", "acknowledgments", "bibliography", "references", "notes", "appendix", "glossary",
     "prologue", "epilogue", "afterword", "conclusion", "abstract", "summary", "abbreviations", "list of illustrations", "list of figures",
 )
+# How titles begin that many works share.
 GENERIC_START = r"(?i)^(singapore|directions|sea|east|map\s*[0-9]*|preface|appendix|contents|introduction|memoir)\b"
+# Phrases of cataloguing notes.
 BOILERPLATE = r"(?i)(catalogu(?:e|ing).{0,40}record|record for this book|available from the (?:british library|library of congress)|library of congress catalog(?:u|ing|ed)?)"
-RAREST = 3
 COPY_SUFFIX = r"( \([0-9]+\)| copy( [0-9]+)?)$"
 
 
@@ -53,48 +54,37 @@ def bare_isbn(isbn: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(isbn, F.lit("")), "[^0-9Xx]", ""))
 
 
-def _alike(q: Column, t: Column) -> Column:
-    """Containment of titles near in length or long enough, else the matcher's ratio."""
-    short, long = F.least(F.length(q), F.length(t)), F.greatest(F.length(q), F.length(t))
-    contained = (q.contains(t) | t.contains(q)) & ((short >= CONTAINED_SHARE * long) | (short >= CONTAINED_CHARS))
-    return F.when(F.length(t) < LEAST_CHARS, F.lit(0.0)).when(contained, F.lit(CONTAINED)).otherwise(ratio(q, t))
+def _alike(q: str, t: str) -> float:
+    """Containment of titles near in length or long enough, else the matcher's ratio; nothing below the accepted score."""
+    import difflib
 
-
-def _meeting_points(titles: DataFrame, against: DataFrame) -> DataFrame:
-    """(title, meet): up to `RAREST` words of each folded title (title) that are rarest over both tables; the title if it has none.
-
-    Words that many titles hold bring nobody together, so no word makes a group of pairs.
-    """
-
-    def words(table: DataFrame) -> DataFrame:
-        found = F.array_distinct(F.filter(F.split("title", " "), lambda w: F.length(w) >= 4))
-        return table.select("title").distinct().select("title", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array("title"))).alias("meet"))
-
-    own = words(titles)
-    known = own.unionByName(words(against)).groupBy("meet").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("title").orderBy("n", "meet"))
-    return own.join(known, "meet").withColumn("place", place).where(F.col("place") <= RAREST).select("title", "meet")
+    short, long = min(len(q), len(t)), max(len(q), len(t))
+    if len(t) < LEAST_CHARS:
+        return 0.0
+    if (q in t or t in q) and (short >= CONTAINED_SHARE * long or short >= CONTAINED_CHARS):
+        return CONTAINED
+    score = difflib.SequenceMatcher(None, q, t).ratio()
+    return score if score >= ACCEPTED else 0.0
 
 
 def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     """(work, position, score, how, tie): the entry of a bibliography that each work (work, isbn, titles) is.
 
-    An equal ISBN decides; else the best title at 0.85 or more, the first in file order on ties. Titles are compared where
-    they have one of their rarest words in common, so that the work grows with the titles and not with their square.
+    An equal ISBN decides; else the best title at 0.85 or more, the first in file order on ties. Main titles are compared with main
+    titles and whole ones with whole ones, all with all.
     """
-    usable = entries.where(citable(F.col("type"), F.col("title"), F.col("container"))).select("position", bare_isbn(F.col("isbn")).alias("isbn"), folded_title(main_title(F.col("title"))).alias("rmain"), folded_title(F.col("title")).alias("rfull"))
+    usable = entries.where(citable(F.col("type"), F.col("title"), F.col("container"))).select("position", bare_isbn(F.col("isbn")).alias("isbn"), folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full"))
     keyed = works.select("work", bare_isbn(F.col("isbn")).alias("isbn"), "titles")
     by_isbn = keyed.where("isbn <> ''").join(usable.where("isbn <> ''"), "isbn").groupBy("work").agg(F.min("position").alias("position"))
     exact = by_isbn.select("work", "position", F.lit(1.0).alias("score"), F.lit("isbn").alias("how"), F.lit(False).alias("tie"))
     asked = keyed.join(by_isbn, "work", "left_anti").select("work", F.explode("titles").alias("title")).where("title <> '' and not startswith(title, 'Untitled (')")
-    guesses = asked.select("work", folded_title(main_title(F.col("title"))).alias("qmain"), folded_title(F.col("title")).alias("qfull")).where((F.length("qmain") >= LEAST_CHARS) & ~F.col("qmain").isin(*GENERIC)).distinct()
-    asked_titles, listed = guesses.select(F.col("qfull").alias("title")), usable.select(F.col("rfull").alias("title"))
-    q, r = _meeting_points(asked_titles, listed).withColumnRenamed("title", "qfull"), _meeting_points(listed, asked_titles).withColumnRenamed("title", "rfull")
-    met = guesses.join(q.join(r, "meet").select("qfull", "rfull").distinct(), "qfull").join(usable.drop("isbn"), "rfull")
-    near = could_reach(F.col("qmain"), F.col("rmain"), ACCEPTED) | could_reach(F.col("qfull"), F.col("rfull"), ACCEPTED)
-    held = F.col("qfull").contains(F.col("rmain")) | F.col("rfull").contains(F.col("qmain"))
-    scored = met.where(near | held).select("work", "position", F.greatest(_alike(F.col("qmain"), F.col("rmain")), _alike(F.col("qfull"), F.col("rfull"))).alias("score"))
-    best = scored.where(F.col("score") >= ACCEPTED).groupBy("work", "position").agg(F.max("score").alias("score"))
+    guesses = asked.select("work", folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full")).where((F.length("main") >= LEAST_CHARS) & ~F.col("main").isin(*GENERIC)).distinct()
+    scored = None
+    for form in ("main", "full"):
+        alike = title_pairs(guesses.select(F.col(form).alias("title")), usable.select(F.col(form).alias("title")), ACCEPTED, _alike)
+        met = guesses.select("work", F.col(form).alias("a")).distinct().join(alike, "a").join(usable.select("position", F.col(form).alias("b")), "b").select("work", "position", "score")
+        scored = met if scored is None else scored.unionByName(met)
+    best = scored.groupBy("work", "position").agg(F.max("score").alias("score"))
     order = W.partitionBy("work").orderBy(F.desc("score"), "position")
     placed = best.select("*", F.row_number().over(order).alias("place"), (F.lead("score").over(order) == F.col("score")).alias("next"))
     titled = placed.where("place = 1").select("work", "position", "score", F.lit("title").alias("how"), F.coalesce("next", F.lit(False)).alias("tie"))
@@ -111,19 +101,18 @@ def strong_key_hosts(works: DataFrame) -> DataFrame:
 def title_candidates(works: DataFrame) -> DataFrame:
     """Pairs of works (work, position, title, isbn, call) whose titles agree though no key joins them: a, b, score, for people to decide.
 
-    Works of one folded title are paired with the first of them only; different titles are paired through their first works, where
-    they share one of their rarest words.
+    Works of one folded title are paired with the first of them only; different titles are compared all with all, and paired through
+    their first works.
     """
     key = F.coalesce(F.nullif(bare_isbn(F.col("isbn")), F.lit("")), F.nullif(F.col("call"), F.lit("")))
     told = works.select("work", "position", "title", folded_title(F.col("title")).alias("folded"), key.alias("key")).where("folded <> ''")
     first = told.groupBy("folded").agg(F.min_by(F.struct("work", "position", "title", "key"), F.struct("position", "work")).alias("first"))
     equal = told.join(first, "folded").where("work <> first.work").select(F.col("first").alias("a"), F.struct("work", "position", "title", "key").alias("b"), "folded", F.col("folded").alias("other"))
     titles = first.select(F.col("folded").alias("title"))
-    points = _meeting_points(titles, titles.where("false"))
-    a, b = points.select("meet", F.col("title").alias("folded")), points.select("meet", F.col("title").alias("other"))
-    near = a.join(b, "meet").where("folded <> other").select("folded", "other").distinct()
-    near = near.join(first.withColumnRenamed("first", "a"), "folded").join(first.select(F.col("folded").alias("other"), F.col("first").alias("b")), "other").where("a.position < b.position")
-    alike = near.where(same_title(F.col("folded"), F.col("other"))).select("a", "b", "folded", "other")
+    near = title_pairs(titles, titles, TITLE_RATIO, titles_match).select(F.col("a").alias("folded"), F.col("b").alias("other")).where("folded <> other")
+    near = near.join(first.withColumnRenamed("first", "a"), "folded").join(first.select(F.col("folded").alias("other"), F.col("first").alias("b")), "other")
+    # The matcher is not symmetric: the earlier work's title comes first.
+    alike = near.where("(a.position < b.position) or (a.position = b.position and a.work < b.work)").select("a", "b", "folded", "other")
     both = equal.unionByName(alike)
     same = F.col("folded") == F.col("other")
     one_key = F.col("a.key").isNotNull() | F.col("b.key").isNotNull()
@@ -131,7 +120,7 @@ def title_candidates(works: DataFrame) -> DataFrame:
     score = same.cast("int") * 3 + (one_key & same).cast("int") * 2 + (F.length("folded") >= 20).cast("int") - 3 * generic.cast("int")
     conflict = F.coalesce(F.col("a.key") != F.col("b.key"), F.lit(False))
     out = both.select(F.col("a.work").alias("a"), F.col("b.work").alias("b"), F.when(conflict, -100).otherwise(score).alias("score"))
-    return out.where("score > 0")
+    return out.where("score > 0").orderBy(F.desc("score"), "a", "b")
 
 
 def manual_merges(members: DataFrame, hints: DataFrame) -> DataFrame:

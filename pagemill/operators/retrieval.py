@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from pagemill.functions.fuzzy import could_match, letter_counts
 from pagemill.functions.text import query_terms
 from pagemill.operators.index import TextIndex
 
@@ -74,15 +75,6 @@ def coverage(index: TextIndex, queries: DataFrame, n: int = POOL) -> DataFrame:
     return ranked(bm25(index, terms_of(queries), all_terms=True), n)
 
 
-def _letter_counts(words: Sequence[str]) -> np.ndarray:
-    """How often each letter occurs in each word; rarer characters share counters, which keeps the bound a bound."""
-    counts = np.zeros((len(words), 64), np.int16)
-    for i, word in enumerate(words):
-        for c in word:
-            counts[i, ord(c) & 63] += 1
-    return counts
-
-
 def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least: float = VARIANT_RATIO, count: int = VARIANT_COUNT) -> DataFrame:
     """(term, variant): up to `most` indexed terms that match each wanted term (term) best, ties to the larger string."""
     asked = [r["term"] for r in wanted.select("term").distinct().limit(MOST_QUERIES * 16 + 1).collect()]
@@ -91,13 +83,10 @@ def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words = frame["term"].to_numpy()
-            held, sizes = _letter_counts(words), np.array([len(w) for w in words])
-            rows = []
-            for term, own in zip(asked, _letter_counts(asked), strict=True):
-                # The ratio is at most twice the letters in common over all letters.
-                common = np.minimum(held, own[None, :]).sum(axis=1)
-                for i in np.flatnonzero(2 * common >= least * (sizes + len(term))):
+            words = frame["term"].tolist()
+            held, rows = letter_counts(words), []
+            for term, own in zip(asked, letter_counts(asked), strict=True):
+                for i in could_match(term, words, held, own, least).tolist() if words else ():
                     if (r := difflib.SequenceMatcher(None, words[i], term).ratio()) >= least:
                         rows.append((term, words[i], r))
             yield pd.DataFrame(rows, columns=["term", "variant", "ratio"]).astype({"term": object, "variant": object, "ratio": float})
