@@ -97,12 +97,13 @@ def shard_keys(value: Column, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-def forest(prints: np.ndarray, shard: np.ndarray, met: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, shard: np.ndarray, met: list[np.ndarray] | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """BK-trees of all shards: (the root of each shard, sorted edge keys parent * 65 + distance, children).
 
     Points of a shard must differ and lie side by side; the first is the root. All points that reach a node do so in
     the same round, so the first of each (node, distance) becomes the child and the others move on to it. `met`, if given,
-    takes for each point the nearest node on its way down, the first of equals, and the distance to it (65 for roots).
+    takes for each point the nearest node on its way down, of another label if points have labels, the first of equals, and the
+    distance to it (65 for none).
     """
     roots = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
     pending = np.ones(len(prints), bool)
@@ -114,6 +115,8 @@ def forest(prints: np.ndarray, shard: np.ndarray, met: list[np.ndarray] | None =
     while len(point):
         distance = np.bitwise_count(prints[point] ^ prints[node]).astype(np.int64)
         closer = distance < least[point]
+        if label is not None:
+            closer &= label[point] != label[node]
         nearest[point[closer]], least[point[closer]] = node[closer], distance[closer]
         edge = node * 65 + distance
         found, first, back = np.unique(edge, return_index=True, return_inverse=True)
