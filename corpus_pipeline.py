@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return
 the columns of documents. `run` writes what each stage returns to the shared checkpoint folder and reads it back, so a
-stage is computed once and survives lost executors. Each stage's own module states what it does with nulls, empty
-texts, ties, repeated rows and clashing names.
+stage is computed once and survives lost executors; what a stage was made from goes once it is written. Each stage's own
+module states what it does with nulls, empty texts, ties, repeated rows and clashing names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm import near_copies, piece_bpe, quality_rules, source_mix, toxicity
 from pagemill.llm.common import read
 from pagemill.llm.queries import PIECES, vocabulary
-from pagemill.session import ensure_checkpoint_dir, make_importable
+from pagemill.session import delete_folder, ensure_checkpoint_dir, make_importable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts linked by a Jaccard similarity of 4/5 or more of their five-word shingles."""
+    """One document of each group of near copies: texts whose five-word SimHash fingerprints BK-trees find close, and whose shingle
+    sets have a Jaccard similarity of 4/5 or more."""
     make_importable(spark)
     return near_copies.one_of_each(docs)
 
@@ -65,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            delete_folder(spark, f"{folder}/{number - 1}")
     return docs

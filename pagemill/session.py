@@ -26,13 +26,22 @@ def local_session(cores: int | str = 8, app: str = "pagemill", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """Use the folder that the cluster names in spark.checkpoint.dir. A temporary folder of this machine is taken only by a local
+    session, where all tasks see it; elsewhere a folder must be named."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate rows from whatever file system it lies on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers of a local session find this package from wherever the driver was started.
 
