@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
+from pagemill.session import ensure_checkpoint_dir
+
 TITLE_RATIO = 0.6
 CONTAINED_LEAST = 6
 #: Titles of a block; blocks meet blocks.
@@ -97,7 +99,8 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float, judge: Callable
     it would find is lost.
     """
     def blocks(titles: DataFrame, name: str) -> tuple[DataFrame, int]:
-        told = titles.select("title").where("title is not null").distinct()
+        ensure_checkpoint_dir(titles.sparkSession)
+        told = titles.select("title").where("title is not null").distinct().checkpoint()
         n = max(1, -(-told.count() // BLOCK))
         return told.groupBy(F.pmod(F.xxhash64("title"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("title").alias(f"{name}s")), n
 

@@ -21,6 +21,7 @@ QUERY_STOPWORDS = (
 ).split()
 # What marks an imprint page.
 IMPRINT = r"(?i)\b(isbn|first published|all rights reserved|catalogu(?:e|ing)[- ]in[- ]publication|library of congress|printed in|no part of this (?:book|publication))\b|©"
+# How imprints tell ISBN, year and publisher, and slips call numbers.
 ISBN = r"(?i)\bISBN[:\s]*((?:97[89][\s-]?)?[0-9][0-9\s-]{7,14}[0-9Xx])"
 YEAR = r"(?i)(?:©|\(c\)|copyright|first published)[^\n]*?\b((?:19|20)[0-9]{2})\b"
 PUBLISHER = r"(?i)published[^\n]*?\bby\b[:\s]*\n?\s*([^\n]+)"
@@ -88,43 +89,58 @@ def page_numbers(markdown: Column) -> Column:
     return F.when(F.size(headed) > 0, headed).otherwise(F.transform(bare, lambda n: n.cast("int")))
 
 
-def _unlike(items: Column) -> Column:
-    """Share of different items."""
-    return F.size(F.array_distinct(items)) / F.size(items)
-
-
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"{SPACES}+"), "")
 
 
-def triples(items: Column) -> Column:
-    """Runs of three neighbours as strings, which hash; none for fewer than three items. Tokens hold no space, so runs stay apart."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(items) - 3), lambda i: F.concat_ws(" ", *[F.get(items, i + k) for k in range(3)]))
-    return F.when(F.size(items) >= 3, runs).otherwise(F.array().cast("array<string>"))
-
-
 def full_lines(text: Column) -> Column:
     return F.filter(F.transform(lines(text), strip), lambda x: x != "")
 
 
-def text_quality(text: Column) -> Column:
-    """Share of words with a vowel, times the smaller of line and phrase variety; 1 for under five words."""
+def _repetition(text: Column, body) -> Column:
+    """`body` of a text's full lines and runs of three tokens, each worked out once: runs stand as hashes of their tokens."""
+    def runs(t: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
+        return F.when(F.size(t) >= 3, at).otherwise(F.array().cast("array<long>"))
+
+    return let(full_lines(text), lambda ls: let(let(tokens(text), runs), lambda rs: body(ls, rs)))
+
+
+def _varied(text: Column) -> Column:
+    """Counts of a text: full lines, different ones, runs of three tokens and different ones."""
+    return _repetition(text, lambda ls, rs: F.struct(F.size(ls).alias("lines"), F.size(F.array_distinct(ls)).alias("own_lines"), F.size(rs).alias("runs"), F.size(F.array_distinct(rs)).alias("own_runs")))
+
+
+def _quality(text: Column, v: Column) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{Nl}\p{No}]{2,})"), F.lit(1))
 
     def score(w: Column) -> Column:
         voiced = F.size(F.filter(w, lambda x: F.lower(x).rlike(r"[aeiouyà-öø-ÿ]"))) / F.size(w)
-        line_share = let(full_lines(text), lambda x: F.when(F.size(x) > 0, _unlike(x)).otherwise(F.lit(1.0)))
-        phrase_share = let(tokens(text), lambda t: F.when(F.size(t) >= 30, let(triples(t), _unlike)).otherwise(F.lit(1.0)))
+        line_share = F.when(v["lines"] > 0, v["own_lines"] / v["lines"]).otherwise(F.lit(1.0))
+        phrase_share = F.when(v["runs"] >= 28, v["own_runs"] / v["runs"]).otherwise(F.lit(1.0))
         return F.when(F.size(w) < 5, F.lit(1.0)).otherwise(F.bround(voiced * F.least(line_share, phrase_share), 3))
 
     return let(words, score)
 
 
+def _runaway(v: Column) -> Column:
+    phrase_share = F.when(v["runs"] >= 30, v["own_runs"] / v["runs"]).otherwise(F.lit(1.0))
+    return F.coalesce((v["lines"] >= 10) & (F.least(v["own_lines"] / F.greatest(v["lines"], F.lit(1)), phrase_share) < 0.1), F.lit(False))
+
+
+def text_quality(text: Column) -> Column:
+    """Share of words with a vowel, times the smaller of line and phrase variety; 1 for under five words."""
+    return let(_varied(text), lambda v: _quality(text, v))
+
+
 def is_runaway(text: Column) -> Column:
     """At least ten lines of which, or of whose phrases, under a tenth differ."""
-    line_share = let(full_lines(text), lambda x: F.when(F.size(x) >= 10, _unlike(x)).otherwise(F.lit(None).cast("double")))
-    phrase_share = let(let(tokens(text), triples), lambda t: F.when(F.size(t) >= 30, _unlike(t)).otherwise(F.lit(1.0)))
-    return F.coalesce(let(line_share, lambda s: s.isNotNull() & (F.least(s, phrase_share) < 0.1)), F.lit(False))
+    return let(_varied(text), _runaway)
+
+
+def read_quality(text: Column) -> Column:
+    """Both as one struct (quality, runaway), from one pass over the text."""
+    return let(_varied(text), lambda v: F.struct(_quality(text, v).alias("quality"), _runaway(v).alias("runaway")))
 
 
 def is_echo(text: Column, marks: list[str]) -> Column:
@@ -232,3 +248,13 @@ def duration(seconds: Column) -> Column:
     minutes = F.bround(seconds / 60).cast("int")
     hours = F.format_string("%d h %02d min", F.floor(minutes / 60).cast("int"), F.pmod(minutes, F.lit(60)).cast("int"))
     return F.when(minutes < 60, F.format_string("%d min", minutes)).otherwise(hours)
+
+
+def heading_anchor(heading: Column) -> Column:
+    """The link target of a Markdown heading: lower case, no punctuation, hyphens for spaces."""
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(heading)), r"[^\p{L}\p{N}_\s-]", ""), r"\s+", "-")
+
+
+def distance(metres: Column) -> Column:
+    """Metres, or kilometres with one decimal from 1000 metres on."""
+    return F.when(metres >= 1000, F.format_string("%.1f km", metres / 1000)).otherwise(F.format_string("%.0f m", metres))

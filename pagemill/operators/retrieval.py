@@ -15,10 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from pagemill.functions.fuzzy import could_match, letter_counts
-from pagemill.functions.text import query_terms
+from pagemill.functions.text import citation, let, query_terms, tokens
 from pagemill.operators.index import TextIndex
 
 POOL = 200
@@ -65,14 +64,19 @@ def bm25(index: TextIndex, wanted: DataFrame, all_terms: bool = False) -> DataFr
     return scored.select("query_id", "id", "score")
 
 
-def lexical(index: TextIndex, queries: DataFrame, n: int = POOL) -> DataFrame:
+def _within(scores: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """The scores of rows in scope (id), before any cut; all without a scope."""
+    return scores if scope is None else scores.join(scope.select("id"), "id", "left_semi")
+
+
+def lexical(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None) -> DataFrame:
     """Any-term BM25."""
-    return ranked(bm25(index, terms_of(queries)), n)
+    return ranked(_within(bm25(index, terms_of(queries)), scope), n)
 
 
-def coverage(index: TextIndex, queries: DataFrame, n: int = POOL) -> DataFrame:
+def coverage(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None) -> DataFrame:
     """All-terms BM25; nothing for queries of a single term."""
-    return ranked(bm25(index, terms_of(queries), all_terms=True), n)
+    return ranked(_within(bm25(index, terms_of(queries), all_terms=True), scope), n)
 
 
 def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least: float = VARIANT_RATIO, count: int = VARIANT_COUNT) -> DataFrame:
@@ -96,12 +100,12 @@ def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least
     return near.withColumn("place", place).where(F.col("place") <= most).select("term", "variant")
 
 
-def fuzzy(index: TextIndex, queries: DataFrame, n: int = POOL) -> DataFrame:
+def fuzzy(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None) -> DataFrame:
     """Any-term BM25 over near spellings; nothing for queries to which no spelling is added."""
     wanted = terms_of(queries)
     spelled = wanted.join(close_terms(index, wanted), "term", "left").select("query_id", F.coalesce("variant", "term").alias("term")).distinct()
     news = spelled.join(wanted, ["query_id", "term"], "left_anti").select("query_id").distinct()
-    return ranked(bm25(index, spelled.join(news, "query_id").withColumn("times", F.lit(1))), n)
+    return ranked(_within(bm25(index, spelled.join(news, "query_id").withColumn("times", F.lit(1))), scope), n)
 
 
 def dense_hits(windows: DataFrame, queries: DataFrame, n: int, key: str = "id", vector: str = "vec", carried: Sequence[str] = ()) -> DataFrame:
@@ -138,33 +142,39 @@ def pooled(hits: DataFrame, n: int = POOL) -> DataFrame:
     return ranked(best, n)
 
 
-def dense(windows: DataFrame, queries: DataFrame, n: int = POOL) -> DataFrame:
-    """Chunks by their best window among the n * 4 best windows (id, chunk_id, vec)."""
-    return pooled(dense_hits(windows, queries, n * OVERFETCH, carried=["chunk_id"]), n)
+#: What finds the nearest windows: (windows, queries, n, carried columns) to hits, as `dense_hits` does.
+Backend = Callable[..., DataFrame]
+
+
+def dense(windows: DataFrame, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None, model: str | None = None, backend: Backend | None = None) -> DataFrame:
+    """Chunks by their best window among the n * 4 best windows (id, chunk_id, vec) in scope, of the given model if one is named."""
+    held = windows if model is None else windows.where(F.col("vec_model") == model)
+    held = held if scope is None else held.join(scope.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return pooled((backend or dense_hits)(held, queries, n * OVERFETCH, carried=["chunk_id"]), n)
 
 
 def fused(rankings: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion; ties go to the earlier channel, the better rank in it, then the smaller id."""
+    """Reciprocal rank fusion; ties go to the earlier channel, the better rank in it, then the smaller id. A query that only one
+    channel answers keeps that channel's scores."""
     union = None
     for number, ranking in enumerate(rankings):
-        part = ranking.select("query_id", "id", "rank", F.lit(number).alias("channel"))
+        part = ranking.select("query_id", "id", "rank", F.col("score").alias("raw"), F.lit(number).alias("channel"))
         union = part if union is None else union.unionByName(part)
-    each = union.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"), F.min(F.struct("channel", "rank")).alias("first"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first", "id"))
-    return each.select("query_id", "id", "score", place.alias("rank"))
+    each = union.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("sum"), F.min(F.struct("channel", "rank")).alias("first"), F.max("channel").alias("last"), F.max("raw").alias("raw"))
+    per_query = W.partitionBy("query_id")
+    one = F.max("last").over(per_query) == F.min("first.channel").over(per_query)
+    scored = each.select("query_id", "id", "first", F.when(one, F.col("raw")).otherwise(F.col("sum")).alias("score"), F.when(one, 0.0).otherwise(F.round("sum", 12)).alias("order"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("order").desc(), "first", "id"))
+    return scored.select("query_id", "id", "score", place.alias("rank"))
 
 
 Scorer = Callable[[Column, Column], Column]
 
 
-@F.pandas_udf(DoubleType())
-def overlap_score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+def overlap_score(query: Column, text: Column) -> Column:
     """Stand-in for a cross-encoder: the share of the query's words that the text has, less a little for its length."""
-    out = []
-    for q, t in zip(queries, texts, strict=True):
-        asked, held = set((q or "").lower().split()), set((t or "").lower().split())
-        out.append(len(asked & held) / (len(asked) or 1) - 1e-6 * len(held))
-    return pd.Series(out, dtype="float64")
+    asked, held = (F.array_distinct(tokens(F.lower(F.coalesce(c, F.lit(""))))) for c in (query, text))
+    return F.size(F.array_intersect(asked, held)) / F.greatest(F.size(asked), F.lit(1)) - F.lit(1e-6) * F.size(held)
 
 
 def reranked(ranking: DataFrame, queries: DataFrame, windows: DataFrame, scorer: Scorer = overlap_score, n: int = POOL, most: int = RESCORED_WINDOWS) -> DataFrame:
@@ -237,26 +247,74 @@ def in_scope(chunks: DataFrame, scope: str | None) -> tuple[DataFrame, bool]:
     return chunks.join(books, "book_file", "left_semi"), n == 1
 
 
+MODES = ("dense", "lexical", "hybrid")
+
+
+def search(
+    index: TextIndex, chunks: DataFrame, windows: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid", k: int = 5, scope: str | None = None, min_score: float | None = None,
+    per_book: int = PER_BOOK, scorer: Scorer | None = None, model: str | None = None, backend: Backend | None = None, fuzzy_terms: bool = True,
+) -> DataFrame:
+    """(query_id, id, score, rank): the first k chunks of each query (query_id, query) and vector (query_id, vec).
+
+    Channels by mode (the precise ones, all-terms and near spellings, only beside the others), fused where more than one answers,
+    re-scored by `scorer` if there is one, diversified; a scope narrows every channel before its cut, and a scope of one book
+    lifts the cap of chunks a book. `k` is a cap and no quota: scores below `min_score` are left out.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    held, single = in_scope(chunks, scope)
+    ids = held.select("id") if scope else None
+    rankings = []
+    if mode in ("dense", "hybrid") and vectors is not None:
+        rankings.append(dense(windows, vectors, scope=ids, model=model, backend=backend))
+    if mode in ("lexical", "hybrid"):
+        rankings.append(lexical(index, queries, scope=ids))
+    if mode == "hybrid":
+        rankings.append(coverage(index, queries, scope=ids))
+        if fuzzy_terms:
+            rankings.append(fuzzy(index, queries, scope=ids))
+    if not rankings:
+        raise ValueError("a dense search needs query vectors")
+    best = fused(rankings) if len(rankings) > 1 else rankings[0]
+    if scorer is not None:
+        best = reranked(best, queries, windows, scorer)
+    out = diversified(best, held, k, 0 if single else per_book)
+    return out if min_score is None else out.where(F.col("score") >= min_score)
+
+
+def results(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, images: str | None = None) -> DataFrame:
+    """Rows for people and tools: citation, excerpt, book, page (null for none) and, with a folder of images, the image's path."""
+    told = ranking.join(chunks, "id").join(queries, "query_id")
+    cited = citation(F.col("author"), F.col("book_title"), F.col("book_file"), F.col("year"), F.col("image"), F.col("page"))
+    page = F.when(~F.coalesce("page", F.lit("-")).isin("", "-"), F.col("page"))
+    named = F.when(F.lower("image").endswith(".jpeg"), F.col("image")).otherwise(F.concat("image", F.lit(".jpeg")))
+    path = F.when(F.coalesce("image", F.lit("")) != "", F.concat(F.lit(f"{(images or '').rstrip('/')}/"), named)) if images else F.lit(None).cast("string")
+    return told.select("query_id", "rank", "score", "id", cited.alias("citation"), excerpt(F.col("text"), F.col("query")).alias("excerpt"), "book_file", "book_title", "author", "year", "image", page.alias("page"), path.alias("image_path"))
+
+
 def excerpt(text: Column, query: Column, width: int = 240) -> Column:
     """The stretch of the text with the most different query terms, the earliest of equals; its head if there are none."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    struct = lambda at, n: F.struct(n.alias("n"), (-at).alias("early"))
+
+    def chosen(low: Column, terms: Column) -> Column:
+        # Where a term may start: every place at which one is found.
+        places = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, lambda t: _places(low, t)))))
+        here = lambda at: F.lower(F.substring(low, at, F.lit(width)))
+        starts = F.transform(places, lambda at: struct(at, F.size(F.filter(terms, lambda t: F.instr(F.concat(here(at), F.substring(low, at + width, F.length(t) - 1)), t) > 0))))
+        return F.array_max(starts)
+
+    def cut(whole: Column) -> Column:
+        best = let(F.array_distinct(query_terms(query)), lambda terms: chosen(F.lower(whole), terms))
+        start = F.greatest(F.lit(0), -best["early"] - 1 - width // 4)
+        taken = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(whole, start + 1, F.lit(width)), F.when(start + width < F.length(whole), "…").otherwise(""))
+        return F.when(best.isNull(), F.substring(whole, 1, width)).otherwise(taken)
+
+    return let(F.coalesce(flat, F.lit("")), cut)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, terms: pd.Series) -> pd.Series:
-        out = []
-        for t, asked in zip(texts, terms, strict=True):
-            low = (t or "").lower()
-            hits = sorted((i, w) for w in set(asked if asked is not None else ()) for i in range(len(low)) if low.startswith(w, i))
-            best, start = 0, None
-            for at, _ in hits:
-                n = len({w for p, w in hits if at <= p < at + width})
-                if n > best:
-                    best, start = n, at
-            if start is None:
-                out.append((t or "")[:width])
-                continue
-            start = max(0, start - width // 4)
-            out.append(("…" if start else "") + t[start : start + width] + ("…" if start + width < len(t) else ""))
-        return pd.Series(out, dtype=object)
 
-    return cut(flat, query_terms(query))
+def _places(text: Column, term: Column) -> Column:
+    """Places (from 1) at which a term is found."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), term, F.lit("\\E")))
+    ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + F.length(term))))
+    return F.when(F.size(parts) > 1, F.transform(F.slice(ends, 2, F.size(ends)), lambda e: e - F.length(term))).otherwise(F.array().cast("array<int>"))

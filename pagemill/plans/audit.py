@@ -31,8 +31,14 @@ def coverage_reason(emitted: Column, role: Column, text: Column, echo_marks: Seq
 
 
 def coverage_summary(shots: DataFrame) -> DataFrame:
-    """(reason, n, chars) of shots (reason, chars), for those left out."""
-    return shots.where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    """(reason, n, chars) of shots (reason, chars), the most frequent first; those in a work count as emitted."""
+    reason = F.when(F.col("reason") == "", "emitted").otherwise(F.col("reason"))
+    return shots.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).orderBy(F.desc("n"), "reason")
+
+
+def not_emitted(shots: DataFrame) -> DataFrame:
+    """(image, type, role, reason, chars) of the shots (reason, chars and those) that are in no work."""
+    return shots.where("reason <> ''").select("image", "type", "role", "reason", "chars")
 
 
 def _check(rows: DataFrame, name: str, bad: Column, message: Column, level: str = "WARN") -> DataFrame:
@@ -78,9 +84,15 @@ def probe_matches(probe_book: Column, probe_image: Column, probe_page: Column, b
 
 
 def dead_probes(chunks: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probes (query_id, query, book, image, page) that no chunk satisfies."""
-    p, c = probes.alias("p"), chunks.alias("c")
-    return p.join(c, probe_matches(F.col("p.book"), F.col("p.image"), F.col("p.page"), F.col("c.book_file"), F.col("c.image"), F.col("c.page")), "left_anti")
+    """Probes (query_id, query, book, image, page) that no chunk satisfies. Books are few: probes find theirs among the different
+    ones, and meet chunks by an equal book and image start."""
+    places = chunks.select("book_file", "image", F.coalesce("page", F.lit("")).alias("place")).distinct()
+    books = places.select("book_file").distinct()
+    asked = probes.where("book is not null or image is not null or page is not null")
+    named = asked.join(books, asked.book.isNull() | F.lower("book_file").contains(F.lower(asked.book)))
+    seen = places.withColumnRenamed("image", "seen")
+    met = named.join(seen, "book_file").where((F.col("image").isNull() | F.col("seen").startswith(F.col("image"))) & (F.col("page").isNull() | (F.col("place") == F.col("page"))))
+    return asked.join(met.select("query_id").distinct(), "query_id", "left_anti")
 
 
 def first_hits(ranking: DataFrame, probes: DataFrame, chunks: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -111,3 +123,15 @@ def probe_candidates(chunks: DataFrame, terms: DataFrame, least: int = 600, most
     scored = words.groupBy("book_file", "id", "no", "sentence").agg(F.avg(1 / (1 + F.coalesce("cf", F.lit(0)))).alias("rare"))
     best = scored.groupBy("book_file", "id").agg(F.max_by("sentence", F.struct(F.round("rare", 9), -F.col("no"))).alias("sentence"))
     return best.select("book_file", "id", F.substring("sentence", 1, most).alias("query"))
+
+
+def history_row(recalls: DataFrame, chunks: DataFrame, at: str, mode: str, embed_model: str | None = None, rerank_model: str | None = None) -> DataFrame:
+    """A row for the history of evaluations: recalls (`recall_mrr`) of a mode with the size of the catalog they hold for."""
+    size = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("book_file").alias("books"))
+    told = recalls.select(F.lit(at).alias("at"), F.lit(mode).alias("mode"), "probes", F.lit(embed_model).cast("string").alias("embed_model"), F.lit(rerank_model).cast("string").alias("rerank_model"), *[F.round(c, 3).alias(c) for c in ("r1", "r3", "r5", "mrr")])
+    return told.crossJoin(size)
+
+
+def score_table(scores: DataFrame) -> DataFrame:
+    """(model, fixture, ..., mean): scores (model, fixture, score) side by side, a column a fixture; the mean is of those there are."""
+    return scores.groupBy("model").pivot("fixture").agg(F.round(F.first("score"), 3)).join(scores.groupBy("model").agg(F.round(F.avg("score"), 3).alias("mean")), "model")

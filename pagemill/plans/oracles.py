@@ -13,20 +13,36 @@ postings as (select term, doc_id, count(*) as tf from terms group by all),
 lengths as (select doc_id, count(*) as dl from terms group by doc_id),
 stats as (select term, count(*) as df, sum(tf)::bigint as cf from postings group by term),
 totals as (select (select count(*) from documents) as n, (select sum(dl) from lengths)::double / (select count(*) from documents) as avgdl)"""
-_ASKED = rf"""
-asked as (
-  select item_id as query_id, list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 and t not in ({_STOP})), 1, 6) as ts from benchmark),
+_CONTENT = f"lambda t: length(t) > 2 and t not in ({_STOP})"
+_SCORED = """
 wanted as (select query_id, term, count(*) as times from (select query_id, unnest(ts) as term from asked) group by all),
 parts as (
   select query_id, p.doc_id as id, w.term,
          times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as part
   from wanted w join stats using (term) join postings p using (term) join lengths l on l.doc_id = p.doc_id cross join totals),
 scored as (select query_id, id, sum(part) as score, count(*) as met from parts group by all),
-needed as (select query_id, count(*) as needed, sum(times) as asked from wanted group by query_id),
+needed as (select query_id, count(*) as needed, sum(times) as asked from wanted group by query_id)"""
+_ASKED = rf"""
+asked as (
+  select item_id as query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 and t not in ({_STOP})) as ts from benchmark),
+{_SCORED},
 lexical as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from scored qualify rank <= 20),
 coverage as (
   select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank
   from scored join needed using (query_id) where met = needed and asked > 1 qualify rank <= 20)"""
+_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_EDGES = f"^[{_SPACE}]+|[{_SPACE}]+$"
+_ENDS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+_PROBES = rf"""
+long as (select source || '.md' as book_file, min(doc_id) as id, min_by(text, doc_id) as text from documents where length(text) > 600 group by 1),
+sentences as (select book_file, id, generate_subscripts(ss, 1) - 1 as no, unnest(ss) as sentence from (select book_file, id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from long)),
+told as (select *, list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]+'), {_CONTENT}) as ts from sentences),
+rated as (select book_file, id, no, sentence, round(avg(1.0::double / (1 + coalesce(cf, 0))), 9) as rare from (select book_file, id, no, sentence, unnest(ts) as term from told where len(ts) between 6 and 25) left join stats using (term) group by 1, 2, 3, 4),
+probe as (select book_file, id, substr(sentence, 1, 160) as query from rated qualify row_number() over (partition by book_file, id order by rare desc, no) = 1)"""
+_FUSED = """
+each_ as (select query_id, id, sum(1.0::double / (rank + 60)) as s, min(channel * 1000 + rank) as first, max(score) as raw from both_ group by all),
+ways as (select query_id, count(distinct channel) as ways from both_ group by 1),
+fused as (select query_id, id, first, case when ways = 1 then raw else s end as score, case when ways = 1 then 0.0 else round(s, 12) end as ord from each_ join ways using (query_id))"""
 _CENTROIDS = """
 dims as (select label, generate_subscripts(embedding, 1) as dim, unnest(embedding)::double as x from embeddings),
 means as (select label, dim, round(avg(x), 6) as x from dims group by all),
@@ -52,9 +68,19 @@ ORACLES = {
     "lexical_topk": f"with {_INDEX}, {_ASKED} select query_id, id, round(score, 4) as score, rank from lexical",
     "coverage_topk": f"with {_INDEX}, {_ASKED} select query_id, id, round(score, 4) as score, rank from coverage",
     "rrf_fusion": f"""with {_INDEX}, {_ASKED},
-      both_ as (select query_id, id, rank, 0 as channel from lexical union all select query_id, id, rank, 1 from coverage),
-      each_ as (select query_id, id, sum(1.0::double / (rank + 60)) as score, min(channel * 1000 + rank) as first from both_ group by all)
-      select query_id, id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 12) desc, first, id) as rank from each_""",
+      both_ as (select query_id, id, rank, score, 0 as channel from lexical union all select query_id, id, rank, score, 1 from coverage), {_FUSED}
+      select query_id, id, round(score, 9) as score, row_number() over (partition by query_id order by ord desc, first, id) as rank from fused""",
+    "scoped_search": f"""with {_INDEX}, {_ASKED},
+      scope as (select doc_id from documents where source in (select source from documents where concat_ws(' ', source || '.md', source, lang) ilike '%src1%' and concat_ws(' ', source || '.md', source, lang) ilike '%fr%')),
+      nearest as (
+        select item_id as query_id, w.vec_id as id, list_inner_product(w.embedding::double[], q.embedding::double[]) as score
+        from benchmark join embeddings q on q.vec_id = item_id join (select * from embeddings where vec_id in (select doc_id from scope)) w on true),
+      dense as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from nearest qualify rank <= 20),
+      within as (select * from scored where id in (select doc_id from scope)),
+      lexical_in as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from within qualify rank <= 20),
+      coverage_in as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from within join needed using (query_id) where met = needed and asked > 1 qualify rank <= 20),
+      both_ as (select query_id, id, rank, score, 0 as channel from dense union all select query_id, id, rank, score, 1 from lexical_in union all select query_id, id, rank, score, 2 from coverage_in), {_FUSED}
+      select query_id, id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by ord desc, first, id) as rank from fused) where score >= 0.016""",
     "dense_topk": f"with {_CENTROIDS} select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from hits qualify rank <= 20",
     "dense_maxpool": f"""with {_CENTROIDS},
       top as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from hits qualify r <= 80),
@@ -69,9 +95,20 @@ ORACLES = {
       c as (select sha256, list(name order by length(name), name) as names from f group by sha256)
       select sha256, names[1] as canonical, array_to_string(list_sort(names[2:]), ',') as dropped, len(names) as n from c""",
     "duplicate_passages": "select substr(text, 1, 200) as passage, count(distinct doc_id) as n from documents group by 1 having n > 1",
-    "benchmark_containment": "select distinct doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where len(list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '')) >= 8",
-    "prompt_echo": """select distinct doc_id from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
-      where line in (select line from (select unnest(string_split(text, chr(10))) as line from benchmark) where length(line) >= 40)""",
+    "benchmark_containment": "select distinct doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where b.text <> ''",
+    "prompt_echo": """select distinct doc_id from documents d
+      join (select distinct line from (select unnest(string_split(text, chr(10))) as line from benchmark) where length(line) >= 40) on contains(d.text, line)""",
+    "running_headers": rf"""with l as (select doc_id, list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '({_ENDS})\z', ''), '{_ENDS}'), lambda x: regexp_replace(x, '{_EDGES}', '', 'g')) as ls, coalesce(text, '') as t from documents),
+      b as (select *, list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(x, '^[#>* ]+', ''), '{_EDGES}', '', 'g')), lambda x: x <> '' and not regexp_matches(x, '^(?i)(page\s+)?[0-9]{{1,4}}$')) as said,
+              list_transform(regexp_extract_all(t, '###\s*Page\s+([0-9]+)', 1), lambda n: n::int) as headed, list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[0-9]{{1,4}}$')), lambda n: n::int) as alone from l)
+      select doc_id, coalesce(said[1], '') as header, array_to_string(case when len(headed) > 0 then headed else alone[1:1] end, ',') as page_numbers from b""",
+    "probe_candidates": f"with {_INDEX}, {_PROBES} select book_file, id, query from probe",
+    "probe_recall": f"""with {_INDEX}, {_PROBES},
+      asked as (select id as query_id, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), {_CONTENT}) as ts from probe), {_SCORED},
+      ranks as (select query_id, id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from scored qualify rank <= 5),
+      first as (select p.id, min(case when r.id = p.id then rank end) as f from probe p left join ranks r on r.query_id = p.id group by 1)
+      select count(*) as probes, round(avg(case when f <= 1 then 1.0 else 0.0 end), 6) as r1, round(avg(case when f <= 3 then 1.0 else 0.0 end), 6) as r3,
+             round(avg(case when f <= 5 then 1.0 else 0.0 end), 6) as r5, round(avg(coalesce(1.0 / f, 0.0)), 6) as mrr from first""",
     "page_quality": f"""with q as ({_QUALITY}),
       m as (select *, case when len(ls) > 0 then len(list_distinct(ls))::double / len(ls) else 1.0 end as lu,
               len(list_distinct(list_transform(generate_series(1, len(t) - 2), lambda i: t[i:i + 2])))::double / nullif(len(t) - 2, 0) as tu from q)
@@ -118,5 +155,5 @@ ORACLES["coverage_summary"] = f"""with q as ({_QUALITY}),
   m as (select *, {_TYPE} as type, trim(text, ' \t\n\r') as body, case when len(ls) > 0 then len(list_distinct(ls))::double / len(ls) else 1.0 end as lu,
           case when len(t) >= 32 then len(list_distinct(list_transform(generate_series(1, len(t) - 2), lambda i: t[i:i + 2])))::double / (len(t) - 2) else 1.0 end as tu from q),
   r as (select *, type in ('COVER', 'IMPRINT') as meta, len(ls) >= 10 and least(lu, tu) < 0.1 as runaway from m)
-  select case when length(body) < 400 then 'thin-text' when runaway then 'runaway-healed' else 'meta-below-recovery-gate' end as reason, count(*) as n, sum(length(text))::bigint as chars
-  from r where meta and (length(body) < 400 or runaway) group by 1"""
+  select case when not meta or (length(body) >= 400 and not runaway) then 'emitted' when length(body) < 400 then 'thin-text' when runaway then 'runaway-healed' else 'meta-below-recovery-gate' end as reason,
+         count(*) as n, sum(length(text))::bigint as chars from r group by 1"""

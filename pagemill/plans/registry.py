@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions import fuzzy as Z
 from pagemill.functions import text as X
-from pagemill.operators import capture, catalog, chunking, index, resolve, retrieval
+from pagemill.operators import capture, catalog, chunking, contain, index, resolve, retrieval, works
 from pagemill.plans import audit
 from pagemill.plans.oracles import ORACLES
 from pagemill.session import ensure_checkpoint_dir
@@ -22,7 +22,6 @@ from pagemill.sources import books
 from pagemill.sources.tables import table
 
 TOP = 20
-PROBE_TERMS = 6
 PARAGRAPH = r"\n+"
 
 
@@ -41,9 +40,8 @@ def document_index(spark: SparkSession, sf_dir: str, stored: bool = True) -> ind
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each benchmark item: its first content terms."""
-    terms = F.slice(X.query_terms(F.col("text")), 1, PROBE_TERMS)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(terms, " ").alias("query"))
+    """A query for each benchmark item: its whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _rounded(ranking: DataFrame) -> DataFrame:
@@ -72,17 +70,37 @@ def term_stats(spark, sf_dir):
     return document_index(spark, sf_dir, stored=False).terms.where("cf >= 2")
 
 
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each benchmark item: that of the same number, as vectors stand for the documents of their numbers."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return items.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), "query_id")
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str, windows: DataFrame, number: Column) -> DataFrame:
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("vec"))
+    return windows.withColumn("number", number).join(held, "number", "left").drop("number")
+
+
 def hybrid_search(spark, sf_dir):
-    """Three lexical channels, fused, re-scored by the stand-in scorer, diversified and cited."""
+    """Four channels (vectors, any term, all terms, near spellings), fused, re-scored by the stand-in scorer, diversified and cited."""
     ensure_checkpoint_dir(spark)
     chunks = chunking.chunk_units(units(spark, sf_dir), PARAGRAPH).checkpoint()
-    windows = chunking.chunk_windows(chunks, PARAGRAPH)
+    windows = _with_vectors(spark, sf_dir, chunking.chunk_windows(chunks, PARAGRAPH), F.regexp_extract("chunk_id", r"::([0-9]+)\.jpeg::", 1).cast("long"))
     ix, asked = index.build_index(chunks, "text", "author", "book_title"), probes(spark, sf_dir)
-    merged = retrieval.fused([retrieval.lexical(ix, asked), retrieval.coverage(ix, asked), retrieval.fuzzy(ix, asked)])
-    best = retrieval.diversified(retrieval.reranked(merged, asked, windows), chunks, k=5)
-    told = best.join(chunks, "id").join(asked, "query_id")
-    cited = X.citation(F.col("author"), F.col("book_title"), F.col("book_file"), F.col("year"), F.col("image"), F.col("page"))
-    return told.select("query_id", "rank", F.bround("score", 4).alias("score"), cited.alias("citation"), retrieval.excerpt(F.col("text"), F.col("query")).alias("excerpt"), "id")
+    best = retrieval.search(ix, chunks, windows, asked, _query_vectors(spark, sf_dir), scorer=retrieval.overlap_score)
+    told = retrieval.results(best, chunks, asked)
+    return told.select("query_id", "rank", F.bround("score", 4).alias("score"), "citation", "excerpt", "id")
+
+
+def scoped_search(spark, sf_dir):
+    """Vectors and both term channels within the books of a scope, fused; scores under a least one are left out."""
+    chunks, asked = pages_as_chunks(spark, sf_dir), probes(spark, sf_dir)
+    windows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    held, _ = retrieval.in_scope(chunks, "SRC1 fr")
+    ids, ix = held.select("id"), document_index(spark, sf_dir)
+    rankings = [retrieval.dense(windows, _query_vectors(spark, sf_dir), TOP, ids), retrieval.lexical(ix, asked, TOP, ids), retrieval.coverage(ix, asked, TOP, ids)]
+    best = retrieval.fused(rankings).where(F.col("score") >= 0.016)
+    return best.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,19 +143,14 @@ def duplicate_passages(spark, sf_dir):
 
 
 def benchmark_containment(spark, sf_dir):
-    """Documents that hold a benchmark text whole: they meet on its first eight words, then the text decides."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), X.tokens(F.col("text")).alias("w"))
-    key = lambda w, at: F.concat_ws(" ", *[F.get(w, at + k) for k in range(8)])
-    heads = b.where("size(w) >= 8").select("item_id", "item", key(F.col("w"), F.lit(0)).alias("head"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.tokens(F.col("text")).alias("w")).where("size(w) >= 8")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: key(F.col("w"), i)))
-    met = d.select("doc_id", "text", F.explode(runs).alias("head")).join(heads, "head")
-    return met.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark text whole."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return contain.containment(table(spark, sf_dir, "documents"), items, "doc_id", "item_id")
 
 
 def page_quality(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.text_quality(t).alias("quality"), X.is_runaway(t).alias("runaway"), X.letters(t).alias("letters"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.read_quality(t).alias("q"), X.letters(t).alias("letters")).select("doc_id", "q.quality", "q.runaway", "letters")
 
 
 def shot_types(spark, sf_dir):
@@ -158,10 +171,9 @@ def plain_text(spark, sf_dir):
 
 
 def prompt_echo(spark, sf_dir):
-    """Documents that hold a line of forty characters and more of any benchmark text: lines meet lines."""
-    marks = table(spark, sf_dir, "benchmark").select(F.explode(X.lines(F.col("text"))).alias("line")).where(F.length("line") >= 40).distinct()
-    told = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.lines(F.col("text"))).alias("line"))
-    return told.join(marks, "line", "left_semi").select("doc_id").distinct()
+    """Documents that hold a line of forty characters and more of any benchmark text, on a line of theirs or within one."""
+    marks = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.lines(F.col("text"))).alias("passage")).where(F.length("passage") >= 40)
+    return contain.containment(table(spark, sf_dir, "documents"), marks, "doc_id", "item_id").select("doc_id").distinct()
 
 
 def capture_order(spark, sf_dir):
@@ -216,6 +228,36 @@ def group_shots(spark, sf_dir):
     return capture.group_shots(shots)
 
 
+def _library(spark, sf_dir):
+    """Conversations as rolls of shots of a library, grouped into works."""
+    t = table(spark, sf_dir, "conversations")
+    reads = t.select(
+        F.col("conv_id").alias("roll"), F.format_string("IMG_%d_%04d.jpeg", "conv_id", "turn").alias("image"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 100_000 + F.col("turn") * 60).cast("timestamp_ntz").alias("time"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("timestamp_ntz").alias("processed_at"), "text",
+    )
+    ensure_checkpoint_dir(spark)
+    shots = works.healed(works.page_records(reads)).checkpoint()
+    grouped = capture.group_shots(shots).select("roll", "image", "work", "work_title", "key_image", "title_counts")
+    return shots.join(grouped, ["roll", "image"]).checkpoint()
+
+
+def library_works(spark, sf_dir):
+    """Every work of a library with its title, its host among works of one title or key, and its run of shots."""
+    shots = _library(spark, sf_dir)
+    titles = works.work_titles(shots).checkpoint()
+    named = works.work_titles(shots, inferred=works.inferred_titles(shots, titles)).checkpoint()
+    hosts = works.library_hosts(works.work_facts(shots, named).checkpoint()).checkpoint()
+    summary = works.run_summary(works.assembled(shots, hosts))
+    return named.join(hosts, "work").join(summary.select(F.col("work").alias("host"), "n_images", "yield_p50", "duration"), "host").select("work", "title", "host", "n_images", "yield_p50", "duration")
+
+
+def work_records(spark, sf_dir):
+    """Records of a library's works: title, bibliographic fields and where they come from."""
+    shots = _library(spark, sf_dir)
+    records = works.work_records(shots, works.work_titles(shots))
+    return records.select("work", "title", F.to_json("fields").alias("fields"))
+
+
 def split_parts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(chunking.split_long(F.coalesce("text", F.lit("")), paragraph=PARAGRAPH)).alias("part", "text"))
@@ -284,9 +326,9 @@ def title_candidates(spark, sf_dir):
 
 
 def bibliography_match(spark, sf_dir):
-    """Page titles against a bibliography of the documents' openings."""
+    """Page titles against a bibliography of the documents' first lines."""
     works = _page_titles(spark, sf_dir).select("work", F.lit("").alias("isbn"), F.array("title").alias("titles"))
-    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.lit("BOOK").alias("type"), F.substring("text", 1, 60).alias("title"), F.lit("").alias("container"), F.lit("").alias("isbn"))
+    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.lit("BOOK").alias("type"), F.get(X.full_lines(F.col("text")), F.lit(0)).alias("title"), F.lit("").alias("container"), F.lit("").alias("isbn"))
     return resolve.match_bibliography(works, entries)
 
 
@@ -299,8 +341,8 @@ def turn_similarity(spark, sf_dir):
 
 
 _QUERIES = (
-    lexical_topk, coverage_topk, fuzzy_topk, rrf_fusion, term_stats, hybrid_search, dense_topk, dense_maxpool, recall_by_label, exact_dedup, duplicate_passages, benchmark_containment, page_quality, shot_types,
-    metadata_fields, running_headers, plain_text, prompt_echo, capture_order, session_books, session_windows, neighbour_pages, merge_tiny, book_round_trip, group_shots, split_parts, window_parts,
+    lexical_topk, coverage_topk, fuzzy_topk, rrf_fusion, term_stats, hybrid_search, scoped_search, dense_topk, dense_maxpool, recall_by_label, exact_dedup, duplicate_passages, benchmark_containment, page_quality, shot_types,
+    metadata_fields, running_headers, plain_text, prompt_echo, capture_order, session_books, session_windows, neighbour_pages, merge_tiny, book_round_trip, group_shots, library_works, work_records, split_parts, window_parts,
     books_listing, catalog_summary, scope_books, catalog_diff, coverage_summary, doctor_report, probe_candidates, probe_recall, title_candidates, bibliography_match, turn_similarity,
 )
 

@@ -75,7 +75,7 @@ def parse_books(raw: DataFrame) -> DataFrame:
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "book_*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "book_*.md").text(path, wholetext=True)
     return parse_books(files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("book_file"), F.col("value").alias("raw")))
 
 

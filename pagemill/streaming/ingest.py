@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 
 from pagemill.operators import catalog, chunking
 
+BUCKETS = 64
+
 
 def page_stream(spark: SparkSession, path: str, schema: StructType | str, files_a_batch: int = 100) -> DataFrame:
     """Page units arriving as Parquet files; what has been read is known from the checkpoint, so a restart goes on where it stopped."""
@@ -19,26 +21,28 @@ def ingest(pages: DataFrame, target: str, checkpoint: str, paragraph: str = chun
     """Chunks of each micro-batch that the catalog does not hold yet, appended to it.
 
     A batch that runs again finds its own rows, so nothing is written twice; a changed page adds a row under its id with a new digest,
-    and `latest` picks it.
+    and `latest` picks it. Rows lie in `BUCKETS` folders by a hash of their id, and a batch reads the ids and digests of those it
+    falls in.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        chunks = chunking.chunk_units(batch, paragraph).withColumn("batch", F.lit(number))
+        chunks = chunking.chunk_units(batch, paragraph).withColumns({"batch": F.lit(number), "bucket": F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")})
         try:
-            held = spark.read.parquet(target).select("id", "content_sha")
+            met = [r["bucket"] for r in chunks.select("bucket").distinct().collect()]
+            held = spark.read.parquet(target).where(F.col("bucket").isin(*met)).select("id", "content_sha")
             chunks = chunks.join(held, ["id", "content_sha"], "left_anti")
         except Exception as missing:  # the first batch finds no catalog
             if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
                 raise
-        chunks.write.mode("append").parquet(target)
+        chunks.write.mode("append").partitionBy("bucket").parquet(target)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(chunks: DataFrame) -> DataFrame:
     """The newest row of every id."""
-    others = [c for c in chunks.columns if c not in ("id", "batch")]
+    others = [c for c in chunks.columns if c not in ("id", "batch", "bucket")]
     return chunks.groupBy("id").agg(F.max_by(F.struct(*others), "batch").alias("row"), F.max("batch").alias("batch")).select("id", "row.*", "batch")
 
 
