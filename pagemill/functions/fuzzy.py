@@ -49,12 +49,6 @@ def same_title(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([titles_match(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
 
-def could_reach(a: Column, b: Column, least: float) -> Column:
-    """Whether two strings are near enough in length for their ratio to reach `least`: what a join tests first."""
-    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
-    return 2 * shorter >= F.lit(least) * both
-
-
 def letter_counts(words: list[str]) -> np.ndarray:
     """How often each letter occurs in each word; rarer characters share counters, which keeps the bound a bound."""
     counts = np.zeros((len(words), 64), np.int16)

@@ -144,11 +144,19 @@ ORACLES = {
     "catalog_diff": """with o as (select doc_id as id, case when lang = 'fr' then 'old' else sha1(coalesce(text, '')) end as a from documents where lang <> 'es'),
       n as (select doc_id as id, sha1(coalesce(text, '')) as b from documents where lang <> 'de')
       select case when b is null then 'STALE' when a is null then 'NEW' when a = b then 'KEPT' else 'CHANGED' end as status, count(*) as n from o full join n using (id) group by 1""",
-    "doctor_report": f"""with c as ({_UNITS}), d as (select substr(text, 1, 200) as head from c group by 1 having count(distinct image) > 1)
-      select 'OK' as level, 'corpus' as name, count(*) || ' chunks, ' || count(distinct book_file) || ' books' as message from c
-      union all select 'OK', 'uncitable-labels', '0' union all select 'OK', 'vectors', '0 without, 0 of another model' union all select 'OK', 'truncation', '0'
+    "doctor_report": f"""with c as ({_UNITS}), d as (select substr(text, 1, 200) as head from c group by 1 having count(distinct image) > 1),
+      w as (select text, embedding, case when lang = 'de' then 'old' else 'm' end as model from documents left join embeddings on vec_id = doc_id),
+      v as (select count(*) as n, count(embedding) as v, count(case when model <> 'm' then 1 end) as s from w),
+      p as (select count(*) as n from benchmark where not exists (select 1 from c where contains(lower(book_file), 'src' || (item_id % 40) || '.'))),
+      g as (select count(distinct image) as n from c)
+      select case when count(*) = 0 then 'WARN' else 'OK' end as level, 'corpus' as name, count(*) || ' chunks, ' || count(distinct book_file) || ' books' as message from c
+      union all select case when count(*) > 0 then 'WARN' else 'OK' end, 'uncitable-labels', count(*)::varchar from c where not regexp_matches(lower(image), '\\.(jpe?g|png|tiff?|heic)$')
+      union all select case when v < n or s > 0 then 'WARN' else 'OK' end, 'vectors', (n - v) || ' without, ' || s || ' of another model' from v
+      union all select case when count(*) > 0 then 'WARN' else 'OK' end, 'truncation', count(*)::varchar from w where length(text) > 2048
       union all select case when count(*) > 28500 then 'WARN' else 'OK' end, 'scale', count(*)::varchar from c
-      union all select case when count(*) > 0 then 'INFO' else 'OK' end, 'duplicates', count(*)::varchar from d""",
+      union all select case when count(*) > 0 then 'INFO' else 'OK' end, 'duplicates', count(*)::varchar from d
+      union all select case when n > 0 then 'WARN' else 'OK' end, 'probes', n::varchar from p
+      union all select case when abs(n - 700) > 14 then 'WARN' else 'OK' end, 'ocr-rag-gap', n || ' of 700' from g""",
     "book_round_trip": f"select book_file, book_file as book_title, '1999' as year, image, position::varchar as page, text from ({_TURNS})",
 }
 ORACLES["coverage_summary"] = f"""with q as ({_QUALITY}),

@@ -300,9 +300,11 @@ def coverage_summary(spark, sf_dir):
 
 
 def doctor_report(spark, sf_dir):
-    chunks = units(spark, sf_dir)
-    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec"), F.lit("m").alias("vec_model"), F.lit("window").alias("text"))
-    return audit.doctor(chunks, e, model="m")
+    """The health of a catalog whose windows are the documents, with the vectors of their numbers; German ones are of an older model."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    windows = d.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left").select("text", "vec", F.when(F.col("lang") == "de", "old").otherwise("m").alias("vec_model"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 40).cast("string"), F.lit(".")).alias("book"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("page"))
+    return audit.doctor(units(spark, sf_dir), windows, model="m", probes=asked, emitted_images=700)
 
 
 def probe_candidates(spark, sf_dir):
