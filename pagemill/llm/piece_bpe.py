@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
 NO_PAIR = np.int64(2**62)
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 800_000
 
 
 class _Lookup:

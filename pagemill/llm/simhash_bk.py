@@ -38,7 +38,7 @@ SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 SHARD = 2048
 BATCH_POINTS = 100_000
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
