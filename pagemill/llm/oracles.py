@@ -106,7 +106,44 @@ select 'v' || n as revisit_id, url, make_timestamp((1704067200 + later) * 100000
             'etag: ' || case when n % 5 <> 0 then 'W/' || tag else rtag end, 'last-modified: day ' || (n % 30), 'x-seen: ' || (n % 3)]), chr(10)) end as headers
 from judged"""
 
+#: Nodes of all trees level by level, the source trees first and then the tree of their roots; a proof is what the windows show beside a path.
+_TREES = """
+{name}_nodes as (
+  select tree, 0 as level, place, node, count(*) over (partition by tree) as n from {name}
+  union all
+  select tree, level + 1, place // 3, sha256(string_agg(node, '' order by place)), (max(n) + 2) // 3 from {name}_nodes where n > 1 group by tree, level, place // 3),
+{name}_sides as (
+  select *, coalesce(string_agg(node, '') over (run order by place rows between unbounded preceding and 1 preceding), '') as l,
+         coalesce(string_agg(node, '') over (run order by place rows between 1 following and unbounded following), '') as r
+  from {name}_nodes window run as (partition by tree, level, place // 3)),
+{name}_proofs as (
+  select d.tree, d.place, list({{'l': s.l, 'r': s.r, 'h': ''}} order by s.level) filter (where s.n > 1) as proof
+  from {name} d join {name}_sides s on s.tree = d.tree and s.place = d.place // pow(3, s.level)::bigint group by d.tree, d.place),
+{name}_roots as (select tree, node as root from {name}_nodes where n = 1)"""
+_HELD = ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar"))
+_BITS = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1)))"
+#: CRC-32 bit by bit, the low bit of a byte first.
+_CRC = f"xor(list_reduce(list_concat([4294967295::bigint], {_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+MANIFEST_SQL = f"""
+with recursive told as (
+  select row_number() over () as rid, doc_id, coalesce('=' || source, '') as tree, sha256(concat({_HELD}, coalesce(strlen(text) || ':' || text, '-'))) as node,
+         case when {_CRC} % 2 = 0 then replace(text, chr(10), '') else text end as harmed, source, lang, n_chars from documents),
+leaf_rows as (
+  select rid, doc_id, tree, node, sha256(concat({_HELD}, coalesce(strlen(harmed) || ':' || harmed, '-'))) as changed,
+         row_number() over (partition by tree order by doc_id nulls first, node) - 1 as place from told),
+leaves as (select tree, place, node from leaf_rows), {_TREES.format(name="leaves")},
+tops as (select '' as tree, row_number() over (order by tree) - 1 as place, root as node, tree as source from leaves_roots), {_TREES.format(name="tops")},
+proven as (
+  select d.*, r.root as subroot, t.root, list_concat(coalesce(p.proof, []), coalesce(q.proof, [])) as proof
+  from leaf_rows d join leaves_proofs p using (tree, place) join leaves_roots r using (tree) join tops s on s.source = d.tree
+  join tops_proofs q on q.place = s.place cross join tops_roots t),
+folded as (
+  select *, list_reduce(list_concat([{{'l': '', 'r': '', 'h': changed}}], proof), lambda a, b: {{'l': '', 'r': '', 'h': sha256(b.l || a.h || b.r)}}).h as folded_root from proven)
+select doc_id, node as leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda p: p.l || p.r), '')) as proof_sha256, folded_root, folded_root = root as verified
+from folded"""
+
 ORACLES = {
+    "op11_merkle_manifest": MANIFEST_SQL,
     "op7_licence_digests": LICENCE_SQL,
     "op9_warc_revisits": REVISIT_SQL,
     "op1_impact_search": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import impact_search, licence_digests, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
+from pagemill.llm import impact_search, licence_digests, merkle_manifest, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
 from pagemill.llm.common import read
 
 
@@ -76,6 +76,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether it still verifies after the line ends of every other one are deleted."""
+    docs = read(spark, sf_dir, "documents")
+    told = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    harmed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proven = merkle_manifest.manifest(docs, merkle_manifest.leaf_digest(*told, F.col("text")), F.col("doc_id"), merkle_manifest.leaf_digest(*told, harmed))
+    sides = F.col("lefts"), F.col("rights")
+    checked = proven.select(F.col("carried_0").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(*sides).alias("proof_sha256"), merkle_manifest.folded(F.col("carried_1"), *sides).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
