@@ -27,13 +27,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder within the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """`rows` written as Parquet to the shared checkpoint folder and read back, so that Spark knows their size."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(rows.sparkSession, "table")
     rows.write.parquet(path)
-    return spark.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def packed(rows: DataFrame, name: str = "row") -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import impact_search, licence_digests, merkle_manifest, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
-from pagemill.llm.common import read
+from pagemill.llm import id_shards, impact_search, licence_digests, merkle_manifest, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
+from pagemill.llm.common import read, shared_folder
 
 
 #: Vocabulary files; a cluster names its own place for them.
@@ -87,6 +87,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as ids, and read back: places by the index from the documents' keys, digests from the payloads."""
+    docs = read(spark, sf_dir, "documents")
+    files = id_shards.write(docs, vocabulary(BYTES), shared_folder(spark, "ids"))
+    found = id_shards.lookup(files, id_shards.key_list(docs))
+    told = found.join(id_shards.digests(files), ["shard", "segment", "offset"])
+    return told.select("doc_id", "start", F.col("count").alias("n_tokens"), "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
