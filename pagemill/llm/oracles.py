@@ -142,7 +142,31 @@ folded as (
 select doc_id, node as leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda p: p.l || p.r), '')) as proof_sha256, folded_root, folded_root = root as verified
 from folded"""
 
+#: Runs of one to three words counted each by itself, without a graph.
+PHRASE_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+worded as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+counted as (
+  select lang, k, array_to_string(w[p:p + k - 1], ' ') as phrase, count(*) as a
+  from (select lang, k, w, unnest(range(1, len(w) - k + 2)) as p from worded, (values (1), (2), (3)) as sizes(k) where len(w) >= k) group by all),
+totals as (select lang, sum(a)::bigint as n from counted where k = 1 group by lang),
+frequent as (select *, string_split(phrase, ' ') as w from counted where a >= 10),
+around as (
+  select lang, array_to_string(w[p:p + k - 1], ' ') as phrase, max(a) as longer
+  from (select lang, w, a, 2 as k, unnest(range(1, len(w))) as p from frequent where len(w) = 3) group by all),
+kept as (select f.* from frequent f left join around using (lang, phrase) where k > 1 and not coalesce(100 * longer >= 50 * a, false)),
+cuts as (select *, unnest(range(1, k)) as cut from kept),
+scored as (
+  select c.lang, c.phrase, c.a, c.cut, x.a as l, y.a as r, ((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a))::bigint as score
+  from cuts c join counted x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:cut], ' ') join counted y on y.lang = c.lang and y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest) join totals using (lang) where rank <= 2000"""
+
 ORACLES = {
+    "op12_phrase_graph": PHRASE_SQL,
     "op11_merkle_manifest": MANIFEST_SQL,
     "op7_licence_digests": LICENCE_SQL,
     "op9_warc_revisits": REVISIT_SQL,

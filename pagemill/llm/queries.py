@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import id_shards, impact_search, licence_digests, merkle_manifest, oracles, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
+from pagemill.llm import id_shards, impact_search, licence_digests, merkle_manifest, oracles, phrase_graph, piece_bpe, quality_rules, simhash_bk, site_style, source_mix, token_counts, toxicity, warc_revisits
 from pagemill.llm.common import read, shared_folder
 
 
@@ -87,6 +87,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(phrase_graph.graph(read(spark, sf_dir, "documents")))
+
+
 def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ids, and read back: places by the index from the documents' keys, digests from the payloads."""
     docs = read(spark, sf_dir, "documents")
