@@ -1,6 +1,7 @@
 """Sequence-matching similarity, which no built-in function equals: Arrow functions over the standard library's matcher.
 
-They are kept to bounded inputs (titles, vocabulary terms, evaluation pairs) behind cheap prefilters.
+They are kept to bounded inputs (titles, vocabulary terms, evaluation pairs) behind cheap prefilters, none of which turns away
+a pair that the matcher would accept.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
@@ -85,32 +87,142 @@ def could_match(word: str, others: list[str], counts: np.ndarray, own: np.ndarra
     return near
 
 
-def title_pairs(left: DataFrame, right: DataFrame, least: float, judge: Callable[[str, str], float | bool], contained: bool = True) -> DataFrame:
-    """(a, b, score) of different titles `left` (title) and `right` (title) whose ratio may reach `least`, or of which one may hold the
-    other, and for which `judge` gives other than nothing.
+def least_shared(least: float, size: Column | float, q: int) -> Column | float:
+    """How many grams of q characters two titles of `size` characters together share at the least if their ratio is `least`.
 
-    All titles are compared with all, in blocks: bounds on common letters and their order leave few pairs for the matcher, and none that
-    it would find is lost.
+    Of `size` characters 2 M are matched, M of at least least * size / 2, in blocks that are parted by at least one of the size - 2 M others, so in at
+    most size - 2 M + 1 blocks; a block of n characters has n - q + 1 grams. At a ratio of 2/3 and below this is nothing for any q from 2 on.
     """
+    return ((2 * q - 1) * least / 2 - (q - 1)) * size - (q - 1)
+
+
+GRAM = 3
+#: Above this ratio titles are found by the grams that they share; `GRAM_RARE` of the rarest must be met.
+GRAM_RATIO = 0.8
+GRAM_RARE = 3
+PLACES = 16
+
+
+def _grams(titles: DataFrame) -> DataFrame:
+    at = F.sequence(F.lit(1), F.length("title") - (GRAM - 1))
+    return titles.where(F.length("title") >= GRAM).select("id", F.length("title").alias("size"), F.posexplode(F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(GRAM)))).alias("place", "gram"))
+
+
+def gram_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): ids of titles (id, title) whose ratio may be `least`, by an inverted index of the grams of `right`.
+
+    The rarest grams of a left title are looked up, all but as many as it must share with whatever matches it, less `GRAM_RARE`. Filters, all of
+    which follow from the ratio: lengths; places, as no matched character can move further than the unmatched ones let it; and the count of
+    grams met. Titles too short to be sure of a gram are left to `block_pairs`.
+    """
+    index = _grams(right)
+    rarity = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    need = F.ceil(F.lit(least_shared(least, 1.0, GRAM) + (GRAM - 1)) * F.col("size") * (2 / (2 - least)) - (GRAM - 1) - 1e-9)
+    asked = _grams(left).withColumn("need", need).where("need >= 1").withColumn("met", F.least("need", F.lit(GRAM_RARE)))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "gram", "place"))
+    rare = asked.join(rarity, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("turn", place).where(F.col("turn") <= F.col("size") - (GRAM - 1) - F.col("need") + F.col("met"))
+    reach = F.ceil(F.col("size") * F.lit(2 * (1 - least) / least) + 1)
+    cells = F.sequence(F.floor((F.greatest(F.col("place") - reach, F.lit(0))) / PLACES), F.floor((F.col("place") + reach) / PLACES))
+    probes = rare.where("df > 0").select("gram", F.explode(cells).alias("cell"), F.col("id").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), "met")
+    held = index.select("gram", F.floor(F.col("place") / PLACES).alias("cell"), F.col("id").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"))
+    half = F.lit(least / 2) * (F.col("m") + F.col("n")) - 1e-9
+    near = (F.least("m", "n") >= half) & (F.col("i") - F.col("j") <= F.col("m") - half) & (F.col("j") - F.col("i") <= F.col("n") - half)
+    found = probes.join(held, ["gram", "cell"]).where(near).select("a", "b", "i", "met").distinct()
+    return found.groupBy("a", "b", "met").agg(F.count(F.lit(1)).alias("shared")).where("shared >= met").select("a", "b")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): ids of titles (id, title) whose ratio may be `least`, blocks with blocks of lengths that can match.
+
+    For ratios at which no gram is sure to be shared. Common letters and then common subsequences are counted for whole blocks at a time; what
+    they leave is nearly all alike.
+    """
+    ensure_checkpoint_dir(left.sparkSession)
+
     def blocks(titles: DataFrame, name: str) -> tuple[DataFrame, int]:
-        ensure_checkpoint_dir(titles.sparkSession)
-        told = titles.select("title").where("title is not null").distinct().checkpoint()
-        n = max(1, -(-told.count() // BLOCK))
-        return told.groupBy(F.pmod(F.xxhash64("title"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("title").alias(f"{name}s")), n
+        n = max(1, -(-titles.count() // BLOCK))
+        # Blocks of like lengths: a block is a stretch of the lengths' quantiles.
+        steps = titles.agg(F.percentile_approx(F.length("title"), [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+        low = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x < F.length("title"))) if steps else F.lit(0)
+        high = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= F.length("title"))) if steps else F.lit(0)
+        number = low + F.pmod(F.xxhash64("title"), (high - low + 1).cast("long")).cast("int")
+        told = titles.groupBy(number.alias(name)).agg(F.collect_list(F.struct("id", "title")).alias(f"{name}s"), F.min(F.length("title")).alias(f"{name}_least"), F.max(F.length("title")).alias(f"{name}_most"))
+        return told.checkpoint(), n
 
     (a, n), (b, m) = blocks(left, "a"), blocks(right, "b")
-    spread = a.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(max(8, min(n * m, 10_000)), "a", "b")
+    fits = (F.col("a_most") >= F.lit(least / (2 - least)) * F.col("b_least")) & (F.col("b_most") >= F.lit(least / (2 - least)) * F.col("a_least"))
+    meet = a.select("a", "a_least", "a_most", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b")).join(b.drop("bs"), "b").where(fits).select("a", "b").repartition(max(8, min(n * m, 10_000)), "a", "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for own, others in zip(frame["as"], frame["bs"], strict=True):
-                own, others = list(own), list(others)
-                counts, rows = letter_counts(others), []
-                for title, held in zip(own, letter_counts(own), strict=True):
-                    found = set(could_match(title, others, counts, held, least).tolist())
-                    if contained:
-                        found |= {i for i, o in enumerate(others) if title in o or o in title}
-                    rows += [(title, others[i], float(score)) for i in sorted(found) if (score := judge(title, others[i]))]
-                yield pd.DataFrame(rows, columns=["a", "b", "score"]).astype({"a": object, "b": object, "score": float})
-
-    return spread.join(b, "b").select(F.col("as"), F.col("bs")).mapInPandas(run, "a string, b string, score double")
+                (keys, names), (ids, titles) = ([[r[c] for r in side] for c in ("id", "title")] for side in (own, others))
+                counts, rows = letter_counts(titles), []
+                for key, title, held in zip(keys, names, letter_counts(names), strict=True):
+                    rows += [(key, ids[i]) for i in could_match(title, titles, counts, held, least).tolist()]
+                yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    return meet.join(a.select("a", "as"), "a").join(b.select("b", "bs"), "b").select("as", "bs").mapInPandas(run, "a long, b long")
+
+
+def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): ids of titles of which one holds the other at word borders, by the rarest word of the shorter one."""
+
+    def worded(titles: DataFrame) -> DataFrame:
+        return titles.select("id", F.explode(F.array_distinct(F.split("title", " "))).alias("word"), F.length("title").alias("size"))
+
+    def held(short: DataFrame, long: DataFrame) -> DataFrame:
+        all_words = worded(long)
+        df = all_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        rarest = worded(short).where(F.col("size") >= CONTAINED_LEAST).join(df, "word", "left").groupBy("id", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("rare")).where("rare.df > 0")
+        met = rarest.select(F.col("id").alias("s"), F.col("size").alias("s_size"), F.col("rare.word").alias("word")).join(all_words.select("word", F.col("id").alias("l"), F.col("size").alias("l_size")), "word").where("s_size <= l_size")
+        texts = met.join(short.select(F.col("id").alias("s"), F.col("title").alias("s_title")), "s").join(long.select(F.col("id").alias("l"), F.col("title").alias("l_title")), "l")
+        return texts.where(F.concat(F.lit(" "), "l_title", F.lit(" ")).contains(F.concat(F.lit(" "), "s_title", F.lit(" ")))).select("s", "l")
+
+    return held(left, right).select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(held(right, left).select(F.col("l").alias("a"), F.col("s").alias("b")))
+
+
+def text_pairs(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """(a, b): ids of titles of which one, of `least` characters and more, stands in the other, by the rarest gram of the shorter one."""
+
+    def held(short: DataFrame, long: DataFrame) -> DataFrame:
+        grams = _grams(long).select("id", "gram").distinct()
+        df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        rarest = _grams(short.where(F.length("title") >= least)).join(df, "gram", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare")).where("rare.df > 0")
+        met = rarest.select(F.col("id").alias("s"), F.col("rare.gram").alias("gram")).join(grams.select("gram", F.col("id").alias("l")), "gram")
+        texts = met.join(short.select(F.col("id").alias("s"), F.col("title").alias("s_title")), "s").join(long.select(F.col("id").alias("l"), F.col("title").alias("l_title")), "l")
+        return texts.where(F.col("l_title").contains(F.col("s_title"))).select("s", "l")
+
+    return held(left, right).select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(held(right, left).select(F.col("l").alias("a"), F.col("s").alias("b")))
+
+
+def pair_candidates(left: DataFrame, right: DataFrame, least: float, holding: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates (a, b), left (id, title), right (id, title)) of different titles: all pairs that may reach the ratio `least`, and those of `holding`."""
+    ensure_checkpoint_dir(left.sparkSession)
+    own, others = (side.select("title").where("title is not null and title <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "title").checkpoint() for side in (left, right))
+    if least > GRAM_RATIO:
+        # Up to this length a title and whatever matches it may share no gram.
+        short = int((GRAM - 1) * (2 - least) / (2 * (least_shared(least, 1.0, GRAM) + GRAM - 1)))
+        few = F.length("title") <= short
+        most = own.agg(F.max(F.length("title"))).first()[0] or 0
+        found = gram_pairs(own, others.where(F.length("title") <= most * (2 - least) / least), least).unionByName(block_pairs(own.where(few), others.where(F.length("title") <= short * (2 - least) / least), least))
+    else:
+        found = block_pairs(own, others, least)
+    if holding is not None:
+        found = found.unionByName(holding(own, others))
+    return found.distinct(), own, others
+
+
+def title_pairs(left: DataFrame, right: DataFrame, least: float, judge: Callable[[str, str], float | bool], holding: Callable[[DataFrame, DataFrame], DataFrame] | None = word_pairs) -> DataFrame:
+    """(a, b, score) of different titles `left` (title) and `right` (title) whose ratio may reach `least`, or that `holding` finds one within the
+    other, and for which `judge` gives other than nothing. No pair that `judge` would accept is lost."""
+    found, own, others = pair_candidates(left, right, least, holding)
+    told = found.join(own.select(F.col("id").alias("a"), F.col("title").alias("a_title")), "a").join(others.select(F.col("id").alias("b"), F.col("title").alias("b_title")), "b").select(F.col("a_title").alias("a"), F.col("b_title").alias("b"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = [float(judge(a, b)) for a, b in zip(frame["a"], frame["b"], strict=True)]
+            out = frame.assign(score=np.array(scores, float))
+            yield out[out["score"] > 0]
+
+    return told.mapInPandas(run, "a string, b string, score double")

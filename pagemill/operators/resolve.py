@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.fuzzy import TITLE_RATIO, title_pairs, titles_match
-from pagemill.functions.text import strip
+from pagemill.functions.fuzzy import TITLE_RATIO, text_pairs, title_pairs, titles_match
+from pagemill.functions.text import normalized, strip
+from pagemill.functions.titles import confident
 
 ACCEPTED, CONTAINED, CONTAINED_SHARE, CONTAINED_CHARS, LEAST_CHARS = 0.85, 0.99, 0.7, 20, 6
 # Headings that are no title of a work.
@@ -71,7 +72,7 @@ def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     """(work, position, score, how, tie): the entry of a bibliography that each work (work, isbn, titles) is.
 
     An equal ISBN decides; else the best title at 0.85 or more, the first in file order on ties. Main titles are compared with main
-    titles and whole ones with whole ones, all with all.
+    titles and whole ones with whole ones.
     """
     usable = entries.where(citable(F.col("type"), F.col("title"), F.col("container"))).select("position", bare_isbn(F.col("isbn")).alias("isbn"), folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full"))
     keyed = works.select("work", bare_isbn(F.col("isbn")).alias("isbn"), "titles")
@@ -81,7 +82,7 @@ def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     guesses = asked.select("work", folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full")).where((F.length("main") >= LEAST_CHARS) & ~F.col("main").isin(*GENERIC)).distinct()
     scored = None
     for form in ("main", "full"):
-        alike = title_pairs(guesses.select(F.col(form).alias("title")), usable.select(F.col(form).alias("title")), ACCEPTED, _alike)
+        alike = title_pairs(guesses.select(F.col(form).alias("title")), usable.select(F.col(form).alias("title")), ACCEPTED, _alike, lambda a, b: text_pairs(a, b, LEAST_CHARS))
         met = guesses.select("work", F.col(form).alias("a")).distinct().join(alike, "a").join(usable.select("position", F.col(form).alias("b")), "b").select("work", "position", "score")
         scored = met if scored is None else scored.unionByName(met)
     best = scored.groupBy("work", "position").agg(F.max("score").alias("score"))
@@ -99,27 +100,37 @@ def strong_key_hosts(works: DataFrame) -> DataFrame:
 
 
 def title_candidates(works: DataFrame) -> DataFrame:
-    """Pairs of works (work, position, title, isbn, call) whose titles agree though no key joins them: a, b, score, for people to decide.
+    """Pairs of works (work, position, title, isbn, call, and has_body if known) whose titles agree though no key joins them: a, b, score,
+    for people to decide. Only works with text count, and only titles that may name a work.
 
-    Works of one folded title are paired with the first of them only; different titles are compared all with all, and paired through
-    their first works.
+    Works of one title and one key, or of one title and none, are paired with the first of them; across titles and keys the first ones
+    stand for the others. Works with different keys are never paired, so the pairs of a title grow with its works, not with their square.
     """
     key = F.coalesce(F.nullif(bare_isbn(F.col("isbn")), F.lit("")), F.nullif(F.col("call"), F.lit("")))
-    told = works.select("work", "position", "title", folded_title(F.col("title")).alias("folded"), key.alias("key")).where("folded <> ''")
-    first = told.groupBy("folded").agg(F.min_by(F.struct("work", "position", "title", "key"), F.struct("position", "work")).alias("first"))
-    equal = told.join(first, "folded").where("work <> first.work").select(F.col("first").alias("a"), F.struct("work", "position", "title", "key").alias("b"), "folded", F.col("folded").alias("other"))
-    titles = first.select(F.col("folded").alias("title"))
-    near = title_pairs(titles, titles, TITLE_RATIO, titles_match).select(F.col("a").alias("folded"), F.col("b").alias("other")).where("folded <> other")
-    near = near.join(first.withColumnRenamed("first", "a"), "folded").join(first.select(F.col("folded").alias("other"), F.col("first").alias("b")), "other")
+    told = works.where(confident(F.col("title")) & (F.col("has_body") if "has_body" in works.columns else F.lit(True)))
+    told = told.select(F.struct("position", "work", "title", key.alias("key"), normalized(F.col("title")).alias("plain")).alias("x")).where("x.plain <> ''")
+    first = told.groupBy(F.col("x.plain").alias("plain"), F.col("x.key").alias("key")).agg(F.min("x").alias("first"))
+    same = told.join(first.select(F.col("plain").alias("p"), F.col("key").alias("k"), "first"), F.col("x.plain").eqNullSafe(F.col("p")) & F.col("x.key").eqNullSafe(F.col("k")))
+    equal = same.where("x.work <> first.work").select(F.col("first").alias("a"), F.col("x").alias("b"))
+    bare, keyed = first.where("key is null"), first.where("key is not null")
+    one_title = bare.select("plain", F.col("first").alias("a")).join(keyed.select("plain", F.col("first").alias("b")), "plain").select("a", "b")
+    titles = first.select(F.col("plain").alias("title"))
+    near = title_pairs(titles, titles, TITLE_RATIO, titles_match).select(F.col("a").alias("plain"), F.col("b").alias("other")).where("plain <> other")
+    left = near.join(first.select("plain", F.col("first").alias("a")), "plain").select("other", "a", F.col("a.key").alias("a_key"))
+    right = first.select(F.col("plain").alias("other"), F.col("first").alias("b"), F.col("key").alias("b_key"))
+    # Of works of two titles all pairs but those with different keys: one has none, or both have the same.
+    met = [left.join(right.where("b_key is null"), "other"), left.where("a_key is null").join(right.where("b_key is not null"), "other"), left.withColumnRenamed("a_key", "key").join(right.withColumnRenamed("b_key", "key"), ["other", "key"])]
     # The matcher is not symmetric: the earlier work's title comes first.
-    alike = near.where("(a.position < b.position) or (a.position = b.position and a.work < b.work)").select("a", "b", "folded", "other")
-    both = equal.unionByName(alike)
-    same = F.col("folded") == F.col("other")
+    alike = [m.select("a", "b").where("struct(a.position, a.work) < struct(b.position, b.work)") for m in met]
+    both = equal
+    for more in (one_title, *alike):
+        both = both.unionByName(more)
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = F.col("a.plain") == F.col("b.plain")
     one_key = F.col("a.key").isNotNull() | F.col("b.key").isNotNull()
     generic = F.col("a.title").rlike(GENERIC_START) | F.col("b.title").rlike(GENERIC_START)
-    score = same.cast("int") * 3 + (one_key & same).cast("int") * 2 + (F.length("folded") >= 20).cast("int") - 3 * generic.cast("int")
-    conflict = F.coalesce(F.col("a.key") != F.col("b.key"), F.lit(False))
-    out = both.select(F.col("a.work").alias("a"), F.col("b.work").alias("b"), F.when(conflict, -100).otherwise(score).alias("score"))
+    score = same.cast("int") * 3 + (one_key & same).cast("int") * 2 + (F.length("a.plain") >= 20).cast("int") - 3 * generic.cast("int")
+    out = both.select(F.col("a.work").alias("a"), F.col("b.work").alias("b"), score.alias("score"))
     return out.where("score > 0").orderBy(F.desc("score"), "a", "b")
 
 

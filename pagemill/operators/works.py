@@ -56,7 +56,7 @@ def work_titles(shots: DataFrame, overrides: DataFrame | None = None, inferred:
     rest = told.where("rung < 4").select("work", "rung", F.lit(0).cast("long").alias("votes"), "at", "title")
     offers = rest.unionByName(ranked).where(~resolve.no_title(F.col("title")))
     best = offers.groupBy("work").agg(F.min_by(F.struct("rung", "title"), F.struct("rung", "votes", "at")).alias("best")).join(leading, "work", "left")
-    overruled = (F.col("best.rung") == 1) & (F.col("top.n") >= OVERRULING) & ~same_title(F.lower("best.title"), F.lower(F.coalesce("top.title", F.lit("")))) & ~T.looks_like_names(F.col("top.title"))
+    overruled = (F.col("best.rung") == 1) & (F.col("top.n") >= OVERRULING) & ~same_title(X.normalized(F.col("best.title")), X.normalized(F.coalesce("top.title", F.lit("")))) & ~T.looks_like_names(F.col("top.title"))
     chosen = best.select("work", F.when(F.coalesce(overruled, F.lit(False)), F.col("top.title")).otherwise(F.col("best.title")).alias("told"))
     first = shots.groupBy("work").agg(F.coalesce(F.min_by("image", F.when(~F.coalesce("key_image", F.lit(False)), _order())), F.min_by("image", _order())).alias("first"))
     out = first.join(chosen, "work", "left")
@@ -73,12 +73,12 @@ def work_titles(shots: DataFrame, overrides: DataFrame | None = None, inferred:
 
 def inferred_titles(shots: DataFrame, titles: DataFrame) -> DataFrame:
     """(work, title) of untitled works with a key image of spines: the first title on a spine that is none of the known works'."""
-    known = titles.where(~F.startswith("title", F.lit(UNTITLED))).select(F.lower("title").alias("title"))
+    known = titles.where(~F.startswith("title", F.lit(UNTITLED))).select(X.normalized(F.col("title")).alias("title"))
     lost = titles.where(F.startswith("title", F.lit(UNTITLED))).select("work")
     spines = shots.where("key_image").join(lost, "work", "left_semi").select("work", _order().alias("at"), F.posexplode(T.spine_titles(F.col("ocr_text"))).alias("spine", "names"))
     named = spines.select("work", "at", "spine", F.posexplode("names").alias("no", "name"))
-    met = title_pairs(named.select(F.lower("name").alias("title")), known, TITLE_RATIO, titles_match).select(F.col("a").alias("low")).distinct()
-    judged = named.withColumn("low", F.lower("name")).join(met.withColumn("met", F.lit(True)), "low", "left")
+    met = title_pairs(named.select(X.normalized(F.col("name")).alias("title")), known, TITLE_RATIO, titles_match).select(F.col("a").alias("low")).distinct()
+    judged = named.withColumn("low", X.normalized(F.col("name"))).join(met.withColumn("met", F.lit(True)), "low", "left")
     free = judged.groupBy("work", "at", "spine").agg(F.max(F.coalesce("met", F.lit(False))).alias("met"), F.min_by("name", "no").alias("name")).where("not met")
     return free.groupBy("work").agg(F.min_by("name", F.struct("at", "spine")).alias("title"))
 
@@ -101,9 +101,9 @@ def library_hosts(works: DataFrame) -> DataFrame:
     First works of covers alone go to the first work with text that has their title or name, if that is one they may be named by;
     then works with text go to the first with the same ISBN or, failing one, call number. Works that differ in these stay apart.
     """
-    lone = works.where("has_meta and not has_body").where(T.confident(F.col("title"))).select("work", F.lower("title").alias("a"))
+    lone = works.where("has_meta and not has_body").where(T.confident(F.col("title"))).select("work", X.normalized(F.col("title")).alias("a"))
     bodies = works.where("has_body")
-    named = bodies.select("work", "position", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower(F.coalesce("name", "title"))))).alias("b"))
+    named = bodies.select("work", "position", F.explode(F.array_distinct(F.array(X.normalized(F.col("title")), X.normalized(F.coalesce("name", "title"))))).alias("b"))
     alike = title_pairs(lone.select(F.col("a").alias("title")), named.select(F.col("b").alias("title")), TITLE_RATIO, titles_match)
     covers = lone.join(alike, "a").join(named.select(F.col("work").alias("host"), "position", "b"), "b").groupBy("work").agg(F.min_by("host", "position").alias("host"))
     # A cover brings its ISBN and call number along, behind those of its host.

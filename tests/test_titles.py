@@ -25,28 +25,81 @@ def made_titles(n, seed):
 
 def test_bounds_lose_no_pair_and_blocks_compare_all(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "BLOCK", 30)
-    left, right = sorted(set(made_titles(120, 1))), sorted(set(made_titles(100, 2)))
+    left, right = sorted(set(made_titles(120, 1)) - {""}), sorted(set(made_titles(100, 2)) - {""})
     table = lambda ts: spark.createDataFrame([(t,) for t in ts], "title string")
-    ratio = lambda a, b: r if (r := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.6 else 0.0
-    got = {(r["a"], r["b"]): r["score"] for r in fuzzy.title_pairs(table(left), table(right), 0.6, ratio, contained=False).collect()}
-    assert got == {(a, b): ratio(a, b) for a in left for b in right if ratio(a, b)}
+    ratio = lambda least: lambda a, b: r if (r := difflib.SequenceMatcher(None, a, b).ratio()) >= least else 0.0
+    for least in (0.6, 0.81, 0.85, 0.95):
+        got = {(r["a"], r["b"]): r["score"] for r in fuzzy.title_pairs(table(left), table(right), least, ratio(least), None).collect()}
+        assert got == {(a, b): ratio(least)(a, b) for a in left for b in right if ratio(least)(a, b)}
     held = {(r["a"], r["b"]) for r in fuzzy.title_pairs(table(left), table(right), fuzzy.TITLE_RATIO, fuzzy.titles_match).collect()}
     assert held == {(a, b) for a in left for b in right if fuzzy.titles_match(a, b)}
 
 
+def test_titles_within_titles(spark):
+    left, right = ["old sea", "sea", "the old sea roads", "old seas", "aaaaaa"], ["the old sea", "an old sea of old", "cold sea", "old sea", "x aaaaaa", "baaaaaa"]
+    table = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id long, title string")
+    words = {(left[r["a"]], right[r["b"]]) for r in fuzzy.word_pairs(table(left), table(right)).collect()}
+    at_words = lambda a, b: len(a) >= 6 and f" {a} " in f" {b} "
+    assert words == {(a, b) for a in left for b in right if at_words(a, b) or at_words(b, a)}
+    texts = {(left[r["a"]], right[r["b"]]) for r in fuzzy.text_pairs(table(left), table(right), 6).collect()}
+    assert texts == {(a, b) for a in left for b in right if a in b and len(a) >= 6 or b in a and len(b) >= 6}
+
+
+def test_gram_index_asks_far_less_than_all_pairs(spark):
+    rnd = random.Random(8)
+    syllables = [a + b for a in "bcdfghklmnprstvw" for b in "aeiou"]
+    words = ["".join(rnd.choices(syllables, k=rnd.randint(2, 4))) for _ in range(3000)]
+    base = [" ".join(rnd.choices(words, k=rnd.randint(3, 7))) for _ in range(2000)]
+    near = [t[:k] + "x" + t[k + 1 :] for t in base[:300] for k in [rnd.randrange(len(t))]]
+    table = lambda ts: spark.createDataFrame([(t,) for t in ts], "title string")
+    found, own, others = fuzzy.pair_candidates(table(base), table(base[1000:] + near), 0.85)
+    n = found.count()
+    met = found.join(own.withColumnRenamed("id", "a"), "a").join(others.select(F.col("id").alias("b"), F.col("title").alias("other")), "b").select("title", "other").collect()
+    assert {(b, a) for b, a in zip(base[:300], near, strict=True)} | {(b, b) for b in base[1000:]} <= {tuple(r) for r in met}
+    assert n < 0.01 * 2000 * 1300
+
+
+def _plain(title):
+    return " ".join(title.lower().split())
+
+
 def test_title_candidates_against_all_pairs(spark):
-    named = [t for t in made_titles(80, 3) if t]
-    works = spark.createDataFrame([(f"w{i:03d}", i, t.title(), "12" if i % 9 == 0 else "", "") for i, t in enumerate(named)], "work string, position int, title string, isbn string, call string")
+    rnd = random.Random(4)
+    named = [t.strip().title() for t in made_titles(70, 3) if t.strip()]
+    named += rnd.choices(named, k=30)
+    rows = [(f"w{i:03d}", i, t, rnd.choice(["", "", "12", "34"]), rnd.choice(["", "", "N1/2"]), i % 11 != 0) for i, t in enumerate(named)]
+    works = spark.createDataFrame(rows, "work string, position int, title string, isbn string, call string, has_body boolean")
+    sure = {r["work"] for r in works.where(titles.confident(F.col("title"))).collect()}
+    rows = [r for r in rows if r[5] and r[0] in sure]
+    key = {r[0]: r[3] or r[4] for r in rows}
+
+    def score(a, b):
+        if key[a[0]] and key[b[0]] and key[a[0]] != key[b[0]]:
+            return 0
+        same = _plain(a[2]) == _plain(b[2])
+        generic = any(re.match(resolve.GENERIC_START, t[2]) for t in (a, b))
+        return 3 * same + 2 * (same and bool(key[a[0]] or key[b[0]])) + (len(_plain(a[2])) >= 20) - 3 * generic
+
+    every = {(a[0], b[0]): s for i, a in enumerate(rows) for b in rows[i + 1 :] if fuzzy.titles_match(_plain(a[2]), _plain(b[2])) and (s := score(a, b)) > 0}
+    told = resolve.title_candidates(works).collect()
+    got = {(r["a"], r["b"]): r["score"] for r in told}
+    assert len(got) == len(told) and got.items() <= every.items()
+    # Every pair is there, or one between the first works of the same titles and keys.
     first = {}
-    for i, t in enumerate(named):
-        first.setdefault(" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()), i)
-    generic = lambda i: bool(re.match(resolve.GENERIC_START, named[i].title()))
-    want = {(f"w{i:03d}", f"w{j:03d}") for a, i in first.items() for b, j in first.items() if i < j and fuzzy.titles_match(a, b) and len(a) >= 20 and not generic(i) and not generic(j)}
-    got = {(r["a"], r["b"]) for r in resolve.title_candidates(works).collect()}
-    repeated = {p for p in got if len({" ".join(named[int(x[1:])].lower().split()) for x in p}) == 1}
-    assert want and got - repeated == want
-    scores = [r["score"] for r in resolve.title_candidates(works).collect()]
-    assert scores == sorted(scores, reverse=True)
+    for r in rows:
+        first.setdefault((_plain(r[2]), key[r[0]]), r[0])
+    stands = {r[0]: first[_plain(r[2]), key[r[0]]] for r in rows}
+    lost = [(a, b) for a, b in every if tuple(sorted((stands[a], stands[b]))) not in every or stands[a] != stands[b] and tuple(sorted((stands[a], stands[b]))) not in got]
+    assert every and not [p for p in lost if stands[p[0]] != stands[p[1]] and tuple(sorted((stands[p[0]], stands[p[1]]))) in every]
+    assert all((stands[a], a) in got for a in key if stands[a] != a and (stands[a], a) in every)
+    assert [r["score"] for r in told] == sorted((r["score"] for r in told), reverse=True)
+
+
+def test_a_title_meets_others_through_every_key(spark):
+    long = "The Harbour Towns Of The Old Winter Roads"
+    rows = [("w1", 1, long, "111", ""), ("w2", 2, long, "", ""), ("w3", 3, long + "s", "222", "")]
+    works = spark.createDataFrame(rows, "work string, position int, title string, isbn string, call string")
+    assert [tuple(r) for r in resolve.title_candidates(works).collect()] == [("w1", "w2", 6), ("w2", "w3", 1)]
 
 
 def test_bibliography_match_against_all_pairs(spark):
