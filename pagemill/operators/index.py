@@ -1,41 +1,117 @@
-"""The inverted index of chunks: postings, lengths and term statistics."""
+"""The inverted index of chunks, stored: postings in blocks by impact, term counts of every row, term statistics.
+
+A folder of tables:
+
+- `forward`: (id, dl, terms, tfs), the term counts of every row, one row each;
+- `blocks`: (bucket, term, stripe, block, best, postings), up to `BLOCK` postings (id, tf, dl) of a term, those with the highest part of a BM25
+  score first; `best` is the highest part in the block. Terms of many rows are dealt to stripes by id, so no list is longer than `STRIPE`. The table is
+  partitioned by buckets of terms and sorted by term, so a query reads the blocks of its own terms;
+- `terms`: (term, df, cf, best); `totals`: one row (n, avgdl), written last: a folder without it is not an index.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import index_terms
-from pagemill.session import ensure_checkpoint_dir
+from pagemill.functions.text import index_terms, let
+from pagemill.session import exists, shared_path
+
+K1, B = 1.2, 0.75
+BLOCK, STRIPE, BUCKETS = 128, 65_536, 64
 
 
 @dataclass
 class TextIndex:
-    """postings (term, id, tf, dl), lengths (id, dl), terms (term, df, cf) and one row of totals (n, avgdl)."""
+    """The tables of an index folder."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    blocks: DataFrame
+    forward: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
-def build_index(chunks: DataFrame, *columns: str | Column, key: str = "id", stored: bool = True) -> TextIndex:
-    """Index of the given text columns together; counts are added up where the rows are before anything moves.
+def term_counts(words: Column) -> Column:
+    """struct(terms, tfs) of an array of words: its different words in order, and how often each is there."""
+
+    def counted(told: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(told)), lambda i: (i == 1) | (F.element_at(told, i) != F.get(told, i - 2)))
+        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(told) + 1))
+        return let(starts, lambda s: F.struct(F.transform(s, lambda i: F.element_at(told, i)).alias("terms"), F.zip_with(s, ends(s), lambda a, b: b - a).alias("tfs")))
+
+    none = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<int>").alias("tfs"))
+    return F.when(F.size(words) > 0, let(F.sort_array(words), counted)).otherwise(none)
+
+
+def part_of_score(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a posting adds to a BM25 score, before the weight of its term."""
+    return tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * dl / avgdl))
+
+
+def write_index(chunks: DataFrame, path: str, *columns: str | Column, key: str = "id") -> TextIndex:
+    """Writes the index of the given text columns together. Texts are tokenised once, and no count but those per term is shuffled."""
+    spark = chunks.sparkSession
+    words = F.flatten(F.array(*[index_terms(F.col(c) if isinstance(c, str) else c) for c in columns]))
+    told = chunks.select(F.col(key).alias("id"), words.alias("words")).select("id", F.size("words").cast("long").alias("dl"), term_counts(F.col("words")).alias("c"))
+    told.select("id", "dl", "c.terms", "c.tfs").write.mode("overwrite").parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")
+    size = forward.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).first()
+    listed = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+    postings = forward.select("id", "dl", listed).withColumn("part", part_of_score(F.col("tf"), F.col("dl"), F.lit(size["avgdl"])))
+    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("part").alias("best")).write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    # Few terms have more than a stripe; the others need not be looked up.
+    large = terms.where(F.col("df") > STRIPE).select("term", F.ceil(F.col("df") / STRIPE).alias("stripes"))
+    dealt = postings.join(large, "term", "left").withColumn("stripe", F.pmod(F.xxhash64("id"), F.coalesce("stripes", F.lit(1).cast("long"))).cast("int"))
+    turn = F.row_number().over(W.partitionBy("term", "stripe").orderBy(F.desc("part"), "id"))
+    placed = dealt.select("term", "stripe", F.floor((turn - 1) / BLOCK).cast("int").alias("block"), "part", F.struct("id", F.col("tf").cast("int").alias("tf"), "dl").alias("posting"))
+    blocks = placed.groupBy("term", "stripe", "block").agg(F.max("part").alias("best"), F.collect_list("posting").alias("postings")).withColumn("bucket", _bucket(F.col("term")))
+    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "stripe", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    spark.createDataFrame([(size["n"], size["avgdl"])], "n long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    return open_index(spark, path)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-    A stored index is written once to the checkpoint folder, so that several channels and their statistics do not tokenise the
-    corpus again.
+
+def open_index(spark: SparkSession, path: str) -> TextIndex | None:
+    """The index of a folder; None where there is no whole one."""
+    if not exists(spark, f"{path}/totals/_SUCCESS"):
+        return None
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return TextIndex(*[_blocks(spark, path) if name == "blocks" else read(name) for name in ("blocks", "forward", "terms", "totals")])
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks; an index of no terms has no files of them."""
+    kind = spark.read.parquet(f"{path}/forward").schema["id"].dataType.simpleString()
+    schema = f"term string, stripe int, block int, best double, postings array<struct<id: {kind}, tf: int, dl: bigint>>, bucket int"
+    return spark.read.schema(schema).parquet(f"{path}/blocks") if exists(spark, f"{path}/blocks/_SUCCESS") else spark.createDataFrame([], schema)
+
+
+def blocks_of(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """The blocks of `wanted` (term, ...) with its other columns: read by bucket and term, blocks of other buckets are not opened."""
+    return index.blocks.join(wanted.withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"])
+
+
+def stored_index(chunks: DataFrame, *columns: str | Column, key: str = "id") -> TextIndex:
+    """The index of `chunks`, from the shared folder if one was made there from the same files, else made now.
+
+    Files are told by name, size and time of change, added up over all of them, and the columns by the plan that reads them.
     """
+    spark = chunks.sparkSession
+    files = chunks.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").groupBy("file_path", "file_size", "file_modification_time").agg(F.lit(1))
+    told = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("files")).first()[0]
     texts = [F.col(c) if isinstance(c, str) else c for c in columns]
-    words = F.flatten(F.array(*[index_terms(c) for c in texts]))
-    told = chunks.select(F.col(key).alias("id"), words.alias("words"))
-    # A posting carries its row's length, so that scoring needs no join with the lengths.
-    postings = told.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
-    lengths = told.select("id", F.size("words").cast("long").alias("dl"))
-    if stored:
-        ensure_checkpoint_dir(chunks.sparkSession)
-        postings, lengths = postings.checkpoint(), lengths.checkpoint()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return TextIndex(postings, lengths, terms, totals)
+    name = spark.range(1).select(F.sha2(F.lit(f"{told} {key} {texts} {chunks.columns}"), 256)).first()[0]
+    path = shared_path(spark, f"text-index-{name[:32]}")
+    return open_index(spark, path) or write_index(chunks, path, *columns, key=key)
+
+
+def build_index(chunks: DataFrame, *columns: str | Column, key: str = "id") -> TextIndex:
+    """An index in a new folder of the shared one, for rows that come from no files or are to be indexed anew."""
+    return write_index(chunks, shared_path(chunks.sparkSession, "text-index", fresh=True), *columns, key=key)

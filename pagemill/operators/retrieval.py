@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.fuzzy import could_match, letter_counts
 from pagemill.functions.text import citation, let, query_terms, tokens
-from pagemill.operators.index import TextIndex
+from pagemill.operators.index import K1, B, TextIndex, blocks_of, part_of_score
+from pagemill.session import ensure_checkpoint_dir
 
 POOL = 200
 RRF_K = 60
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+LEAST_IDF = 1e-6
 VARIANTS, VARIANT_RATIO, VARIANT_COUNT = 4, 0.8, 2
 OVERFETCH = 4
 RESCORED_WINDOWS = 250
@@ -47,36 +49,122 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(index: TextIndex, wanted: DataFrame, all_terms: bool = False) -> DataFrame:
-    """(query_id, id, score): a row holding any, or all, of the wanted terms (query_id, term, times) scores by BM25, a term
-    counting as often as it is asked for."""
-    n, avgdl = F.col("n"), F.col("avgdl")
-    weighed = wanted.join(index.terms.select("term", "df"), "term").crossJoin(index.totals)
+def weighed(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, term, weight, most) of wanted terms (query_id, term, times) that are indexed: what a posting's part is multiplied by, a term
+    counting as often as it is asked for, and the most that a posting of the term can add."""
+    n = F.col("n")
     idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighed = weighed.select("query_id", "term", (F.col("times") * idf).alias("weight"), "avgdl")
-    norm = F.lit(K1) * (1 - B + B * F.col("dl") / avgdl)
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    met = index.postings.join(weighed, "term").select("query_id", "id", "term", part.alias("part"))
-    scored = met.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("met"))
-    if all_terms:
-        needed = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"), F.sum("times").alias("asked")).where("asked > 1")
-        scored = scored.join(needed, "query_id").where("met = needed")
-    return scored.select("query_id", "id", "score")
+    size = index.totals.first()
+    known = wanted.join(index.terms.select("term", "df", "best"), "term").withColumn("n", F.lit(size["n"]).cast("double"))
+    return known.select("query_id", "term", (F.col("times") * idf).alias("weight"), "best").select("query_id", "term", "weight", (F.col("weight") * F.col("best")).alias("most"))
+
+
+def exact_scores(index: TextIndex, candidates: DataFrame, weights: DataFrame, all_terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) of candidates (query_id, id): BM25 from the term counts of these rows alone, met with the weights of their query.
+
+    `all_terms` (query_id, needed) keeps rows that hold that many of their query's terms.
+    """
+    avgdl = float(index.totals.first()["avgdl"])
+    asked = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("asked"))
+    rows = candidates.join(index.forward, "id").join(asked if all_terms is None else asked.join(all_terms, "query_id"), "query_id")
+    kinds = f"query_id {candidates.schema['query_id'].dataType.simpleString()}, id {candidates.schema['id'].dataType.simpleString()}, score double, met int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores, met = [], []
+            for dl, terms, tfs, wanted in zip(frame["dl"], frame["terms"], frame["tfs"], frame["asked"], strict=True):
+                held = dict(zip(terms, tfs, strict=True))
+                norm = K1 * (1 - B + B * dl / avgdl) if avgdl else 0.0
+                parts = [w["weight"] * tf * (K1 + 1) / (tf + norm) for w in wanted if (tf := held.get(w["term"]))]
+                scores.append(float(sum(parts)))
+                met.append(len(parts))
+            yield pd.DataFrame({"query_id": frame["query_id"], "id": frame["id"], "score": np.array(scores, float), "met": np.array(met, np.int32)})
+
+    needed = [] if all_terms is None else ["needed"]
+    scored = rows.select("query_id", "id", "dl", "terms", "tfs", "asked").mapInPandas(run, kinds)
+    return scored.where("met > 0").drop("met") if not needed else scored.join(all_terms, "query_id").where("met = needed").select("query_id", "id", "score")
+
+
+#: Bounds are widened by this much, so that rounding never skips a row that ties.
+SLACK = 1e-7
+
+
+@dataclass
+class Pruned:
+    """candidates (query_id, id) that may be among the best; blocks (query_id, term, stripe, block, read): what was read for them."""
+
+    candidates: DataFrame
+    blocks: DataFrame
+
+
+def pruned(index: TextIndex, weights: DataFrame, n: int, scope: DataFrame | None = None) -> Pruned:
+    """The rows that may be among the n best of each query, without reading blocks that cannot hold one.
+
+    The first block of each list gives every query a floor: its n-th best sum so far, which is no higher than its n-th best score. Terms whose most
+    add up to less than the floor bring no row by themselves; of the others, a block is read unless its best, with the most of all other terms, stays
+    under the floor. A row goes on if what was seen of it, with the most that may be unseen, reaches the floor.
+    """
+    totals = weights.groupBy("query_id").agg(F.sum("most").alias("all_most"))
+    heads = blocks_of(TextIndex(index.blocks.where("block = 0"), index.forward, index.terms, index.totals), weights)
+    floors = _floors(_sums(index, heads, scope), n)
+    known = stored_rows(weights.join(totals, "query_id").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+    upto = F.sum("most").over(W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
+    split = known.withColumn("alone", upto >= F.col("floor") - SLACK)
+    met = blocks_of(index, split).withColumn("read", F.col("alone") & (F.col("weight") * F.col("best") + F.col("all_most") - F.col("most") >= F.col("floor") - SLACK))
+    listed = met.select("query_id", "term", "stripe", "block", "read", "weight", "best")
+    # What a term may add unseen: the best of its blocks that were not read.
+    unseen = listed.groupBy("query_id", "term").agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("weight") * F.col("best"))), F.lit(0.0)).alias("unseen"))
+    bounds = stored_rows(unseen)
+    rest = bounds.groupBy("query_id").agg(F.sum("unseen").alias("rest")).join(known.select("query_id", "floor").distinct(), "query_id")
+    read = met.where("read").join(bounds, ["query_id", "term"])
+    seen = _sums(index, read, scope, less="unseen").join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("floor") - SLACK)
+    return Pruned(seen.select("query_id", "id"), listed)
+
+
+def _floors(sums: DataFrame, n: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    return sums.withColumn("place", place).where(F.col("place") <= n).groupBy("query_id").agg(F.min(F.when(F.col("place") == n, F.col("score"))).alias("floor"))
+
+
+def _sums(index: TextIndex, blocks: DataFrame, scope: DataFrame | None, less: str | None = None) -> DataFrame:
+    """(query_id, id, score): parts of the postings in `blocks` (query_id, weight, postings) added up, each less the column `less`."""
+    avgdl = F.lit(float(index.totals.first()["avgdl"]))
+    part = F.col("weight") * part_of_score(F.col("p.tf"), F.col("p.dl"), avgdl)
+    each = blocks.select("query_id", "weight", *([less] if less else []), F.explode("postings").alias("p"))
+    sums = each.select("query_id", F.col("p.id").alias("id"), (part - F.col(less) if less else part).alias("part"))
+    return _within(sums, scope).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+
+
+def stored_rows(rows: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def _within(scores: DataFrame, scope: DataFrame | None) -> DataFrame:
-    """The scores of rows in scope (id), before any cut; all without a scope."""
+    """The rows in scope (id), before any cut; all without a scope."""
     return scores if scope is None else scores.join(scope.select("id"), "id", "left_semi")
 
 
+def any_term(index: TextIndex, wanted: DataFrame, n: int, scope: DataFrame | None = None) -> DataFrame:
+    """The n best rows by BM25 over the wanted terms (query_id, term, times)."""
+    weights = stored_rows(weighed(index, wanted))
+    return ranked(exact_scores(index, pruned(index, weights, n, scope).candidates, weights), n)
+
+
 def lexical(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None) -> DataFrame:
     """Any-term BM25."""
-    return ranked(_within(bm25(index, terms_of(queries)), scope), n)
+    return any_term(index, terms_of(queries), n, scope)
 
 
 def coverage(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame | None = None) -> DataFrame:
-    """All-terms BM25; nothing for queries of a single term."""
-    return ranked(_within(bm25(index, terms_of(queries), all_terms=True), scope), n)
+    """All-terms BM25; nothing for queries of a single term. The rows of the rarest term are the candidates."""
+    wanted = terms_of(queries)
+    needed = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"), F.sum("times").alias("asked")).where("asked > 1").select("query_id", "needed")
+    weights = stored_rows(weighed(index, wanted))
+    whole = weights.groupBy("query_id").agg(F.count(F.lit(1)).alias("known")).join(needed, "query_id").where("known = needed").select("query_id", "needed")
+    rare = weights.join(index.terms.select("term", "df"), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")).join(whole, "query_id")
+    holders = blocks_of(index, rare.select("query_id", "term")).select("query_id", F.explode("postings.id").alias("id"))
+    return ranked(exact_scores(index, _within(holders, scope), weights, whole), n)
 
 
 def close_terms(index: TextIndex, wanted: DataFrame, most: int = VARIANTS, least: float = VARIANT_RATIO, count: int = VARIANT_COUNT) -> DataFrame:
@@ -105,7 +193,7 @@ def fuzzy(index: TextIndex, queries: DataFrame, n: int = POOL, scope: DataFrame
     wanted = terms_of(queries)
     spelled = wanted.join(close_terms(index, wanted), "term", "left").select("query_id", F.coalesce("variant", "term").alias("term")).distinct()
     news = spelled.join(wanted, ["query_id", "term"], "left_anti").select("query_id").distinct()
-    return ranked(_within(bm25(index, spelled.join(news, "query_id").withColumn("times", F.lit(1))), scope), n)
+    return any_term(index, spelled.join(news, "query_id").withColumn("times", F.lit(1)), n, scope)
 
 
 def dense_hits(windows: DataFrame, queries: DataFrame, n: int, key: str = "id", vector: str = "vec", carried: Sequence[str] = ()) -> DataFrame:

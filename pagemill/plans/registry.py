@@ -35,8 +35,10 @@ def pages_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).withColumn("id", F.col("position"))
 
 
-def document_index(spark: SparkSession, sf_dir: str, stored: bool = True) -> index.TextIndex:
-    return index.build_index(pages_as_chunks(spark, sf_dir), "text", "author", "book_title", stored=stored)
+def document_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The stored index of the documents: made by the first query that asks, read by the others."""
+    d = table(spark, sf_dir, "documents")
+    return index.stored_index(d, "text", "lang", "source", key="doc_id")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def rrf_fusion(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    return document_index(spark, sf_dir, stored=False).terms.where("cf >= 2")
+    return document_index(spark, sf_dir).terms.select("term", "df", "cf").where("cf >= 2")
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
 
 
+def shared_path(spark: SparkSession, name: str, fresh: bool = False) -> str:
+    """A path within the shared checkpoint folder; a new one each time if `fresh`."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    # Spark makes a folder of its own for each session in the one that is named; what sessions share lies beside these.
+    return f"{folder}/{name}-{uuid.uuid4().hex}" if fresh else f"{os.path.dirname(folder)}/{name}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder of intermediate rows from whatever file system it lies on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
