@@ -95,10 +95,23 @@ def test_passages_against_plain_containment(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     asked = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
     want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t and p and p in t}
-    assert {(r["doc_id"], r["item_id"]) for r in contain.containment(docs, asked, "doc_id", "item_id").collect()} == want
+    # By one automaton, and by keys with several automata of short passages.
+    for most in (contain.MOST_CHARS, 12):
+        found = contain.containment(docs, asked, "doc_id", "item_id", most).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
     assert contain.containment(docs, asked.where("false"), "doc_id", "item_id").collect() == []
 
 
+def test_ten_thousand_passages_in_one_plan(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 80))) for _ in range(300)]
+    passages = [*words, *(f"{a} {b}" for a in words[:100] for b in words[:90]), *(" ".join(rnd.choices(words, k=3)) for _ in range(600))]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if p in t}
+    assert {(r["doc_id"], r["item_id"]) for r in contain.containment(docs, asked, "doc_id", "item_id").collect()} == want
+
+
 def test_index_runs_and_versions(spark, tmp_path):
     chunks = lambda *rows: spark.createDataFrame(list(rows), "id string, content_sha string, text string")
     windows = lambda *ids: spark.createDataFrame([(f"{i}::w0", i, 0, f"text {i}", "s") for i in ids], "id string, chunk_id string, ord int, text string, content_sha string")
