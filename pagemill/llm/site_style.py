@@ -4,9 +4,13 @@ The DOMs of a host are merged into one tree of element paths. Every element that
 too, and has an importance between 0 and 1 from two entropies: of its presentation (the child sequences it has on the
 host's pages) and of the content of its whole branch (the self-information of its blocks: a text on all pages says nothing, one of
 two equally frequent texts one bit). Entropies are turned into effective numbers, so an importance depends on the shares of
-pages and never on how many pages a host has. A page loses its branches of low importance times prior. The prior of an
-element is what its tag, role and class say: menus, headers, footers, sidebars, notices, adverts, forms and comments are
-low enough to go by themselves, doubtful names leave it to the tree, headings and table rows of an article are spared.
+pages and never on how many pages a host has. A page loses its branches of low importance times prior.
+
+The prior of an element is what its tag, role and class say: menus, headers, footers, sidebars, notices, adverts, forms and comments are
+low enough to go by themselves if their name says nothing else. Names that say something else too (`related-work`, `share-price`) and
+doubtful ones leave it to the tree; headings and table rows of an article are spared. What a page shows overrules a name: an
+element that holds the page's main text is no menu whatever it is called, and a form with much text to few inputs is no form.
+A path's prior is the mean over its pages, and its importance is drawn to `UNJUDGED` by as much as two more pages would, so few pages say little.
 Of what is left, the article is the text.
 
 Pages are parsed once, in linear time, into blocks and element paths; the rest is Spark: tree nodes are counted by (host, path,
@@ -14,8 +18,7 @@ feature) with partial sums, so a host with a third of all pages is no task of it
 once. Only the low paths go back to the pages, in a join that Spark makes a broadcast only if their written size is below its
 threshold.
 
-Defined results: a null or empty page has an empty text; a null url is a host of its own, and its pages, like those of hosts with
-under `LEAST_PAGES` different pages, are judged by priors alone; a page that ends early is read as far as it goes, up to a
+Defined results: a null or empty page has an empty text; pages with a null url are judged by priors alone; a page that ends early is read as far as it goes, up to a
 tag it breaks off in; elements nested deeper than `DEPTH` are read as siblings at that depth; text is never dropped for length.
 Repeated rows get equal texts; an empty table gives an empty one.
 """
@@ -34,13 +37,17 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
 
-#: Paths seen on fewer distinct pages of a host are not judged; what is not judged counts as half important.
-LEAST_PAGES = 5
+#: The importance of what nothing is known of, and how many pages' say it has beside those after the first.
 UNJUDGED = 0.5
+SAY = 2
 LOW_IMPORTANCE = 0.2
 #: Weight of content beside presentation.
 DAMPING = 0.9
-NAMED, DOUBTFUL, NEUTRAL = 0.1, 0.25, 1.0
+NAMED, DOUBTFUL, UNSURE, NEUTRAL = 0.1, 0.25, 0.5, 1.0
+#: Shares of a page's main text with which an element wraps it: beside a main or article element, and under a page's title.
+WRAPS, WRAPS_ALL = 0.5, 0.9
+#: Characters of text to an input, above which a form holds a page and not a question.
+FORM_TEXT = 100
 DEPTH = 256
 #: Tags of a page with an unclosed quote, after which all its tags are taken to end at their first `>`.
 BROKEN_TAGS = 64
@@ -53,10 +60,11 @@ CLOSES_P = BLOCKS - {"html", "body"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "tbody": {"tbody", "thead", "tr"}, "tfoot": {"tbody", "tr"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED_TAGS = frozenset("nav footer aside form menu dialog search head button fieldset".split())
+DROPPED_TAGS = frozenset("nav footer aside menu dialog search head button fieldset".split())
 RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title".split())
 SPARED_TAGS = frozenset("h1 h2 h3 h4 h5 h6 tr caption dt figcaption".split())
 PROSE_TAGS = frozenset("p pre blockquote".split())
+INPUTS = frozenset("input select textarea".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -66,6 +74,12 @@ DROPPED_NAMES = frozenset(
 )
 # Names that also stand on what holds text, so that the tree decides.
 DOUBTFUL_NAMES = frozenset("widget widgets toolbar banner overlay modal disclaimer copyright form header".split())
+# Words that say no more of an element than where it is or what it is made of.
+PLAIN_NAMES = frozenset(
+    "box block list listing item items section area wrapper wrap container holder bar row col column panel inner outer body content main top bottom left right page site global post posts article articles entry entries "
+    "link links button buttons icon icons group region unit module slot card cards header title heading label text primary secondary first second mobile desktop sticky fixed message form field input the my us our js "
+    "social media stories story news reader user users thread count toggle tool tools wp id".split()
+)
 MODIFIERS = frozenset("no has with without is show hide enable disable".split())
 #: Elements that hold the page or its text whatever their class says.
 WHOLE = frozenset("html body main".split())
@@ -91,7 +105,7 @@ class Element:
 @dataclass
 class Page:
     """A parsed page: element paths with the paths down to them and their priors (none where spared), blocks (place among the
-    paths, zone, text), styles (path, style)."""
+    paths, zone, text), styles (path, style), kinds (tag and zone of each path), and which paths are titles or forms with how many inputs."""
 
     place: dict[int, int] = field(default_factory=dict)
     paths: list[int] = field(default_factory=list)
@@ -99,6 +113,9 @@ class Page:
     priors: list[float | None] = field(default_factory=list)
     blocks: list[tuple[int, int, str]] = field(default_factory=list)
     styles: set[tuple[int, int]] = field(default_factory=set)
+    kinds: list[tuple[str, int]] = field(default_factory=list)
+    titles: set[int] = field(default_factory=set)
+    inputs: dict[int, int] = field(default_factory=dict)
 
 
 @lru_cache(200_000)
@@ -109,13 +126,14 @@ def _digest(above: int, label: str) -> int:
 
 
 def _prior_of(token: str) -> float:
-    """What a class or id says of an element, by its first or last word, unless it only says what the page has or lacks beside
+    """What a class or id says of an element by all of its words, unless it only says what the page has or lacks beside
     it (has-sidebar, no-comments)."""
-    parts = NAME.findall(token)
-    if not parts or parts[0] in MODIFIERS:
+    parts = set(NAME.findall(token))
+    if not parts or token.split("-")[0] in MODIFIERS or not parts & (DROPPED_NAMES | DOUBTFUL_NAMES):
         return NEUTRAL
-    ends = {parts[0], parts[-1]}
-    return NAMED if ends & DROPPED_NAMES else DOUBTFUL if ends & DOUBTFUL_NAMES else NEUTRAL
+    if parts - DROPPED_NAMES - DOUBTFUL_NAMES - PLAIN_NAMES:
+        return UNSURE
+    return NAMED if parts & DROPPED_NAMES else DOUBTFUL
 
 
 @lru_cache(50_000)
@@ -143,7 +161,7 @@ def _label(tag: str, attributes: str) -> tuple[str, float, bool]:
 def parse(html: str | None) -> Page:
     """The blocks of a page in order, and the element paths they lie in."""
     html = html or ""
-    page = Page(paths=[0], above=[()], priors=[None])
+    page = Page(paths=[0], above=[()], priors=[None], kinds=[("", OUTSIDE)])
     stack = [Element("", 0, OUTSIDE)]
     buffer: list[str] = []
     at, open_p, patience = 0, 0, BROKEN_TAGS
@@ -182,6 +200,9 @@ def parse(html: str | None) -> Page:
             place = page.place[path] = len(page.paths)
             page.paths.append(path)
             page.above.append((*page.above[parent.at], path))
+            page.kinds.append((tag, zone))
+            if tag == "h1":
+                page.titles.add(place)
             page.priors.append(None if prior == NEUTRAL and (tag in WHOLE or tag in SPARED_TAGS and zone == ARTICLE) else prior)
         open_p += tag == "p"
         stack.append(Element(tag, place, zone))
@@ -213,6 +234,8 @@ def parse(html: str | None) -> Page:
                 break
         at = token.end()
         slash, tag, attributes = token[1], token[2].lower(), token[3]
+        if tag in INPUTS and not slash and "hidden" not in attributes and (depth := deepest(("form",))):
+            page.inputs[stack[depth].at] = page.inputs.get(stack[depth].at, 0) + 1
         if tag in RAW_TAGS:
             if not slash and not (tag in ("svg", "math") and attributes.endswith("/")):
                 end = RAW_ENDS[tag].search(html, at)
@@ -243,9 +266,32 @@ def parse(html: str | None) -> Page:
             close(DEPTH)
         enter(tag, attributes)
     close(1)
+    _weigh(page)
     return page
 
 
+def _weigh(page: Page) -> None:
+    """Priors by what the page shows: forms by their text and inputs, and neutral ones for elements that hold the main text."""
+    zoned = any(zone in (ARTICLE, MAIN) for _, zone, _ in page.blocks)
+    all_text, main_text, titled = {}, {}, set()
+    for at, zone, text in page.blocks:
+        for path in page.above[at]:
+            place = page.place[path]
+            all_text[place] = all_text.get(place, 0) + len(text)
+            if not zoned or zone in (ARTICLE, MAIN):
+                main_text[place] = main_text.get(place, 0) + len(text)
+            if at in page.titles:
+                titled.add(place)
+    whole = sum(len(text) for _, zone, text in page.blocks if not zoned or zone in (ARTICLE, MAIN))
+    for i, (tag, zone) in enumerate(page.kinds):
+        if tag == "form" and page.priors[i] is not None and all_text.get(i, 0) <= FORM_TEXT * (page.inputs.get(i, 0) + 1):
+            page.priors[i] = min(page.priors[i], NAMED)
+        elif page.priors[i] not in (None, NEUTRAL) and tag not in DROPPED_TAGS and whole:
+            share = main_text.get(i, 0) / whole
+            if zoned and zone == OUTSIDE and share > WRAPS or share >= WRAPS_ALL and (zoned or i in titled):
+                page.priors[i] = NEUTRAL
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -300,17 +346,18 @@ def style_tree(told: DataFrame) -> DataFrame:
     seen = told.where("site is not null")
     feature = lambda kind, path, what: F.struct(F.lit(kind).alias("kind"), path.alias("path"), what.alias("feature"))
     features = F.concat(
-        F.transform("paths", lambda p: feature("page", p["path"], F.lit(0).cast("long"))),
+        F.transform("paths", lambda p: feature("page", p["path"], F.coalesce((p["prior"] * 1000).cast("long"), F.lit(-1).cast("long")))),
         F.transform("blocks", lambda b: feature("text", b["path"], F.xxhash64(b["text"]))),
         F.transform("styles", lambda s: feature("style", s["path"], s["style"])),
     )
     rows = seen.select("site", "page", F.explode(features).alias("f")).select("site", "page", "f.*").distinct()
     counted = rows.groupBy("site", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     spread = counted.groupBy("site", "path").agg(
-        F.max(F.when(F.col("kind") == "page", F.col("c"))).alias("m"),
+        F.sum(F.when(F.col("kind") == "page", F.col("c"))).alias("m"),
+        (F.sum(F.when((F.col("kind") == "page") & (F.col("feature") >= 0), F.col("c") * F.col("feature"))) / F.sum(F.when((F.col("kind") == "page") & (F.col("feature") >= 0), F.col("c"))) / 1000).alias("prior"),
         *[F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).alias(name) for kind, name, value in (("text", "blocks", F.col("c")), ("text", "block_sum", F.col("c") * F.ln("c")), ("style", "styles", F.col("c")), ("style", "style_sum", F.col("c") * F.ln("c")))],
     ).where("m is not null")
-    chains = seen.select("site", F.explode("paths").alias("p")).groupBy("site", F.col("p.path").alias("path")).agg(F.first("p.above").alias("above"), F.min("p.prior").alias("prior"))
+    chains = seen.select("site", F.explode("paths").alias("p")).groupBy("site", F.col("p.path").alias("path")).agg(F.first("p.above").alias("above"))
     known = spread.join(chains, ["site", "path"])
     own = known.where("blocks > 0").select("site", "blocks", (F.col("blocks") * F.ln("m") - F.col("block_sum")).alias("information"), F.explode("above").alias("path"))
     branches = own.groupBy("site", "path").agg(F.sum("blocks").alias("held"), F.sum("information").alias("information"))
@@ -320,9 +367,10 @@ def style_tree(told: DataFrame) -> DataFrame:
     return both.withColumn("importance", (1 - DAMPING) * F.col("presentation") + DAMPING * F.col("content"))
 
 
-def low_branches(tree: DataFrame, low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def low_branches(tree: DataFrame, low: float = LOW_IMPORTANCE, say: float = SAY) -> DataFrame:
     """(site, low): the paths of each host's tree whose importance times prior is below `low`."""
-    importance = F.when(F.col("n_pages") >= least_pages, F.col("importance")).otherwise(F.lit(UNJUDGED))
+    more = F.col("n_pages") - 1
+    importance = (more * F.col("importance") + say * UNJUDGED) / (more + say)
     return tree.where(importance * F.col("prior") < low).groupBy("site").agg(F.collect_set("path").alias("low"))
 
 
@@ -335,10 +383,10 @@ def main_text(blocks: Column) -> Column:
     return F.when((article != "") & (F.length(article) >= F.length(rest)), article).when(main != "", of(MAIN, ARTICLE)).otherwise(of(OUTSIDE, PROSE, ARTICLE))
 
 
-def extract(pages: DataFrame, *carried: Column, url: str = "url", html: str = "html", low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, *carried: Column, url: str = "url", html: str = "html", low: float = LOW_IMPORTANCE, say: float = SAY) -> DataFrame:
     """`carried` columns and the main text of every page."""
     told = stored(parsed(pages, *carried, url=url, html=html))
-    noise = stored(low_branches(style_tree(told), low, least_pages))
+    noise = stored(low_branches(style_tree(told), low, say))
     judged = told.join(noise, "site", "left")
     # Without a host there is no tree, and every importance is that of what is not judged.
     untold = F.transform(F.filter("paths", lambda p: p["prior"] * UNJUDGED < low), lambda p: p["path"])

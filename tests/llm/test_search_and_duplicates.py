@@ -220,7 +220,7 @@ def plain_site(pages):
         for path in {x for i, *_ in p.blocks for x in p.above[i]}:
             i = p.place[path]
             at.setdefault(path, []).append(p)
-            prior[path] = p.priors[i]
+            prior.setdefault(path, []).append(p.priors[i])
     for path, holders in at.items():
         shares = {}
         for p in different:
@@ -231,9 +231,10 @@ def plain_site(pages):
         styles = [s for p in different for x, s in p.styles if x == path]
         counts = np.array([styles.count(s) for s in set(styles)]) / max(1, len(styles))
         looks = 1 - np.exp(np.sum(counts * np.log(counts))) if styles else 0.0
-        importance = 0.1 * looks + 0.9 * (1 - np.exp(-np.mean(bits))) if len(holders) >= site_style.LEAST_PAGES else site_style.UNJUDGED
-        branch[path] = importance
-        if prior[path] is not None and importance * prior[path] < site_style.LOW_IMPORTANCE:
+        branch[path] = 0.1 * looks + 0.9 * (1 - np.exp(-np.mean(bits)))
+        importance = ((len(holders) - 1) * branch[path] + site_style.SAY * site_style.UNJUDGED) / (len(holders) - 1 + site_style.SAY)
+        told_of = [x for x in prior[path] if x is not None]
+        if told_of and importance * np.mean(told_of) < site_style.LOW_IMPORTANCE:
             out.add(path)
     return [plain_text(p, out) for p in told], branch
 
@@ -259,6 +260,76 @@ def test_main_text(spark):
     assert all(without_host(html) == text for html, text in SINGLE_PAGES.items())
 
 
+BODY = "The harbour lay under snow for a month and the letters came late to the keeper of the light. " * 4
+WRAPPED = {
+    f'<body><form id="aspnetForm" method=post><input type=hidden name=v><div class=menu><a href=/>Home</a></div><h1>T of snow</h1><p>{BODY}</p><input name=q></form>': f"T of snow\n{BODY.strip()}",
+    f'<div id="page-search"><article><p>{BODY}</p></article></div><footer>f</footer>': BODY.strip(),
+    f'<article><p>{BODY}</p><section class="related-work"><p>Others wrote of snow too.</p></section></article>': f"{BODY.strip()}\nOthers wrote of snow too.",
+    f'<article><p>{BODY}</p><div class="share-price"><p>It rose by a snow.</p></div><div class="notice-period"><p>A month of snow.</p></div></article>': f"{BODY.strip()}\nIt rose by a snow.\nA month of snow.",
+    f'<article><p>{BODY}</p><div class="related-posts"><p>Read on</p></div><div class="social-share">Tell all</div><form class=f><p>Your name</p><input><input type=submit></form></article>': BODY.strip(),
+    f'<div class="sidebar"><article><p>Teaser</p></article></div><main><p>{BODY}</p></main>': BODY.strip(),
+    f'<article><p>{BODY}</p></article><section id="comments"><p>{BODY * 9}</p></section>': BODY.strip(),
+}
+
+
+def test_what_a_page_shows_overrules_names(spark):
+    assert all(without_host(html) == text for html, text in WRAPPED.items())
+    # The same with a host and its tree, on one page and on many.
+    for n in (1, 8):
+        rows = [(k * 100 + i, f"http://h{k}.example/{i}", html.replace("snow", f"snow{i}")) for k, html in enumerate(WRAPPED) for i in range(n)]
+        got = extracted(spark, rows)
+        assert all(got[k * 100 + i] == text.replace("snow", f"snow{i}") for k, text in enumerate(WRAPPED.values()) for i in range(n))
+
+
+def test_a_tree_overrules_names_that_say_more(spark):
+    page = lambda i: f"<article><p>{BODY} {i}</p><div class='related-work'><p>{'Always the same words' if i < 50 else f'Work {i}'}</p></div></article>"
+    alike = extracted(spark, [(i, "http://a.example/", page(i)) for i in range(12)])
+    apart = extracted(spark, [(i, "http://a.example/", page(i)) for i in range(50, 62)])
+    assert all("Always" not in t for t in alike.values()) and all(f"Work {i}" in t for i, t in apart.items())
+
+
+def test_parser_against_the_standard_one():
+    """Words of well-formed pages in order, by an independent parser that knows no trees."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            self.words += [" "] if tag in site_style.BLOCKS or tag in ("br", "td", "th") else []
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            self.words += [" "] if tag in site_style.BLOCKS else []
+
+        def handle_data(self, data):
+            self.words += [] if self.hidden else [data]
+
+    rnd = np.random.default_rng(4)
+
+    def made(depth):
+        kind = rnd.integers(9)
+        if depth == 0 or kind < 3:
+            return ["word ", "a &amp; b", "x &lt; y &#233;", "<b>bold</b> text", "<br>", "<!-- <p>no</p> -->", "<script>if (a < b) '<p>'</script>", "<i title='a>b'>q</i>"][rnd.integers(8)]
+        tag = ["div", "p", "section", "ul", "table", "h2", "blockquote", "pre", "article"][rnd.integers(9)]
+        inner = "".join(made(depth - 1) for _ in range(rnd.integers(4)))
+        if tag == "ul":
+            return "<ul>" + f"<li>{inner}</li>" * 2 + "</ul>"
+        if tag == "table":
+            return f"<table><tr><td>{rnd.integers(99)}</td><td>b</td></tr></table>"
+        return f"<p>{rnd.integers(99)} p</p>" if tag in ("p", "h2", "pre") else f"<{tag} class='c{rnd.integers(3)}'>{inner}</{tag}>"
+
+    for _ in range(300):
+        html = "".join(made(4) for _ in range(4))
+        told = Words()
+        told.feed(html)
+        told.close()
+        assert " ".join(text for *_, text in site_style.parse(html).blocks).split() == "".join(told.words).split(), html
+
+
 def test_hostile_pages_take_seconds():
     import time
 
@@ -308,7 +379,7 @@ def test_style_tree_against_a_plain_one(spark):
         want, tree = plain_site(pages)
         assert extracted(spark, [(i, "http://a.example/", h) for i, h in enumerate(pages)]) == dict(enumerate(want))
         held = spark.createDataFrame([("http://a.example/", h) for h in pages], "url string, html string")
-        found = {r["path"]: (r["importance"] if r["n_pages"] >= site_style.LEAST_PAGES else site_style.UNJUDGED) for r in site_style.style_tree(site_style.parsed(held)).collect()}
+        found = {r["path"]: r["importance"] for r in site_style.style_tree(site_style.parsed(held)).collect()}
         assert found.keys() == tree.keys() and all(abs(found[p] - tree[p]) < 1e-9 for p in tree)
 
 
