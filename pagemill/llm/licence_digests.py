@@ -109,15 +109,15 @@ def _licences() -> dict[str, tuple[str, ...]]:
 
 
 LICENCES = _licences()
-#: A line of more characters that is the whole text is told by licence_id alone.
-NOTICE = 400
 # How terms begin where they stand on one line behind a copyright statement.
 TERMS = (
     "all rights|permission (is|to)|licen[sc]ed|released under|distributed under|redistribution and|everyone is|this (software|work|program|library|file|source)|the (software|mit|bsd|apache)|"
     "you may|use of this|provided"
 )
-#: A copyright statement at the start of a line, up to the terms that follow it on the line (group 5) or the line's end.
-STATEMENT = rf"^[^\p{{L}}\p{{N}}©]*(copyright|copr|©|c\)) *[^\p{{L}}\n]*((19|20)[0-9][0-9]|©|by |c\))([^\n]*?)(\b({TERMS})\b[^\n]*)?\z"
+# Words whose full stop ends no sentence, single letters aside.
+SHORT = r"\b(inc|ltd|corp|co|llc|jr|sr|al|dr|st|[a-z])\. "
+#: A copyright statement at the start of a line: mark, year and holder, up to the terms or the next sentence on the line (group 5) or the line's end.
+STATEMENT = rf"^[^\p{{L}}\p{{N}}©]*(copyright|copr|©|c\)) *[^\p{{L}}\n]*((19|20)[0-9][0-9]|©|by |c\))((?:[^\n.]|\.[^\n ])*?)((?:\b(?:{TERMS})\b|\. )[^\n]*|\.)?\z"
 # Spellings taken as equal, applied in this order to lower-case text.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),
@@ -127,7 +127,7 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     """The form that is digested."""
-    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.regexp_replace(line, STATEMENT, "$5"))
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.regexp_replace(F.regexp_replace(line, SHORT, "$1 "), STATEMENT, "$5"))
     out = F.array_join(lines, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -148,14 +148,14 @@ def known(spark: SparkSession, licences: dict[str, tuple[str, ...]] = LICENCES,
 
 def scan(docs: DataFrame, *carried: Column, text: str = "text", licences: dict[str, tuple[str, ...]] = LICENCES) -> DataFrame:
     """`carried` columns, the text's digest, licence_id (null for none) and notices: the licences that single lines name,
-    sorted. Lines of every length count; one above NOTICE characters that is the text itself is told by licence_id alone."""
+    sorted. Lines of every length count, also one that is the text itself."""
     names = [f"carried_{i}" for i in range(len(carried))]
     table = known(docs.sparkSession, licences)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    of = lambda least, most: F.array_distinct(F.transform(F.filter(lines, lambda line: F.length(line).between(least, most)), digest))
-    rows = docs.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], digest(F.col(text)).alias("digest"), of(1, NOTICE).alias("line_digests"), of(NOTICE + 1, 2**31 - 1).alias("long_digests"))
+    told = F.array_distinct(F.transform(F.filter(lines, lambda line: line != ""), digest))
+    rows = docs.select(*[c.alias(n) for c, n in zip(carried, names, strict=True)], digest(F.col(text)).alias("digest"), told.alias("line_digests"))
     pairs = {r["digest"]: r["licence_id"] for r in table.collect()}
     by_digest = F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
-    held = F.filter(F.concat("line_digests", F.array_remove("long_digests", F.col("digest"))), lambda d: d.isin(*sorted(pairs)))
+    held = F.filter("line_digests", lambda d: d.isin(*sorted(pairs)))
     notices = F.array_sort(F.array_distinct(F.transform(held, lambda d: F.element_at(by_digest, d))))
     return rows.join(F.broadcast(table), "digest", "left").select(*names, "digest", "licence_id", notices.alias("notices"))

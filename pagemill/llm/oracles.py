@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm.licence_digests import LICENCES, NOTICE, PUBLISHED, SPELLINGS, STATEMENT
+from pagemill.llm.licence_digests import LICENCES, PUBLISHED, SHORT, SPELLINGS, STATEMENT
 from pagemill.llm.quality_rules import RULES, STOP_WORDS
 from pagemill.llm.warc_revisits import TRACKING
 
@@ -64,7 +64,7 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"array_to_string(list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda c: regexp_replace(c, {_quoted(STATEMENT)}, '\\5')), ' ')"
+    out = f"array_to_string(list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda c: regexp_replace(regexp_replace(c, {_quoted(SHORT)}, '\\1 ', 'g'), {_quoted(STATEMENT)}, '\\5')), ' ')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return rf"sha256(trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
@@ -76,8 +76,7 @@ LICENCE_SQL = f"""
 with known as (select digest, min(licence_id) as licence_id from (select licence_id, {_canonical('body')} as digest from (values {_KNOWN}) as v(licence_id, body) union all select licence_id, digest from (values {_GIVEN}) as g(licence_id, digest)) group by digest),
 rows as (select row_number() over () as rid, doc_id, text, {_canonical('text')} as digest from documents),
 lines as (
-  select distinct rid, d from (select rid, whole, length(line) as n, {_canonical('line')} as d from (select rid, digest as whole, unnest(string_split(coalesce(text, ''), chr(10))) as line from rows) where line <> '')
-  where n <= {NOTICE} or d <> whole),
+  select distinct rid, {_canonical('line')} as d from (select rid, unnest(string_split(coalesce(text, ''), chr(10))) as line from rows) where line <> ''),
 notices as (select rid, string_agg(distinct licence_id, ',' order by licence_id) as notices from lines join known on d = digest group by rid)
 select doc_id, digest, licence_id, coalesce(notices, '') as notices from rows left join known using (digest) left join notices using (rid)"""
 
