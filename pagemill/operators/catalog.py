@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pagemill.session import exists
 
 #: Changes with the rules by which windows are cut; windows of another version are made anew.
 WINDOW_VERSION = "1"
 META = "key string, value string"
+MANIFEST = "name string, bucket int, digest string, version int, kinds string"
+BUCKETS = 64
 
 
 def catalog_diff(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
@@ -101,28 +107,51 @@ def embedded(windows: DataFrame, embedder: Embedder, model: str, force: bool = F
 
 def write_catalog(catalog: Catalog, path: str) -> str:
     """Writes a new version of the catalog beside the older ones, which its rows may come from, and names it last: a run that
-    breaks off leaves the version before."""
+    breaks off leaves the version before.
+
+    Rows are dealt to buckets by their chunk. A bucket that is as it was, by a digest over its rows, is not written: the manifest of the new version
+    points to the older one's files. So what is written follows what changed.
+    """
     spark = catalog.chunks.sparkSession
     number = (_last_version(spark, path) or 0) + 1
-    for name in ("chunks", "windows", "meta"):
-        getattr(catalog, name).write.mode("overwrite").parquet(f"{path}/version={number}/{name}")
+    before = {} if number == 1 else {(r["name"], r["bucket"]): r for r in spark.read.parquet(f"{path}/version={number - 1}/manifest").collect()}
+    manifest = []
+    for name, key in (("chunks", "id"), ("windows", "chunk_id")):
+        rows = getattr(catalog, name)
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        told = F.sum(F.xxhash64(F.lit(rows.schema.simpleString()), *rows.columns).cast("decimal(38,0)")).cast("string")
+        digests = {r["bucket"]: r["digest"] for r in dealt.groupBy("bucket").agg(told.alias("digest")).collect()}
+        changed = [b for b, digest in digests.items() if (name, b) not in before or before[name, b]["digest"] != digest]
+        kinds = StructType([*rows.schema.fields])
+        if changed:
+            dealt.where(F.col("bucket").isin(*changed)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}/{name}")
+        manifest += [(name, b, digest, number if b in set(changed) else before[name, b]["version"], kinds.json()) for b, digest in digests.items()]
+        if not digests:
+            manifest.append((name, -1, "", number, kinds.json()))
+    catalog.meta.write.mode("overwrite").parquet(f"{path}/version={number}/meta")
+    spark.createDataFrame(manifest, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}/manifest")
     spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return f"{path}/version={number}"
 
 
 def _last_version(spark: SparkSession, path: str) -> int | None:
-    try:
-        return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    except Exception as missing:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        return None
+    return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0] if exists(spark, f"{path}/versions/_SUCCESS") else None
 
 
 def open_catalog(spark: SparkSession, path: str) -> Catalog | None:
     """The last whole version of a catalog, in the present form; None where there is none."""
     number = _last_version(spark, path)
-    return None if number is None else migrated(Catalog(*[spark.read.parquet(f"{path}/version={number}/{name}") for name in ("chunks", "windows", "meta")]))
+    if number is None:
+        return None
+    held = spark.read.parquet(f"{path}/version={number}/manifest").collect()
+
+    def rows(name: str) -> DataFrame:
+        parts = [r for r in held if r["name"] == name]
+        schema = StructType.fromJson(json.loads(parts[0]["kinds"]))
+        paths = [f"{path}/version={r['version']}/{name}/bucket={r['bucket']}" for r in parts if r["bucket"] >= 0]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    return migrated(Catalog(rows("chunks"), rows("windows"), spark.read.parquet(f"{path}/version={number}/meta")))
 
 
 def books_listing(chunks: DataFrame) -> DataFrame:

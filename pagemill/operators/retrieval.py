@@ -8,6 +8,7 @@ it is sent to all tasks.
 from __future__ import annotations
 
 import difflib
+import string
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -317,10 +318,13 @@ def scope_books(chunks: DataFrame, scope: str) -> DataFrame:
     words = scope.split()
     if not words:
         return books.where(F.lit(False))
-    hay = F.concat_ws(" ", "book_file", F.coalesce("book_title", F.lit("")), F.coalesce("author", F.lit("")))
+    # Upper and lower case are one within ASCII alone; % and _ stand for other characters, a backslash for itself.
+    low = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    hay = low(F.concat_ws(" ", "book_file", F.coalesce("book_title", F.lit("")), F.coalesce("author", F.lit(""))))
     found = F.lit(True)
     for word in words:
-        found = found & hay.ilike(f"%{word}%")
+        plain = word.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).replace("\\", "\\\\")
+        found = found & hay.like(f"%{plain}%")
     return books.where(found)
 
 
@@ -370,13 +374,18 @@ def search(
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
-def results(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, images: str | None = None) -> DataFrame:
-    """Rows for people and tools: citation, excerpt, book, page (null for none) and, with a folder of images, the image's path."""
+def results(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, images: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Rows for people and tools: citation, excerpt, book, page (null for none) and, with a folder of images, the image's path; with a listing of
+    its files (name) the path of those that are there alone."""
     told = ranking.join(chunks, "id").join(queries, "query_id")
     cited = citation(F.col("author"), F.col("book_title"), F.col("book_file"), F.col("year"), F.col("image"), F.col("page"))
     page = F.when(~F.coalesce("page", F.lit("-")).isin("", "-"), F.col("page"))
     named = F.when(F.lower("image").endswith(".jpeg"), F.col("image")).otherwise(F.concat("image", F.lit(".jpeg")))
     path = F.when(F.coalesce("image", F.lit("")) != "", F.concat(F.lit(f"{(images or '').rstrip('/')}/"), named)) if images else F.lit(None).cast("string")
+    if files is not None:
+        there = files.select(F.col("name").alias("file")).distinct().withColumn("there", F.lit(True))
+        told = told.withColumn("file", named).join(there, "file", "left")
+        path = F.when(F.col("there"), path)
     return told.select("query_id", "rank", "score", "id", cited.alias("citation"), excerpt(F.col("text"), F.col("query")).alias("excerpt"), "book_file", "book_title", "author", "year", "image", page.alias("page"), path.alias("image_path"))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import is_echo, is_runaway, query_terms, strip
+from pagemill.functions.text import SPACES, is_echo, is_runaway, query_terms, strip
 
 RECOVERED_LEAST = 400
+GRAM = 4
 TUNED_AT, SCALE_FACTOR, STALE_GROWTH, CHARS_A_TOKEN, TOKEN_CAP, DRIFT, DEPTH = 9500, 3, 0.25, 4.0, 512, 0.02, 5
 
 
@@ -84,14 +85,29 @@ def probe_matches(probe_book: Column, probe_image: Column, probe_page: Column, b
 
 
 def dead_probes(chunks: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probes (query_id, query, book, image, page) that no chunk satisfies. Books are few: probes find theirs among the different
-    ones, and meet chunks by an equal book and image start."""
+    """Probes (query_id, query, book, image, page) that no chunk satisfies. Probes find their books by the characters that both hold, and
+    meet chunks by an equal book and image start; those that name no book meet chunks by their image or page."""
     places = chunks.select("book_file", "image", F.coalesce("page", F.lit("")).alias("place")).distinct()
     books = places.select("book_file").distinct()
     asked = probes.where("book is not null or image is not null or page is not null")
-    named = asked.join(books, asked.book.isNull() | F.lower("book_file").contains(F.lower(asked.book)))
     seen = places.withColumnRenamed("image", "seen")
-    met = named.join(seen, "book_file").where((F.col("image").isNull() | F.col("seen").startswith(F.col("image"))) & (F.col("page").isNull() | (F.col("place") == F.col("page"))))
+    fits = (F.col("image").isNull() | F.col("seen").startswith(F.col("image"))) & (F.col("page").isNull() | (F.col("place") == F.col("page")))
+    # A name part of `k` characters, up to GRAM, is a gram of every book name that holds it.
+    part = F.lower("book")
+    size = F.least(F.length(part), F.lit(GRAM))
+    keyed = asked.where("book <> ''").withColumns({"gram": F.substring(part, F.lit(1), size), "part": part})
+    low = F.lower("book_file")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, k)))))
+    named = keyed.join(books.select("book_file", F.explode(grams).alias("gram")), "gram").where(F.lower("book_file").contains(F.col("part"))).join(seen, "book_file").where(fits).select("query_id")
+    # The first characters of an image are a key in the same way; a probe that names a page alone meets it by an equal page.
+    free = asked.where("book is null or book = ''")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(GRAM * 2)), lambda k: F.substring("seen", F.lit(1), k)))
+    by_image = free.where("image <> ''").withColumn("start", F.substring("image", F.lit(1), F.least(F.length("image"), F.lit(GRAM * 2))))
+    imaged = by_image.join(seen.select("seen", "place", F.explode(starts).alias("start")), "start").where(fits).select("query_id")
+    paged = free.where("coalesce(image, '') = '' and page is not null").join(places.select(F.col("place").alias("page")).distinct(), "page").select("query_id")
+    # An empty name part is in every book, an empty image is the start of every one.
+    any_ = free.where("coalesce(image, '') = '' and page is null").where(F.lit(not places.isEmpty())).select("query_id")
+    met = named.unionByName(imaged).unionByName(paged).unionByName(any_)
     return asked.join(met.select("query_id").distinct(), "query_id", "left_anti")
 
 
@@ -116,13 +132,14 @@ def drift(history: DataFrame) -> DataFrame:
 
 
 def probe_candidates(chunks: DataFrame, terms: DataFrame, least: int = 600, most: int = 160) -> DataFrame:
-    """(book_file, id, query): for each book the sentence of its first long chunk whose words are rarest on average."""
-    first = chunks.where(F.length("text") > least).groupBy("book_file").agg(F.min_by(F.struct("id", "text"), "id").alias("c")).select("book_file", "c.id", "c.text")
-    sentences = first.select("book_file", "id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("no", "sentence")).withColumn("terms", query_terms(F.col("sentence"))).where("size(terms) between 6 and 25")
+    """(book_file, id, query): for each book the sentence of its first long chunk of a photographed page whose words are rarest on average, with
+    single spaces, cut to `most` characters."""
+    first = chunks.where((F.length("text") > least) & F.lower("image").endswith(".jpeg")).groupBy("book_file").agg(F.min_by(F.struct("id", "text"), "id").alias("c")).select("book_file", "c.id", "c.text")
+    sentences = first.select("book_file", "id", F.posexplode(F.split("text", rf"(?<=[.!?]){SPACES}+")).alias("no", "sentence")).withColumn("terms", query_terms(F.col("sentence"))).where("size(terms) between 6 and 25")
     words = sentences.select("book_file", "id", "no", "sentence", F.explode("terms").alias("term")).join(terms.select("term", "cf"), "term", "left")
     scored = words.groupBy("book_file", "id", "no", "sentence").agg(F.avg(1 / (1 + F.coalesce("cf", F.lit(0)))).alias("rare"))
     best = scored.groupBy("book_file", "id").agg(F.max_by("sentence", F.struct(F.round("rare", 9), -F.col("no"))).alias("sentence"))
-    return best.select("book_file", "id", F.substring("sentence", 1, most).alias("query"))
+    return best.select("book_file", "id", F.substring(strip(F.regexp_replace("sentence", rf"{SPACES}+", " ")), 1, most).alias("query"))
 
 
 def history_row(recalls: DataFrame, chunks: DataFrame, at: str, mode: str, embed_model: str | None = None, rerank_model: str | None = None) -> DataFrame:

@@ -35,10 +35,10 @@ _EDGES = f"^[{_SPACE}]+|[{_SPACE}]+$"
 _ENDS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 _PROBES = rf"""
 long as (select source || '.md' as book_file, min(doc_id) as id, min_by(text, doc_id) as text from documents where length(text) > 600 group by 1),
-sentences as (select book_file, id, generate_subscripts(ss, 1) - 1 as no, unnest(ss) as sentence from (select book_file, id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from long)),
+sentences as (select book_file, id, generate_subscripts(ss, 1) - 1 as no, unnest(ss) as sentence from (select book_file, id, string_split(regexp_replace(text, '([.!?])[{_SPACE}]+', '\1' || chr(1), 'g'), chr(1)) as ss from long)),
 told as (select *, list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]+'), {_CONTENT}) as ts from sentences),
 rated as (select book_file, id, no, sentence, round(avg(1.0::double / (1 + coalesce(cf, 0))), 9) as rare from (select book_file, id, no, sentence, unnest(ts) as term from told where len(ts) between 6 and 25) left join stats using (term) group by 1, 2, 3, 4),
-probe as (select book_file, id, substr(sentence, 1, 160) as query from rated qualify row_number() over (partition by book_file, id order by rare desc, no) = 1)"""
+probe as (select book_file, id, substr(regexp_replace(regexp_replace(sentence, '[{_SPACE}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 160) as query from rated qualify row_number() over (partition by book_file, id order by rare desc, no) = 1)"""
 _FUSED = """
 each_ as (select query_id, id, sum(1.0::double / (rank + 60)) as s, min(channel * 1000 + rank) as first, max(score) as raw from both_ group by all),
 ways as (select query_id, count(distinct channel) as ways from both_ group by 1),

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pagemill.operators import catalog, chunking
+from pagemill.session import exists
 
 BUCKETS = 64
 
@@ -28,13 +29,10 @@ def ingest(pages: DataFrame, target: str, checkpoint: str, paragraph: str = chun
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         chunks = chunking.chunk_units(batch, paragraph).withColumns({"batch": F.lit(number), "bucket": F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")})
-        try:
+        if exists(spark, f"{target}/_SUCCESS"):
             met = [r["bucket"] for r in chunks.select("bucket").distinct().collect()]
             held = spark.read.parquet(target).where(F.col("bucket").isin(*met)).select("id", "content_sha")
             chunks = chunks.join(held, ["id", "content_sha"], "left_anti")
-        except Exception as missing:  # the first batch finds no catalog
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
         chunks.write.mode("append").partitionBy("bucket").parquet(target)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

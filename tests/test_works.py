@@ -127,6 +127,20 @@ def test_index_runs_and_versions(spark, tmp_path):
     assert {r["chunk_id"]: r["vec"] for r in second.windows.collect()} == {"a": [6.0], "b": None, "d": None} and catalog.pending(second.windows, "m").count() == 2
     catalog.write_catalog(second, path)
     last = catalog.open_catalog(spark, path)
+    assert {tuple(r) for r in last.chunks.collect()} == {tuple(r) for r in second.chunks.collect()} and {r["id"]: r["vec"] for r in last.windows.collect()} == {r["id"]: r["vec"] for r in second.windows.collect()}
+    # Chunk a is as it was, so the new version points to the file of the old one; nothing at all is written for a catalog without changes.
+    where = {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/version=2/manifest").where("name = 'chunks'").collect()}
+    at = {r["id"]: r["bucket"] for r in last.chunks.select("id", F.pmod(F.xxhash64("id"), F.lit(catalog.BUCKETS)).cast("int").alias("bucket")).collect()}
+    assert where[at["a"]] == 1 and where[at["b"]] == where[at["d"]] == 2
+    catalog.write_catalog(last, path)
+    assert not (tmp_path / "catalog/version=3/chunks").exists() and not (tmp_path / "catalog/version=3/windows").exists()
+    assert {r["id"] for r in catalog.open_catalog(spark, path).windows.collect()} == {r["id"] for r in second.windows.collect()}
+    # A run that breaks off before it names its version leaves the one before.
+    last.chunks.where("id = 'a'").write.parquet(f"{path}/version=4/chunks")
+    assert catalog.open_catalog(spark, path).chunks.count() == 3
+    empty = catalog.index_run(None, chunks(("a", "1", "x")).where("false"), windows("a").where("false"))
+    catalog.write_catalog(empty, path)
+    assert catalog.open_catalog(spark, path).chunks.count() == 0
     assert {r["id"] for r in last.chunks.collect()} == {"a", "b", "d"} and catalog.get_meta(last.meta, "window_version") == catalog.WINDOW_VERSION and catalog.get_meta(last.meta, "none", "x") == "x"
     for again in (catalog.index_run(old, new, windows("a", "b", "d"), force=True), catalog.index_run(old, new, windows("a", "b", "d"), version="2")):
         assert again.windows.where("vec is not null").count() == 0
