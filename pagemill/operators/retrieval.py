@@ -202,7 +202,7 @@ def dense_hits(windows: DataFrame, queries: DataFrame, n: int, key: str = "id",
     rows = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).where("vec is not null").orderBy("query_id").limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise TooManyQueries(f"over {MOST_QUERIES} query vectors")
-    matrix = np.array([r["vec"] for r in rows], float).reshape(len(rows), -1)
+    matrix = np.array([r["vec"] for r in rows], float).reshape(len(rows), -1 if rows else 0)
     names = np.array([r["query_id"] for r in rows])
     kind = queries.schema["query_id"].dataType.simpleString()
     told = windows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), *carried)

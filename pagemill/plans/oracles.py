@@ -81,6 +81,7 @@ ORACLES = {
       coverage_in as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from within join needed using (query_id) where met = needed and asked > 1 qualify rank <= 20),
       both_ as (select query_id, id, rank, score, 0 as channel from dense union all select query_id, id, rank, score, 1 from lexical_in union all select query_id, id, rank, score, 2 from coverage_in), {_FUSED}
       select query_id, id, round(score, 9) as score, rank from (select *, row_number() over (partition by query_id order by ord desc, first, id) as rank from fused) where score >= 0.016""",
+    "cells_topk": f"with {_CENTROIDS} select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from hits qualify rank <= 20",
     "dense_topk": f"with {_CENTROIDS} select query_id, vec_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from hits qualify rank <= 20",
     "dense_maxpool": f"""with {_CENTROIDS},
       top as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from hits qualify r <= 80),

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import fuzzy as Z
 from pagemill.functions import text as X
-from pagemill.operators import capture, catalog, chunking, contain, index, resolve, retrieval, works
+from pagemill.operators import capture, catalog, chunking, contain, index, resolve, retrieval, vectors, works
 from pagemill.plans import audit
 from pagemill.plans.oracles import ORACLES
-from pagemill.session import ensure_checkpoint_dir
+from pagemill.session import ensure_checkpoint_dir, shared_path
 from pagemill.sources import books
 from pagemill.sources.tables import table
 
@@ -121,6 +121,13 @@ def dense_topk(spark, sf_dir):
     return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def cells_topk(spark, sf_dir):
+    """The same from an inverted file of the vectors, in its exact setting."""
+    index_ = vectors.write_cells(table(spark, sf_dir, "embeddings"), shared_path(spark, "cells", fresh=True), key="vec_id", vector="embedding")
+    hits = vectors.search(index_, _centroids(spark, sf_dir), TOP, probes=None)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def dense_maxpool(spark, sf_dir):
     windows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).alias("chunk_id"), F.col("embedding").alias("vec"))
     pooled = retrieval.dense(windows, _centroids(spark, sf_dir), TOP)
@@ -345,7 +352,7 @@ def turn_similarity(spark, sf_dir):
 
 
 _QUERIES = (
-    lexical_topk, coverage_topk, fuzzy_topk, rrf_fusion, term_stats, hybrid_search, scoped_search, dense_topk, dense_maxpool, recall_by_label, exact_dedup, duplicate_passages, benchmark_containment, page_quality, shot_types,
+    lexical_topk, coverage_topk, fuzzy_topk, rrf_fusion, term_stats, hybrid_search, scoped_search, dense_topk, cells_topk, dense_maxpool, recall_by_label, exact_dedup, duplicate_passages, benchmark_containment, page_quality, shot_types,
     metadata_fields, running_headers, plain_text, prompt_echo, capture_order, session_books, session_windows, neighbour_pages, merge_tiny, book_round_trip, group_shots, library_works, work_records, split_parts, window_parts,
     books_listing, catalog_summary, scope_books, catalog_diff, coverage_summary, doctor_report, probe_candidates, probe_recall, title_candidates, bibliography_match, turn_similarity,
 )
