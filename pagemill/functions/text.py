@@ -15,10 +15,10 @@ LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 PARAGRAPH = rf"\n{SPACES}*\n"
 FOLIO = r"^(?i)(page\s+)?[0-9]{1,4}$"
 # Words of a query that carry no content.
-QUERY_STOPWORDS = (
-    "the a an of to in on at by for and or is are was were be been with as that this it its from into where what who whom does do did how why when which about not but they them their "
-    "there here you we his her say said says"
-).split()
+QUERY_STOPWORDS = [
+    "the", "a", "an", "of", "to", "in", "on", "at", "by", "for", "and", "or", "is", "are", "was", "were", "be", "been", "with", "as", "that", "this", "it", "its", "from", "into", "where", "what", "who", "whom",
+    "does", "do", "did", "how", "why", "when", "which", "about", "not", "but", "they", "them", "their", "there", "here", "you", "we", "his", "her", "say", "said", "says",
+]
 # What marks an imprint page.
 IMPRINT = r"(?i)\b(isbn|first published|all rights reserved|catalogu(?:e|ing)[- ]in[- ]publication|library of congress|printed in|no part of this (?:book|publication))\b|©"
 # How imprints tell ISBN, year and publisher, and slips call numbers.
