@@ -20,6 +20,7 @@ special tokens inside a text become that token, the library's default.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,56 +32,104 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.piece_bpe import slices
-from pagemill.llm.token_counts import transducer
+from pagemill.llm.token_counts import END as TEXT_END
+from pagemill.llm.token_counts import _spans, transducer
 
 END = 0
 SHARD_DOCS = 1024
 MOST_SHARDS = 20_000
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 19, 8192
 BUCKET = 4096
-CACHE = 400_000
+CACHE = 250_000
+#: Bytes of text that are encoded at once.
+SLICE = 2_000_000
 NO_ID = np.int64(-(2**63))
 
 
 # --- encoding
 
 
-class IdEncoder:
-    """Ids of whole texts by the tokenizers library. Pre-tokens never merge with their neighbours, so the library encodes each different one
-    once and texts are put together from them; at most `CACHE` and those of one batch are kept."""
+#: Pre-tokens are handed to the library together, with this between them.
+BETWEEN = "\x0b"
 
-    def __init__(self, path: str):
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class IdEncoder:
+    """Ids of whole texts, each followed by the end id, by the tokenizers library, as raw little-endian numbers.
 
-        self.library, self.cutter = Tokenizer.from_file(path), transducer(path)
-        self.size = self.library.get_vocab_size()
-        self.known: dict[str, list[int]] = {}
+    Pre-tokens never merge with their neighbours. A batch is cut into them as one array of characters (as in `token_counts`), the library
+    encodes each different one that is not known yet, and the ids of all are gathered. What the last `CACHE` different ones and
+    as many before them gave is kept, and what one batch needs.
+    """
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text)."""
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.cutter, self.dtype = transducer(path), id_type(path)
+        self.library, self.models = Tokenizer.from_file(path), [Tokenizer.from_file(path) for _ in range(2)]
+        # The same models over what is already cut.
+        bare = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.models[0].pre_tokenizer, self.models[1].pre_tokenizer = bare, pre_tokenizers.Sequence([pre_tokenizers.Split(BETWEEN, "isolated"), bare])
+        self.between = self.models[0].encode(BETWEEN, add_special_tokens=False).ids
+        self.end = np.array([END], self.dtype).tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain, odd = [], []
+        for p in pieces:
+            (odd if BETWEEN.encode() in p else plain).append(p)
+        if plain:
+            ids = np.array(self.models[1].encode_batch_fast([BETWEEN.join([p.decode() for p in plain])], add_special_tokens=False)[0].ids, self.dtype)
+            raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.between[0]), len(ids)) * self.dtype.itemsize
+            starts = np.concatenate(([0], ends[:-1] + self.dtype.itemsize))
+            self.known.update(zip(plain, map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
+        for p, told in zip(odd, self.models[0].encode_batch_fast([p.decode() for p in odd], add_special_tokens=False), strict=True):
+            self.known[p] = np.array(told.ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id. Texts with strings of special tokens are handed over whole."""
         special = self.cutter.special
-        parts = [special.split(t) if special else [t] for t in texts]
-        flat = [x for p in parts for x in p]
-        pieces, part = self.cutter.pre_tokens(flat)
+        marked = {i for i, t in enumerate(texts) if special and special.search(t)}
+        out = self._encode(["" if i in marked else t for i, t in enumerate(texts)] if marked else texts)
+        for i in marked:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes() + self.end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        joined = "\n".join(texts) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        classes = self.cutter.classes[points]
+        for c in np.unique(points[classes == 255]).tolist():
+            self.cutter.classes[c] = self.cutter._class(c)
+            classes[points == c] = self.cutter.classes[c]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        classes[ends] = TEXT_END
+        starts = _spans(classes)
+        # Where pre-tokens start in UTF-8: characters before them, and what longer ones take more.
+        wide = np.flatnonzero(points >= 0x80)
+        more = np.concatenate(([0], np.cumsum(1 + (points[wide] >= 0x800) + (points[wide] >= 0x10000))))
+        bounds = np.append(starts, len(points))
+        offsets = bounds + more[np.searchsorted(wide, bounds)]
+        told = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined.encode())]).dictionary_encode()
+        codes, pieces = told.indices.to_numpy().copy(), told.dictionary.to_pylist()
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(pieces) - self.known.keys())
-        self.known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        met = list(map(self.known.__getitem__, pieces))
-        sizes = np.fromiter(map(len, met), np.int64, len(met))
-        ids = np.fromiter((i for ids in met for i in ids), np.int64, int(sizes.sum()))
-        counts = np.bincount(part, weights=sizes, minlength=len(flat)).astype(np.int64) if len(part) else np.zeros(len(flat), np.int64)
-        if len(flat) == len(texts):
-            return ids, counts
-        # A special token's string stands between two parts of one text.
-        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        marks = np.array([self.library.token_to_id(s) for t in texts for s in special.findall(t)], np.int64)
-        last = np.append(owner[1:] != owner[:-1], True)
-        ids = np.insert(ids, np.cumsum(counts)[~last], marks)
-        return ids, np.bincount(owner, weights=counts + ~last, minlength=len(texts)).astype(np.int64)
+            self.before, self.known = self.known, {}
+        missing = [p for p in pieces if p not in self.known]
+        self.known.update((p, self.before[p]) for p in missing if p in self.before)
+        self._learn([p for p in missing if p not in self.known])
+        raw = list(map(self.known.__getitem__, pieces)) + [self.end]
+        is_end = classes[starts] == TEXT_END
+        codes[is_end] = len(pieces)
+        sizes = np.fromiter(map(len, raw), np.int32, len(raw)) // self.dtype.itemsize
+        flat, counts = np.frombuffer(b"".join(raw), self.dtype), sizes[codes]
+        upto = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - upto + counts, counts) + np.arange(upto[-1])]
+        stops = upto[is_end] * self.dtype.itemsize
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -202,16 +251,11 @@ def _write_shards(docs: DataFrame, path: str, files: Files, shard_docs: int, seg
     numbered = docs.select("doc_id", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**32)).alias("tie"), "text")
 
     def encode(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
         coder = encoder(path)
         for batch in incoming:
-            for at, n in slices(batch.column("text")):
+            for at, n in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, n)
-                ids, counts = coder.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum(counts)
-                ids, ends = np.insert(ids, ends, END), ends + np.arange(1, n + 1)
-                raw, places = ids.astype(dtype).tobytes(), np.concatenate(([0], ends)) * dtype.itemsize
-                held = [raw[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+                held = coder.encode([t or "" for t in part.column("text").to_pylist()])
                 keys, ties = part.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
                 shard = low + (ties * (high - low + 1) >> 32)
