@@ -3,7 +3,8 @@
 A node is a run of LONGEST - 1 words, an edge one of LONGEST words that leads from the run without its last word to the run without
 its first. Only edges are counted over the corpus: every place of a piece gives the run of up to LONGEST words that begins there, and runs cut short by
 the end of their piece are kept beside the edges as corrections. Counts of shorter runs are the flow that leaves them, plus
-the corrections: f(x) is the sum of f(x y) over all words y, plus the pieces that end in x.
+the corrections: f(x) is the sum of f(x y) over all words y, plus the pieces that end in x. Most runs are met once or twice: earlier passes add up runs in
+hashed buckets, and runs also end where their bucket is too rare for any candidate, so such runs are not counted.
 
 Paths without branches are then compacted: where an edge weighs as much as both of its nodes, nothing else enters or leaves
 between them and no piece begins or ends there, so all edges of such a path have one weight. Paths are found by
@@ -16,28 +17,36 @@ count each time; an empty table gives an empty one. Equal scores go to the large
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
+from pagemill.llm.piece_bpe import slices
 
 LONGEST = 3
 LEAST = 10
 TOP = 2000
 HELD_PERCENT = 50
 SCALE = 1_000_000
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-BLANK = r"[\x20\x09]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNKNOWN = "und"
+#: Bytes of text that are counted together before anything is shuffled; buckets of runs.
+SLICE = 1_500_000
+BUCKETS = 2**26
 
 
 @dataclass
 class PhraseGraph:
-    """levels[k] (lang, run, n) counts the runs of k words: all of LONGEST words, and of the shorter ones all too. totals (lang, n) counts words."""
+    """levels[k] (lang, run, n) counts the runs of k words, totals (lang, n) all words. Counts of `least` and more and those of single words are
+    whole; those of rarer runs are left out or short."""
 
     levels: dict[int, DataFrame]
     totals: DataFrame
@@ -53,20 +62,150 @@ def _rest(run: Column, size: int, k: int) -> Column:
     return F.substring_index(run, " ", k - size)
 
 
-def runs(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
-    """(lang, run, size, n): how often each run of up to `longest` words begins at a place; shorter ones where their piece ends."""
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(plain, PIECE_END)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", BLANK), "").alias("words")).where(F.size("words") > 0)
-    begun = F.transform(F.col("words"), lambda w, i: F.array_join(F.slice("words", i + 1, F.lit(longest)), " "))
-    told = words.select("lang", F.explode(begun).alias("run"))
-    counted = told.groupBy("lang", "run").agg(F.count(F.lit(1)).alias("n"))
+class Words:
+    """The words of a batch of texts as numbers: `codes` into the array `names`, the text of each, and whether the next one follows in the same piece.
+
+    All marks are single bytes of UTF-8, so whole batches are cut as arrays of bytes.
+    """
+
+    def __init__(self, texts: pa.Array):
+        told = pc.ascii_lower(pc.fill_null(texts, ""))
+        offsets = np.frombuffer(told.buffers()[1], np.int32)[told.offset : told.offset + len(told) + 1]
+        raw = np.frombuffer(told.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kind = KINDS[raw]
+        inside = kind == 0
+        before = np.concatenate(([False], inside[:-1])) if len(raw) else inside
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        before[heads] = False  # a text's first byte goes on from no other
+        starts = np.flatnonzero(inside & ~before)
+        self.text = np.searchsorted(offsets, starts, side="right") - 1
+        # Words of one piece have as many piece ends before them.
+        piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else starts
+        self.goes_on = np.zeros(len(starts), bool)
+        self.goes_on[:-1] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
+        stretch = np.concatenate((np.cumsum(inside, dtype=np.int32)[starts] - 1, [np.count_nonzero(inside)])) if len(starts) else np.zeros(1, np.int64)
+        told = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(stretch.astype(np.int64)), pa.py_buffer(raw[inside])])
+        coded = told.dictionary_encode()
+        self.codes, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+#: What a byte is: 1 a blank between words, 2 the end of a piece, 0 part of a word.
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b"\x20\x09")] = 1
+KINDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
+
+
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(x) for x in langs.to_pylist()], np.uint64)
+
+
+def _buckets(found: Words, langs: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of two words, three and so on, up to one more than `bits` has filters for: the bucket of the run that begins at each word, and
+    whether it may be frequent, as it lies within its piece and all shorter runs in it are."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.array([xxh64_intdigest(w) for w in found.names.to_pylist()], np.uint64)[found.codes]
+    size = len(hashes)
+    alive, before = np.ones(size, bool), np.ones(size, bool)
+    with np.errstate(over="ignore"):
+        mixed = (hashes + langs[found.text]) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(1, len(bits) + 2):
+            alive[: size - k] &= found.goes_on[k - 1 : size - 1]
+            # The run without its last word may be frequent (it is alive), and so may the one without its first.
+            alive[: size - k] &= before[1 : size - k + 1]
+            alive[size - k :] = False
+            mixed[: size - k] = (mixed[: size - k] ^ (mixed[: size - k] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[k:] * np.uint64(0x94D049BB133111EB)
+            bucket = ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            if k <= len(bits):
+                alive &= (bits[k - 1][bucket >> 3] >> (bucket & 7)) & 1 > 0
+            yield bucket, alive
+            before = alive.copy()
+
+
+def _named(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
+
+
+def frequent_runs(docs: DataFrame, longest: int, least: int, text: str = "text", lang: str = "lang") -> list[Broadcast]:
+    """For runs of two words, three and so on up to `longest`, one bit a bucket of runs: whether all runs of the bucket together are met `least` times. A run in
+    another bucket is no candidate, and in none.
+
+    Counts are added up per bucket; what reaches the driver, and every task from there, are bitmaps of `BUCKETS` bits, 8 MB each at any size of the corpus.
+    """
+    found: list[Broadcast] = []
+    # Spark's bitmaps number values from 1.
+    place = F.col("bucket") + 1
+    for _ in range(2, longest + 1):
+        known = tuple(found)
+
+        def count(incoming: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in incoming:
+                for at, n in slices(batch.column("text"), SLICE):
+                    part = batch.slice(at, n)
+                    *_, (bucket, alive) = _buckets(Words(part.column("text")), _lang_hashes(part.column("lang")), [b.value for b in known])
+                    told, counts = np.unique(bucket[alive], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(counts)], ["bucket", "n"])
+                pa.default_memory_pool().release_unused()
+
+        met = _named(docs, text, lang).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        maps = met.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        bits = np.zeros(BUCKETS // 8, np.uint8)
+        for row in maps:
+            bits[(row["number"] - 1) * len(row["bits"]) :][: len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+        found.append(docs.sparkSession.sparkContext.broadcast(bits))
+    return found
+
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    return pd.factorize(keys)[0].astype(np.int64)
+
+
+def runs(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """(lang, run, size, n): how often each run of up to `longest` words begins at a place; shorter ones where their piece ends.
+
+    Runs also end before a word with which they are too rare for any candidate (`frequent_runs`): every word still begins one run, and every frequent
+    run is counted whole, or as the beginning of a longer one.
+    """
+    filters = frequent_runs(docs, longest, least, text, lang)
+
+    def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            for at, n in slices(batch.column("text"), SLICE):
+                part = batch.slice(at, n)
+                found = Words(part.column("text"))
+                if not len(found.codes):
+                    continue
+                langs = part.column("lang").dictionary_encode()
+                # Runs grow word by word, and equal ones get one number.
+                size, names = len(found.codes), len(found.names) + 1
+                number = _numbered(langs.indices.to_numpy()[found.text] * names + found.codes)
+                length = np.ones(size, np.int64)
+                steps = _buckets(found, _lang_hashes(part.column("lang")), [b.value for b in filters])
+                for k, (_, alive) in zip(range(1, longest), steps, strict=False):
+                    length += alive
+                    number = _numbered(number * names + np.where(alive, np.roll(found.codes, -k), names - 1))
+                counts, first = np.bincount(number), np.zeros(number.max() + 1, np.int64)
+                first[number[::-1]] = np.arange(size)[::-1]
+                words = []
+                for k in range(longest):
+                    at = np.where(length[first] > k, found.codes[np.minimum(first + k, size - 1)], 0)
+                    words.append(found.names.take(pa.array(at, mask=length[first] <= k)))
+                run = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()), null_handling="skip").cast(pa.large_string())
+                told = langs.dictionary.take(pa.array(langs.indices.to_numpy()[found.text[first]]))
+                yield pa.RecordBatch.from_arrays([told.cast(pa.string()), run.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "run", "n"])
+                pa.default_memory_pool().release_unused()
+
+    told = _named(docs, text, lang).mapInArrow(count, "lang string, run string, n long")
+    counted = told.groupBy("lang", "run").agg(F.sum("n").alias("n"))
     return counted.select("lang", "run", (F.length("run") - F.length(F.replace("run", F.lit(" "), F.lit(""))) + 1).alias("size"), "n")
 
 
-def graph(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST) -> PhraseGraph:
-    """The graph of whole texts. Each level is derived from the one above it and the pieces' ends, and written once."""
-    edges = stored(runs(docs, text, lang, longest))
+def graph(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> PhraseGraph:
+    """The graph of whole texts, with all counts of `least` and more, and those of single words. Each level is derived from the one above it and the pieces' ends, and written once."""
+    edges = stored(runs(docs, text, lang, longest, least))
     levels = {longest: edges.where(F.col("size") == longest).select("lang", "run", "n")}
     for k in range(longest - 1, 0, -1):
         flow = levels[k + 1].select("lang", _first(F.col("run"), k).alias("run"), "n")
