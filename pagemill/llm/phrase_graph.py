@@ -41,6 +41,10 @@ UNKNOWN = "und"
 #: Bytes of text that are counted together before anything is shuffled; buckets of runs.
 SLICE = 1_500_000
 BUCKETS = 2**26
+#: Buckets whose counts travel in one row; parts that the runs of a language are dealt to; bytes that a task gathers before it packs them.
+RANGE = 2**16
+PARTS = 1024
+GATHERED = 2**25
 
 
 @dataclass
@@ -88,6 +92,7 @@ class Words:
         told = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(stretch.astype(np.int64)), pa.py_buffer(raw[inside])])
         coded = told.dictionary_encode()
         self.codes, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.hashes = _hashes(self.names)
 
 
 #: What a byte is: 1 a blank between words, 2 the end of a piece, 0 part of a word.
@@ -96,18 +101,16 @@ KINDS[list(b"\x20\x09")] = 1
 KINDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 
 
-def _lang_hashes(langs: pa.Array) -> np.ndarray:
+def _hashes(values: pa.Array) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(x) for x in langs.to_pylist()], np.uint64)
+    return np.array([xxh64_intdigest(x) for x in values.to_pylist()], np.uint64)
 
 
 def _buckets(found: Words, langs: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of two words, three and so on, up to one more than `bits` has filters for: the bucket of the run that begins at each word, and
     whether it may be frequent, as it lies within its piece and all shorter runs in it are."""
-    from xxhash import xxh64_intdigest
-
-    hashes = np.array([xxh64_intdigest(w) for w in found.names.to_pylist()], np.uint64)[found.codes]
+    hashes = found.hashes[found.codes]
     size = len(hashes)
     alive, before = np.ones(size, bool), np.ones(size, bool)
     with np.errstate(over="ignore"):
@@ -129,32 +132,58 @@ def _named(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
 
 
+def _packed_counts(buckets: np.ndarray, least: int) -> pa.RecordBatch:
+    """(number, places, counts): how often each bucket is met, up to `least`; a row holds all of one range that are met, two bytes a place and mostly one a count."""
+    told, counts = np.unique(buckets, return_counts=True)
+    number, start = np.unique(told // RANGE, return_index=True)
+    columns = [pa.array(number.astype(np.int32))]
+    for values in ((told % RANGE).astype(np.uint16), np.minimum(counts, least).astype(np.min_scalar_type(2 * least))):
+        offsets = (np.append(start, len(told)) * values.itemsize).astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, ["number", "places", "counts"])
+
+
+def _frequent_buckets(incoming: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(number, bits): of packed counts, one bit a bucket of each range: whether it is met `least` times in all. A range takes `RANGE` short sums at any size of the corpus."""
+    kind = np.min_scalar_type(2 * least)
+    sums: dict[int, np.ndarray] = {}
+    for batch in incoming:
+        for number, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held, at = sums.setdefault(number, np.zeros(RANGE, kind)), np.frombuffer(places, np.uint16)
+            # A sum that has reached `least` needs no more.
+            held[at] = np.minimum(held[at] + np.frombuffer(counts, kind), least)
+    bits = [np.packbits(held >= least, bitorder="little").tobytes() for held in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["number", "bits"])
+
+
 def frequent_runs(docs: DataFrame, longest: int, least: int, text: str = "text", lang: str = "lang") -> list[Broadcast]:
     """For runs of two words, three and so on up to `longest`, one bit a bucket of runs: whether all runs of the bucket together are met `least` times. A run in
     another bucket is no candidate, and in none.
 
-    Counts are added up per bucket; what reaches the driver, and every task from there, are bitmaps of `BUCKETS` bits, 8 MB each at any size of the corpus.
+    Counts are added up per bucket, by ranges of them; what reaches the driver, and every task from there, are bitmaps of `BUCKETS` bits, 8 MB each at any size of the corpus.
     """
     found: list[Broadcast] = []
-    # Spark's bitmaps number values from 1.
-    place = F.col("bucket") + 1
     for _ in range(2, longest + 1):
         known = tuple(found)
 
         def count(incoming: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
             for batch in incoming:
                 for at, n in slices(batch.column("text"), SLICE):
                     part = batch.slice(at, n)
-                    *_, (bucket, alive) = _buckets(Words(part.column("text")), _lang_hashes(part.column("lang")), [b.value for b in known])
-                    told, counts = np.unique(bucket[alive], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(counts)], ["bucket", "n"])
+                    *_, (bucket, alive) = _buckets(Words(part.column("text")), _hashes(part.column("lang")), [b.value for b in known])
+                    held.append(bucket[alive].astype(np.int32))
+                    if sum(x.nbytes for x in held) >= GATHERED:
+                        yield _packed_counts(np.concatenate(held), least)
+                        held = []
                 pa.default_memory_pool().release_unused()
+            if held:
+                yield _packed_counts(np.concatenate(held), least)
 
-        met = _named(docs, text, lang).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        maps = met.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        met = _named(docs, text, lang).mapInArrow(count, "number int, places binary, counts binary").repartition("number")
         bits = np.zeros(BUCKETS // 8, np.uint8)
-        for row in maps:
-            bits[(row["number"] - 1) * len(row["bits"]) :][: len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+        for row in met.mapInArrow(lambda incoming: _frequent_buckets(incoming, least), "number int, bits binary").collect():
+            bits[row["number"] * RANGE // 8 :][: RANGE // 8] = np.frombuffer(row["bits"], np.uint8)
         found.append(docs.sparkSession.sparkContext.broadcast(bits))
     return found
 
@@ -163,15 +192,36 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return pd.factorize(keys)[0].astype(np.int64)
 
 
+def _summed(held: list[pa.Table]) -> pa.Table:
+    """Counted runs of several slices, equal ones added up."""
+    return pa.concat_tables(held).group_by(["part", "lang", "run"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["part", "lang", "run", "n"])
+
+
+def _packed_runs(told: pa.Table) -> pa.RecordBatch:
+    """(lang, part, runs, counts): a row holds all runs of a part of a language, as lines, and their counts. Equal counts stand together, so they take next to nothing once compressed."""
+    told = told.combine_chunks()
+    part, n = told["part"].to_numpy(), told["n"].to_numpy()
+    langs = told["lang"].combine_chunks().dictionary_encode()
+    key = langs.indices.to_numpy().astype(np.int64) * PARTS + part
+    order = np.lexsort((n, key))
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    offsets, first = pa.array(np.append(start, len(key)), pa.int32()), order[start]
+    # No word holds the end of a line.
+    lines = pc.binary_join(pa.ListArray.from_arrays(offsets, told["run"].combine_chunks().take(pa.array(order))), "\n")
+    counts = pa.ListArray.from_arrays(offsets, pa.array(n[order]))
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(langs.indices.to_numpy()[first])), pa.array(part[first]), lines, counts], ["lang", "part", "runs", "counts"])
+
+
 def runs(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, run, size, n): how often each run of up to `longest` words begins at a place; shorter ones where their piece ends.
 
     Runs also end before a word with which they are too rare for any candidate (`frequent_runs`): every word still begins one run, and every frequent
-    run is counted whole, or as the beginning of a longer one.
+    run is counted whole, or as the beginning of a longer one. A task adds up its own runs and sends those of a part as one row.
     """
     filters = frequent_runs(docs, longest, least, text, lang)
 
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in incoming:
             for at, n in slices(batch.column("text"), SLICE):
                 part = batch.slice(at, n)
@@ -183,23 +233,34 @@ def runs(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
                 size, names = len(found.codes), len(found.names) + 1
                 number = _numbered(langs.indices.to_numpy()[found.text] * names + found.codes)
                 length = np.ones(size, np.int64)
-                steps = _buckets(found, _lang_hashes(part.column("lang")), [b.value for b in filters])
+                steps = _buckets(found, _hashes(part.column("lang")), [b.value for b in filters])
                 for k, (_, alive) in zip(range(1, longest), steps, strict=False):
                     length += alive
                     number = _numbered(number * names + np.where(alive, np.roll(found.codes, -k), names - 1))
                 counts, first = np.bincount(number), np.zeros(number.max() + 1, np.int64)
                 first[number[::-1]] = np.arange(size)[::-1]
-                words = []
+                words, mixed = [], np.zeros(len(first), np.uint64)
                 for k in range(longest):
                     at = np.where(length[first] > k, found.codes[np.minimum(first + k, size - 1)], 0)
+                    with np.errstate(over="ignore"):
+                        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.where(length[first] > k, found.hashes[at], np.uint64(0))
                     words.append(found.names.take(pa.array(at, mask=length[first] <= k)))
                 run = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()), null_handling="skip").cast(pa.large_string())
                 told = langs.dictionary.take(pa.array(langs.indices.to_numpy()[found.text[first]]))
-                yield pa.RecordBatch.from_arrays([told.cast(pa.string()), run.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "run", "n"])
+                part = ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(PARTS - 1)).astype(np.int32)
+                held.append(pa.table([pa.array(part), told.cast(pa.string()), run.cast(pa.string()), pa.array(counts, pa.int64())], ["part", "lang", "run", "n"]))
+                if sum(x.nbytes for x in held) >= GATHERED:
+                    held = [_summed(held)]
+                    if 2 * held[0].nbytes >= GATHERED:
+                        yield _packed_runs(held.pop())
                 pa.default_memory_pool().release_unused()
+        if held:
+            yield _packed_runs(_summed(held))
 
-    told = _named(docs, text, lang).mapInArrow(count, "lang string, run string, n long")
-    counted = told.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    packed = _named(docs, text, lang).mapInArrow(count, "lang string, part int, runs string, counts array<long>").repartition("lang", "part")
+    told = packed.select("lang", "part", F.inline(F.arrays_zip(F.split("runs", "\n").alias("run"), F.col("counts").alias("n"))))
+    # Rows of a part are together already, so this needs no other exchange.
+    counted = told.groupBy("lang", "part", "run").agg(F.sum("n").alias("n"))
     return counted.select("lang", "run", (F.length("run") - F.length(F.replace("run", F.lit(" "), F.lit(""))) + 1).alias("size"), "n")
 
 
@@ -259,10 +320,10 @@ def _scored(phrases: DataFrame, found: PhraseGraph, least: int) -> DataFrame:
         counts = level if counts is None else counts.unionByName(level)
     words = F.split("phrase", " ")
     told = phrases.select("lang", "phrase", "a", words.alias("words"))
-    cut = told.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("cut"))
-    parts = cut.select("lang", "phrase", "a", "cut", F.array_join(F.slice("words", F.lit(1), F.col("cut")), " ").alias("left"), F.array_join(F.slice("words", F.col("cut") + 1, F.size("words")), " ").alias("right"))
+    cut = told.select("lang", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("cut"))
+    parts = cut.select("lang", "a", "cut", F.array_join(F.slice("words", F.lit(1), F.col("cut")), " ").alias("left"), F.array_join(F.slice("words", F.col("cut") + 1, F.size("words")), " ").alias("right"))
     both = parts.join(counts.select("lang", F.col("run").alias("left"), F.col("n").alias("l")), ["lang", "left"]).join(counts.select("lang", F.col("run").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-    lowest = both.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "cut", "l", "r")).alias("low"))
+    lowest = both.groupBy("lang", F.concat("left", F.lit(" "), "right").alias("phrase"), "a").agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "cut", "l", "r")).alias("low"))
     return lowest.select("lang", "phrase", "a", "low.l", "low.r", "low.score")
 
 

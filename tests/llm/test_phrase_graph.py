@@ -3,6 +3,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,46 @@ def test_odd_documents_and_empty_tables(spark):
     rows = [(r["lang"], r["text"]) for r in many.select("lang", "text").collect()]
     assert mined(many) == by_hand(rows)
     assert mined(odd.empty(spark)) == []
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_runs_travel_in_less_than_half_of_their_text(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 7))) for _ in range(3000)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    rows = [("en", " ".join(rng.choices(words, weights, k=400))) for _ in range(2500)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2).cache()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled(spark)
+    found = {tuple(r["run"].split(" ")): r["n"] for r in phrase_graph.runs(docs).where("size = 3").collect()}
+    assert 0 < shuffled(spark) - before < size / 2
+    every = counted(rows, 3)
+    assert {w for (_, w), n in every.items() if len(w) == 3 and n >= 10} <= found.keys() and all(n == every["en", w] for w, n in found.items())
+    docs.unpersist()
+
+
+@pytest.mark.parametrize("least", [1, 10, 300])
+def test_packed_counts_find_the_frequent_buckets(least):
+    rng = np.random.default_rng(least)
+    edges = [0, phrase_graph.RANGE - 1, phrase_graph.RANGE, phrase_graph.BUCKETS - 1]
+    batches = [np.concatenate((rng.integers(0, 2000, 30 * least), rng.integers(0, phrase_graph.BUCKETS, 500), edges * (2 * least), [7] * 70_000)).astype(np.int32) for _ in range(3)]
+    (told,) = phrase_graph._frequent_buckets(iter([phrase_graph._packed_counts(b, least) for b in batches]), least)
+    bits = np.zeros(phrase_graph.BUCKETS, bool)
+    for number, held in zip(*(c.to_pylist() for c in told.columns), strict=True):
+        bits[number * phrase_graph.RANGE :][: phrase_graph.RANGE] = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")
+    assert np.flatnonzero(bits).tolist() == np.flatnonzero(np.bincount(np.concatenate(batches)) >= least).tolist()
+    assert all(bits[e] for e in edges)
+
+
+def test_tasks_that_send_many_times_count_the_same(spark, monkeypatch):
+    rows = texts(11, 200)
+    monkeypatch.setattr(phrase_graph, "SLICE", 700)
+    monkeypatch.setattr(phrase_graph, "GATHERED", 3000)
+    assert mined(spark.createDataFrame(rows, "lang string, text string").repartition(3)) == by_hand(rows)
