@@ -60,31 +60,87 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return counts
 
 
-def _common_subsequence(word: str, others: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of a word of up to 64 characters with each of the others, bit-parallel over them."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(word):
-        places[c] = places.get(c, 0) | 1 << i
-    size = max(map(len, others))
-    grid = np.zeros((size, len(others)), np.uint64)
-    for j, other in enumerate(others):
-        grid[: len(other), j] = [places.get(c, 0) for c in other]
-    free = np.full(len(others), 2**64 - 1, np.uint64)
-    for row in grid:
-        met = free & row
-        free = (free + met) | (free - met)
-    return np.bitwise_count(~free & np.uint64((1 << len(word)) - 1)).astype(np.int64)
-
-
-def could_match(word: str, others: list[str], counts: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
-    """Places of the others whose ratio with the word may reach `least`. Matching characters are common letters in common order, so
-    neither bound turns away a pair that reaches it."""
-    sizes = np.fromiter(map(len, others), np.int64, len(others))
-    needed = least * (sizes + len(word)) - 1e-9
-    near = np.flatnonzero(2 * np.minimum(counts, own[None, :]).sum(axis=1) >= needed)
-    if len(near) and len(word) <= 64:
-        near = near[2 * _common_subsequence(word, [others[i] for i in near.tolist()]) >= needed[near]]
-    return near
+def gram_codes(words: list[str], q: int) -> list[np.ndarray]:
+    """The grams of q characters (two, three, or 0 for none) of each word as numbers. A gram's second place in a word is another number than its first, so two words
+    share as many numbers as grams; equal numbers of different grams can but add to that."""
+    owner, points = _points(words)
+    ends = len(points) - q + 1
+    if ends <= 0 or not q:
+        return [np.zeros(0, np.uint64) for _ in words]
+    codes = np.zeros(ends, np.uint64)
+    for i in range(q):
+        codes = (codes << np.uint64(21)) | points[i : i + ends]
+    whole = owner[:ends] == owner[q - 1 :]
+    owner, codes = owner[:ends][whole], codes[whole]
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    place, new = np.arange(len(codes)), np.ones(len(codes), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])
+    times = place - np.maximum.accumulate(np.where(new, place, 0))
+    codes = (codes ^ (times.astype(np.uint64) << np.uint64(48))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.split(codes, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+
+
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its word, code point) of every character."""
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return owner, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+class Held:
+    """Words that others are compared with, all at a time."""
+
+    def __init__(self, words: list[str], q: int) -> None:
+        self.q, self.sizes, self.counts = q, np.fromiter(map(len, words), np.int64, len(words)), letter_counts(words)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.alphabet, letters = np.unique(_points(words)[1], return_inverse=True)
+        self.letters = letters.astype(np.int32)
+        told = gram_codes(words, q)
+        codes, owner = np.concatenate([np.zeros(0, np.uint64), *told]), np.repeat(np.arange(len(words)), [len(x) for x in told])
+        order = np.argsort(codes, kind="stable")
+        # For each gram the words that have it.
+        self.grams, bounds = np.unique(codes[order], return_index=True)
+        self.bounds, self.owner = np.append(bounds, len(codes)), owner[order]
+        self.needs: dict[tuple[float, int], np.ndarray] = {}
+
+    def shared(self, codes: np.ndarray) -> np.ndarray:
+        """How many grams a word, of these `gram_codes`, shares with each word."""
+        at = np.searchsorted(self.grams, codes)
+        inside = at < len(self.grams)
+        at = at[inside][self.grams[at[inside]] == codes[inside]]
+        lists = [self.owner[a:b] for a, b in zip(self.bounds[at].tolist(), self.bounds[at + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(lists), minlength=len(self.sizes)) if lists else np.zeros(len(self.sizes), np.int64)
+
+    def needed(self, least: float, size: int) -> np.ndarray:
+        """How many grams a word of `size` characters must share with each word to reach the ratio `least`: 0 where none is sure to be shared, more than
+        there are where the lengths rule it out."""
+        if (least, size) not in self.needs:
+            sizes = np.arange(self.sizes.max(initial=0) + 1)
+            need = np.maximum(np.ceil(least_shared(least, (size + sizes).astype(float), self.q) - 1e-9), 0) if self.q else 0
+            self.needs[least, size] = np.where(2 * np.minimum(size, sizes) >= least * (size + sizes) - 1e-9, need, size + 1).astype(np.int64)
+        return self.needs[least, size][self.sizes]
+
+    def common_subsequence(self, word: str, near: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of a word of up to 64 characters with the words at `near`, bit-parallel over them."""
+        masks = np.zeros(len(self.alphabet) + 1, np.uint64)
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        np.bitwise_or.at(masks, np.where(np.isin(points, self.alphabet), np.searchsorted(self.alphabet, points), len(self.alphabet)), np.uint64(1) << np.arange(len(word), dtype=np.uint64))
+        masks[-1] = 0
+        free, starts, sizes = np.full(len(near), 2**64 - 1, np.uint64), self.starts[near], self.sizes[near]
+        for j in range(int(sizes.max(initial=0))):
+            row = np.where(j < sizes, masks[self.letters[np.minimum(starts + j, len(self.letters) - 1)]], np.uint64(0))
+            met = free & row
+            free = (free + met) | (free - met)
+        return np.bitwise_count(~free & np.uint64((1 << len(word)) - 1)).astype(np.int64)
+
+    def could_match(self, word: str, counts: np.ndarray, codes: np.ndarray, least: float) -> np.ndarray:
+        """Places of the words whose ratio with `word`, of these `letter_counts` and `gram_codes`, may reach `least`. Matching characters are common letters in
+        common order, in blocks that leave grams whole, so none of the bounds turns away a pair that reaches it."""
+        near = np.flatnonzero((self.shared(codes) if self.q else 0) >= self.needed(least, len(word)))
+        least_common = least * (self.sizes[near] + len(word)) - 1e-9
+        kept = 2 * np.minimum(self.counts[near], counts).sum(axis=1, dtype=np.int32) >= least_common
+        near, least_common = near[kept], least_common[kept]
+        return near[2 * self.common_subsequence(word, near) >= least_common] if len(near) and len(word) <= 64 else near
 
 
 def least_shared(least: float, size: Column | float, q: int) -> Column | float:
@@ -157,9 +213,9 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         for frame in frames:
             for own, others in zip(frame["as"], frame["bs"], strict=True):
                 (keys, names), (ids, titles) = ([[r[c] for r in side] for c in ("id", "title")] for side in (own, others))
-                counts, rows = letter_counts(titles), []
-                for key, title, held in zip(keys, names, letter_counts(names), strict=True):
-                    rows += [(key, ids[i]) for i in could_match(title, titles, counts, held, least).tolist()]
+                held, rows = Held(titles, 0), []
+                for key, title, counts, codes in zip(keys, names, letter_counts(names), gram_codes(names, 0), strict=True):
+                    rows += [(key, ids[i]) for i in held.could_match(title, counts, codes, least).tolist()]
                 yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     return meet.join(a.select("a", "as"), "a").join(b.select("b", "bs"), "b").select("as", "bs").mapInPandas(run, "a long, b long")
