@@ -1,101 +1,87 @@
-"""Pages to citation-sized chunks, chunks to retrieval windows: native folds over arrays of paragraphs."""
+"""Pages to citation-sized chunks, chunks to retrieval windows: folds over the paragraphs of a text, a row at a time."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import PARAGRAPH, SPACES, embed_text, let, strip
+from pagemill.functions.text import PARAGRAPH, SPACES, embed_text
 
 LEAST, MOST, OVERLAP = 200, 2000, 200
 WINDOW_MOST, WINDOW_OVERLAP, WINDOW_LEAST = 600, 120, 150
 SLACK = 1.5
 
 
-def _state(parts: Column, held: Column) -> Column:
-    return F.struct(parts.alias("parts"), held.alias("held"))
-
-
-def _empty() -> Column:
-    return _state(F.array().cast("array<string>"), F.lit(""))
-
-
-def _tail(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.substring(text, F.length(text) - n + 1, F.lit(n))).otherwise(text)
-
-
-def fold_small(parts: Column, least: int) -> Column:
+def fold_small(parts: list[str], least: int) -> list[str]:
     """Parts under `least` characters joined to the one before; a small first one to the one after."""
+    out: list[str] = []
+    for part in parts:
+        if out and len(part) < least:
+            out[-1] = f"{out[-1]}\n\n{part}"
+        else:
+            out.append(part)
+    if len(out) >= 2 and len(out[0]) < least:
+        out[:2] = [f"{out[0]}\n\n{out[1]}"]
+    return out
+
+
+def sliced(parts: list[str], most: int, overlap: int) -> list[str]:
+    """Parts over one and a half times `most` cut into overlapping slices of `most`."""
+    return [s for p in parts for s in ([p] if len(p) <= int(most * SLACK) else [p[i : i + most] for i in range(0, len(p), most - overlap)])]
 
-    def add(out: Column, part: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit("\n\n"), part)))
-        return F.when((F.size(out) > 0) & (F.length(part) < least), joined).otherwise(F.concat(out, F.array(part)))
-
-    def lead(out: Column) -> Column:
-        first = F.concat(F.element_at(out, 1), F.lit("\n\n"), F.element_at(out, 2))
-        return F.when((F.size(out) >= 2) & (F.length(F.get(out, F.lit(0))) < least), F.concat(F.array(first), F.slice(out, 3, F.size(out)))).otherwise(out)
 
-    return F.aggregate(parts, F.array().cast("array<string>"), add, lead)
+def _packed(pieces: list[str], most: int, overlap: int, least: int, between: str) -> list[str]:
+    """Pieces put together until the next would make over `most` characters and there are `least`; each part is led by the end of the one before."""
+    out, held = [], ""
+    for piece in pieces:
+        if len(held) >= least and len(held) + len(piece) + len(between) > most:
+            out.append(held.strip())
+            held = held[max(0, len(held) - overlap) :] + between + piece
+        else:
+            held = held + between + piece if held else piece
+    rest = held.strip()
+    return [*out, rest] if rest else out
 
 
-def sliced(parts: Column, most: int, overlap: int) -> Column:
-    """Parts over one and a half times `most` cut into overlapping slices of `most`."""
-    def cut(part: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(part), F.lit(most - overlap))
-        return F.when(F.length(part) <= int(most * SLACK), F.array(part)).otherwise(F.transform(starts, lambda at: F.substring(part, at, F.lit(most))))
+def _by_row(split: Callable[[str], list[str]], text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else split(t) for t in texts], dtype=object)
 
-    return F.flatten(F.transform(parts, cut))
+    return run(text)
 
 
 def split_long(text: Column, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, paragraph: str = PARAGRAPH) -> Column:
     """Parts of a long text, broken between paragraphs once the part at hand can stand alone."""
+    ends = re.compile(paragraph)
 
-    def add(acc: Column, p: Column) -> Column:
-        held = acc["held"]
-        full = (F.length(held) >= least) & (F.length(held) + F.length(p) + 2 > most)
-        broken = _state(F.concat(acc["parts"], F.array(strip(held))), F.concat(_tail(held, overlap), F.lit("\n\n"), p))
-        longer = _state(acc["parts"], F.when(held != "", F.concat(held, F.lit("\n\n"), p)).otherwise(p))
-        return F.when(full, broken).otherwise(longer)
-
-    def close(acc: Column) -> Column:
-        rest = strip(acc["held"])
-        return F.when(rest != "", F.concat(acc["parts"], F.array(rest))).otherwise(acc["parts"])
-
-    packed = F.aggregate(F.split(text, paragraph), _empty(), add, close)
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(fold_small(sliced(packed, most, overlap), least))
-
-
-def _sentences(paragraph: Column, most: int, overlap: int) -> Column:
-    """A paragraph over `most` packed sentence by sentence, each part led by the end of the one before."""
+    def split(whole: str) -> list[str]:
+        return [whole] if len(whole) <= most else fold_small(sliced(_packed(ends.split(whole), most, overlap, least, "\n\n"), most, overlap), least)
 
-    def add(acc: Column, s: Column) -> Column:
-        held = acc["held"]
-        full = (held != "") & (F.length(held) + F.length(s) + 1 > most)
-        broken = _state(F.concat(acc["parts"], F.array(strip(held))), F.concat(_tail(held, overlap), F.lit(" "), s))
-        return F.when(full, broken).otherwise(_state(acc["parts"], F.when(held != "", F.concat(held, F.lit(" "), s)).otherwise(s)))
-
-    def close(acc: Column) -> Column:
-        rest = strip(acc["held"])
-        return F.when(rest != "", F.concat(acc["parts"], F.array(rest))).otherwise(acc["parts"])
-
-    packed = F.aggregate(F.split(paragraph, rf"(?<=[.!?]){SPACES}+"), _empty(), add, close)
-    return F.when(F.length(paragraph) <= most, F.array(paragraph)).otherwise(packed)
+    return _by_row(split, text)
 
 
 def split_windows(text: Column, most: int = WINDOW_MOST, overlap: int = WINDOW_OVERLAP, least: int = WINDOW_LEAST, paragraph: str = PARAGRAPH) -> Column:
     """The windows of a chunk: paragraphs, or sentences of long ones, packed up to `most`; never none."""
-    blocks = F.filter(F.transform(F.split(text, paragraph), strip), lambda p: p != "")
-    pieces = F.flatten(F.transform(blocks, lambda p: _sentences(p, most, overlap)))
-
-    def add(acc: Column, p: Column) -> Column:
-        held = acc["held"]
-        full = (held != "") & (F.length(held) + F.length(p) + 2 > most)
-        return F.when(full, _state(F.concat(acc["parts"], F.array(held)), p)).otherwise(_state(acc["parts"], F.when(held != "", F.concat(held, F.lit("\n\n"), p)).otherwise(p)))
-
-    packed = F.aggregate(pieces, _empty(), add, lambda acc: F.when(acc["held"] != "", F.concat(acc["parts"], F.array(acc["held"]))).otherwise(acc["parts"]))
-    return let(fold_small(sliced(packed, most, overlap), least), lambda out: F.when(F.size(out) > 0, out).otherwise(F.array(text)))
+    ends, sentence = re.compile(paragraph), re.compile(rf"(?<=[.!?]){SPACES}+")
+
+    def split(whole: str) -> list[str]:
+        parts, held = [], ""
+        for block in filter(None, map(str.strip, ends.split(whole))):
+            for piece in [block] if len(block) <= most else _packed(sentence.split(block), most, overlap, 1, " "):
+                if held and len(held) + len(piece) + 2 > most:
+                    parts.append(held)
+                    held = piece
+                else:
+                    held = f"{held}\n\n{piece}" if held else piece
+        return fold_small(sliced([*parts, held] if held else parts, most, overlap), least) or [whole]
+
+    return _by_row(split, text)
 
 
 def merge_tiny(units: DataFrame, book: str = "book_file", position: str = "position", text: str = "text", least: int = LEAST) -> DataFrame:

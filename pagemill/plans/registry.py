@@ -86,10 +86,9 @@ def _with_vectors(spark: SparkSession, sf_dir: str, windows: DataFrame, number:
 def hybrid_search(spark, sf_dir):
     """Four channels (vectors, any term, all terms, near spellings), fused, re-scored by the stand-in scorer, diversified and cited."""
     chunks = stored_table(chunking.chunk_units(units(spark, sf_dir), PARAGRAPH).drop("embed_text", "content_sha"), "chunks")
-    windows = stored_table(chunking.chunk_windows(chunks, PARAGRAPH).select("id", "chunk_id", "text"), "windows")
-    with_vectors = _with_vectors(spark, sf_dir, windows.select("id", "chunk_id"), F.regexp_extract("chunk_id", r"::([0-9]+)\.jpeg::", 1).cast("long"))
+    windows = _with_vectors(spark, sf_dir, chunking.chunk_windows(chunks, PARAGRAPH).select("id", "chunk_id"), F.regexp_extract("chunk_id", r"::([0-9]+)\.jpeg::", 1).cast("long"))
     ix, asked = index.build_index(chunks, "text", "author", "book_title"), probes(spark, sf_dir)
-    best = retrieval.search(ix, chunks, with_vectors, asked, _query_vectors(spark, sf_dir), scorer=retrieval.overlap_score, texts=windows)
+    best = retrieval.search(ix, chunks, windows, asked, _query_vectors(spark, sf_dir), scorer=retrieval.overlap_score, texts=lambda near: chunking.chunk_windows(near, PARAGRAPH))
     told = retrieval.results(best, chunks, asked)
     return told.select("query_id", "rank", F.bround("score", 4).alias("score"), "citation", "excerpt", "id")
 
