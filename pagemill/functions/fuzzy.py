@@ -21,8 +21,10 @@ from pagemill.session import ensure_checkpoint_dir
 
 TITLE_RATIO = 0.6
 CONTAINED_LEAST = 6
-#: Titles of a block; blocks meet blocks.
-BLOCK = 2048
+#: Titles of a block, at the least where there are enough for `FEW_BLOCKS` and at the most; blocks meet blocks.
+BLOCK, FEW_BLOCKS, BLOCK_MOST = 2048, 8, 16_384
+#: Characters of titles that are compared with others at a time.
+CHARS = 1_000_000
 
 
 @F.pandas_udf(DoubleType())
@@ -153,50 +155,38 @@ def least_shared(least: float, size: Column | float, q: int) -> Column | float:
 
 
 GRAM = 3
-#: Above this ratio titles are found by the grams that they share; `GRAM_RARE` of the rarest must be met.
+#: Above this ratio titles must share grams of three characters.
 GRAM_RATIO = 0.8
-GRAM_RARE = 3
-PLACES = 16
 
 
-def _grams(titles: DataFrame) -> DataFrame:
-    at = F.sequence(F.lit(1), F.length("title") - (GRAM - 1))
-    return titles.where(F.length("title") >= GRAM).select("id", F.length("title").alias("size"), F.posexplode(F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(GRAM)))).alias("place", "gram"))
+def _block_count(n: int) -> int:
+    """Blocks of n titles: a few if there are enough titles, so that all cores have some, and more as they would grow over `BLOCK_MOST`."""
+    return max(1, -(-n // BLOCK_MOST), min(-(-n // BLOCK), FEW_BLOCKS))
 
 
-def gram_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b): ids of titles (id, title) whose ratio may be `least`, by an inverted index of the grams of `right`.
-
-    The rarest grams of a left title are looked up, all but as many as it must share with whatever matches it, less `GRAM_RARE`. Filters, all of
-    which follow from the ratio: lengths; places, as no matched character can move further than the unmatched ones let it; and the count of
-    grams met. Titles too short to be sure of a gram are left to `block_pairs`.
-    """
-    index = _grams(right)
-    rarity = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    need = F.ceil(F.lit(least_shared(least, 1.0, GRAM) + (GRAM - 1)) * F.col("size") * (2 / (2 - least)) - (GRAM - 1) - 1e-9)
-    asked = _grams(left).withColumn("need", need).where("need >= 1").withColumn("met", F.least("need", F.lit(GRAM_RARE)))
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "gram", "place"))
-    rare = asked.join(rarity, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("turn", place).where(F.col("turn") <= F.col("size") - (GRAM - 1) - F.col("need") + F.col("met"))
-    reach = F.ceil(F.col("size") * F.lit(2 * (1 - least) / least) + 1)
-    cells = F.sequence(F.floor((F.greatest(F.col("place") - reach, F.lit(0))) / PLACES), F.floor((F.col("place") + reach) / PLACES))
-    probes = rare.where("df > 0").select("gram", F.explode(cells).alias("cell"), F.col("id").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), "met")
-    held = index.select("gram", F.floor(F.col("place") / PLACES).alias("cell"), F.col("id").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"))
-    half = F.lit(least / 2) * (F.col("m") + F.col("n")) - 1e-9
-    near = (F.least("m", "n") >= half) & (F.col("i") - F.col("j") <= F.col("m") - half) & (F.col("j") - F.col("i") <= F.col("n") - half)
-    found = probes.join(held, ["gram", "cell"]).where(near).select("a", "b", "i", "met").distinct()
-    return found.groupBy("a", "b", "met").agg(F.count(F.lit(1)).alias("shared")).where("shared >= met").select("a", "b")
+def slices(words: list[str], most: int) -> Iterator[slice]:
+    """Stretches of words of up to `most` characters together, or of one word."""
+    first, chars = 0, 0
+    for i, word in enumerate(words):
+        if i > first and chars + len(word) > most:
+            yield slice(first, i)
+            first, chars = i, 0
+        chars += len(word)
+    if first < len(words):
+        yield slice(first, len(words))
 
 
 def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b): ids of titles (id, title) whose ratio may be `least`, blocks with blocks of lengths that can match.
 
-    For ratios at which no gram is sure to be shared. Common letters and then common subsequences are counted for whole blocks at a time; what
-    they leave is nearly all alike.
+    Above `GRAM_RATIO` the grams that two titles share are counted by an index of a block, in the task that has it. Common letters and then common
+    subsequences are counted for whole blocks at a time; what they leave is nearly all alike. Nothing but titles is sent between tasks.
     """
     ensure_checkpoint_dir(left.sparkSession)
+    q = GRAM if least > GRAM_RATIO else 0
 
     def blocks(titles: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-titles.count() // BLOCK))
+        n = _block_count(titles.count())
         # Blocks of like lengths: a block is a stretch of the lengths' quantiles.
         steps = titles.agg(F.percentile_approx(F.length("title"), [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
         low = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x < F.length("title"))) if steps else F.lit(0)
@@ -213,11 +203,14 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         for frame in frames:
             for own, others in zip(frame["as"], frame["bs"], strict=True):
                 (keys, names), (ids, titles) = ([[r[c] for r in side] for c in ("id", "title")] for side in (own, others))
-                held, rows = Held(titles, 0), []
-                for key, title, counts, codes in zip(keys, names, letter_counts(names), gram_codes(names, 0), strict=True):
-                    rows += [(key, ids[i]) for i in held.could_match(title, counts, codes, least).tolist()]
-                yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
-
+                for some in slices(titles, CHARS):
+                    held, rows = Held(titles[some], q), []
+                    for own_ in slices(names, CHARS):
+                        for key, title, counts, codes in zip(keys[own_], names[own_], letter_counts(names[own_]), gram_codes(names[own_], q), strict=True):
+                            rows += [(key, ids[some.start + i]) for i in held.could_match(title, counts, codes, least).tolist()]
+                    yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    # A row is two blocks; a batch is not more than a few.
     return meet.join(a.select("a", "as"), "a").join(b.select("b", "bs"), "b").select("as", "bs").mapInPandas(run, "a long, b long")
 
 
@@ -238,18 +231,79 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return held(left, right).select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(held(right, left).select(F.col("l").alias("a"), F.col("s").alias("b")))
 
 
+def _anchors(words: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its word, hash) of the anchors of each word: for every stretch of `least` characters the gram in it with the smallest hash. A word
+    within another has no other anchors than that one."""
+    q = max(1, 3 * least // 5)
+    owner, points = _points(words)
+    ends = len(points) - q + 1
+    if ends <= least - q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.zeros(ends, np.uint64)
+    for i in range(q):
+        codes = codes * np.uint64(0x100000001B3) + points[i : i + ends] + np.uint64(1)
+    codes = (codes ^ (codes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    codes ^= codes >> np.uint64(32)
+    stretches = ends - (least - q)
+    low = codes[:stretches].copy()
+    for i in range(1, least - q + 1):
+        np.minimum(low, codes[i : i + stretches], out=low)
+    whole = owner[:stretches] == owner[least - 1 : least - 1 + stretches]
+    owner, low = owner[:stretches][whole], low[whole]
+    new = np.ones(len(low), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (low[1:] != low[:-1])
+    return owner[new], low[new].view(np.int64)
+
+
+def anchored(titles: DataFrame, least: int) -> DataFrame:
+    """(id, anchor) of titles (id, title) of `least` characters and more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, words = frame["id"].to_numpy(), frame["title"].tolist()
+            for some in slices(words, CHARS):
+                owner, codes = _anchors(words[some], least)
+                yield pd.DataFrame({"id": ids[some][owner], "anchor": codes}).drop_duplicates()
+
+    return titles.where(F.length("title") >= least).select("id", "title").mapInPandas(run, "id long, anchor long")
+
+
+def _with_texts(met: DataFrame, short: DataFrame, long: DataFrame) -> DataFrame:
+    """Of pairs (s, l) those whose long title holds the short one."""
+    texts = met.join(short.select(F.col("id").alias("s"), F.col("title").alias("s_title")), "s").join(long.select(F.col("id").alias("l"), F.col("title").alias("l_title")), "l")
+    return texts.where(F.col("l_title").contains(F.col("s_title"))).select("s", "l")
+
+
+def _both_ways(held: Callable[[DataFrame, DataFrame], DataFrame], left: DataFrame, right: DataFrame) -> DataFrame:
+    return held(left, right).select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(held(right, left).select(F.col("l").alias("a"), F.col("s").alias("b")))
+
+
 def text_pairs(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """(a, b): ids of titles of which one, of `least` characters and more, stands in the other, by the rarest gram of the shorter one."""
+    """(a, b): ids of titles of which one, of `least` characters and more, stands in the other, by the rarest anchor of the shorter one."""
 
     def held(short: DataFrame, long: DataFrame) -> DataFrame:
-        grams = _grams(long).select("id", "gram").distinct()
-        df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        rarest = _grams(short.where(F.length("title") >= least)).join(df, "gram", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rare")).where("rare.df > 0")
-        met = rarest.select(F.col("id").alias("s"), F.col("rare.gram").alias("gram")).join(grams.select("gram", F.col("id").alias("l")), "gram")
-        texts = met.join(short.select(F.col("id").alias("s"), F.col("title").alias("s_title")), "s").join(long.select(F.col("id").alias("l"), F.col("title").alias("l_title")), "l")
-        return texts.where(F.col("l_title").contains(F.col("s_title"))).select("s", "l")
+        most = long.agg(F.max(F.length("title"))).first()[0] or 0
+        asked, told = anchored(short.where(F.length("title") <= most), least), anchored(long, least)
+        df = told.join(asked.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
+        # A title one of whose anchors is in no other stands in none.
+        rarest = asked.join(df, "anchor", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "anchor")).alias("rare")).where("rare.df > 0")
+        return _with_texts(rarest.select(F.col("id").alias("s"), F.col("rare.anchor").alias("anchor")).join(told.select("anchor", F.col("id").alias("l")), "anchor").select("s", "l"), short, long)
 
-    return held(left, right).select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(held(right, left).select(F.col("l").alias("a"), F.col("s").alias("b")))
+    return _both_ways(held, left, right)
+
+
+def part_pairs(left: DataFrame, right: DataFrame, least: int, most: int, share: float) -> DataFrame:
+    """(a, b): ids of titles of which one, of `least` to `most` characters and at least `share` of the other's, stands in the other: by all parts of
+    such lengths, of which a title has few if the share is large."""
+
+    def held(short: DataFrame, long: DataFrame) -> DataFrame:
+        size = F.length("title")
+        sizes = F.sequence(F.greatest(F.lit(least), F.ceil(size * F.lit(share) - 1e-9)).cast("int"), F.least(F.lit(most), size))
+        parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col("title"), at, n))))
+        told = long.where((size >= least) & (size * F.lit(share) <= most + 1e-9)).select(F.col("id").alias("l"), F.explode(F.array_distinct(parts)).alias("part"))
+        return short.where(size.between(least, most)).select(F.col("id").alias("s"), F.col("title").alias("part")).join(told, "part").select("s", "l")
+
+    return _both_ways(held, left, right)
 
 
 def pair_candidates(left: DataFrame, right: DataFrame, least: float, holding: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -257,11 +311,8 @@ def pair_candidates(left: DataFrame, right: DataFrame, least: float, holding: Ca
     ensure_checkpoint_dir(left.sparkSession)
     own, others = (side.select("title").where("title is not null and title <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "title").checkpoint() for side in (left, right))
     if least > GRAM_RATIO:
-        # Up to this length a title and whatever matches it may share no gram.
-        short = int((GRAM - 1) * (2 - least) / (2 * (least_shared(least, 1.0, GRAM) + GRAM - 1)))
-        few = F.length("title") <= short
         most = own.agg(F.max(F.length("title"))).first()[0] or 0
-        found = gram_pairs(own, others.where(F.length("title") <= most * (2 - least) / least), least).unionByName(block_pairs(own.where(few), others.where(F.length("title") <= short * (2 - least) / least), least))
+        found = block_pairs(own, others.where(F.length("title") <= most * (2 - least) / least), least)
     else:
         found = block_pairs(own, others, least)
     if holding is not None:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.fuzzy import TITLE_RATIO, text_pairs, title_pairs, titles_match
+from pagemill.functions.fuzzy import TITLE_RATIO, part_pairs, text_pairs, title_pairs, titles_match
 from pagemill.functions.text import normalized, strip
 from pagemill.functions.titles import confident
 
@@ -68,6 +67,11 @@ def _alike(q: str, t: str) -> float:
     return score if score >= ACCEPTED else 0.0
 
 
+def _holding(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of titles that `_alike` accepts for one standing in the other."""
+    return text_pairs(left, right, CONTAINED_CHARS).unionByName(part_pairs(left, right, LEAST_CHARS, CONTAINED_CHARS - 1, CONTAINED_SHARE))
+
+
 def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     """(work, position, score, how, tie): the entry of a bibliography that each work (work, isbn, titles) is.
 
@@ -80,15 +84,15 @@ def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     exact = by_isbn.select("work", "position", F.lit(1.0).alias("score"), F.lit("isbn").alias("how"), F.lit(False).alias("tie"))
     asked = keyed.join(by_isbn, "work", "left_anti").select("work", F.explode("titles").alias("title")).where("title <> '' and not startswith(title, 'Untitled (')")
     guesses = asked.select("work", folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full")).where((F.length("main") >= LEAST_CHARS) & ~F.col("main").isin(*GENERIC)).distinct()
-    scored = None
-    for form in ("main", "full"):
-        alike = title_pairs(guesses.select(F.col(form).alias("title")), usable.select(F.col(form).alias("title")), ACCEPTED, _alike, lambda a, b: text_pairs(a, b, LEAST_CHARS))
-        met = guesses.select("work", F.col(form).alias("a")).distinct().join(alike, "a").join(usable.select("position", F.col(form).alias("b")), "b").select("work", "position", "score")
-        scored = met if scored is None else scored.unionByName(met)
-    best = scored.groupBy("work", "position").agg(F.max("score").alias("score"))
-    order = W.partitionBy("work").orderBy(F.desc("score"), "position")
-    placed = best.select("*", F.row_number().over(order).alias("place"), (F.lead("score").over(order) == F.col("score")).alias("next"))
-    titled = placed.where("place = 1").select("work", "position", "score", F.lit("title").alias("how"), F.coalesce("next", F.lit(False)).alias("tie"))
+    forms = lambda rows: F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("title")) for f in ("main", "full")]))
+    wanted, listed = (rows.select(key, forms(rows).alias("f")).select(key, "f.form", "f.title") for rows, key in ((guesses, "work"), (usable, "position")))
+    # A title that all of a work's forms or many entries share is compared once.
+    alike = title_pairs(wanted, listed, ACCEPTED, _alike, _holding).checkpoint()
+    entry = listed.groupBy("form", F.col("title").alias("b")).agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    low = lambda rows: rows.agg(F.min(F.struct((-F.col("score")).alias("less"), "first")).alias("low"), F.max(F.struct("score", "last")).alias("high")).withColumns({"score": F.col("high.score"), "first": F.col("low.first"), "last": F.col("high.last")}).drop("low", "high")
+    best = low(alike.join(entry, "b").groupBy("form", "a"))
+    found = low(wanted.distinct().join(best.withColumnRenamed("a", "title"), ["form", "title"]).groupBy("work"))
+    titled = found.select("work", F.col("first").alias("position"), "score", F.lit("title").alias("how"), (F.col("first") != F.col("last")).alias("tie"))
     return exact.unionByName(titled)
 
 

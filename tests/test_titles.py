@@ -59,6 +59,35 @@ def test_gram_index_asks_far_less_than_all_pairs(spark):
     assert n < 0.01 * 2000 * 1300
 
 
+def test_one_common_gram_or_title_makes_no_pairs(spark):
+    # Every title has the same grams, and one entry stands in the table many times.
+    rnd = random.Random(2)
+    words = ["thand", "andth", "dthan", "hendt", "ntheh"]
+    made = lambda n: [" ".join(rnd.choices(words, k=10)) for _ in range(n)]
+    left, right = made(300), [*made(300), "the winter harbour of old iron roads and letters"]
+    table = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id long, title string")
+    right += [f"xx {t[:25]} yy" for t in left[:20]] + [t[3:40] for t in left[20:40]] + ["short one", "short o"]
+    left += ["a winter harbour of old iron roads and letters", "short one"]
+    texts = {(left[r["a"]], right[r["b"]]) for r in fuzzy.text_pairs(table(left), table(right), 20).collect()}
+    assert texts == {(a, b) for a in left for b in right if a in b and len(a) >= 20 or b in a and len(b) >= 20} and texts
+    parts = {(left[r["a"]], right[r["b"]]) for r in fuzzy.part_pairs(table(left), table(right), 6, 19, 0.7).collect()}
+    assert parts == {("short one", "short one"), ("short one", "short o")}
+    grams = lambda frame: frame._jdf.queryExecution().toString()
+    found = fuzzy.block_pairs(table(left), table(right), 0.85)
+    # Counts of grams stay in tasks: no plan explodes them.
+    assert "Generate posexplode" not in grams(found) and "posexplode" not in grams(fuzzy.pair_candidates(table(left), table(right), 0.85)[0])
+    want = {(a, b) for a, s in enumerate(left) for b, t in enumerate(right) if difflib.SequenceMatcher(None, s, t).ratio() >= 0.85}
+    assert want <= {(r["a"], r["b"]) for r in found.collect()}
+
+
+def test_bibliography_ties_over_equal_titles_and_forms(spark):
+    works = spark.createDataFrame([(f"w{i}", "", t) for i, t in enumerate([["The Long Sea: Trade"], ["The Long Sea: Trade"], ["The Iron Roads", "The Long Sea"], ["Alone In Winter"], ["Preface"]])], "work string, isbn string, titles array<string>")
+    entries = [*["The Long Sea: Trade"] * 3, "The Iron Roads", "The Iron Road", "Alone In Winter: Two"]
+    listed = spark.createDataFrame([(i, "BOOK", t, "", "") for i, t in enumerate(entries)], "position int, type string, title string, container string, isbn string")
+    got = {r["work"]: (r["position"], r["tie"], r["score"]) for r in resolve.match_bibliography(works, listed).collect()}
+    assert got == {"w0": (0, True, 0.99), "w1": (0, True, 0.99), "w2": (0, True, 0.99), "w3": (5, False, 0.99)}
+
+
 def _plain(title):
     return " ".join(title.lower().split())
 
