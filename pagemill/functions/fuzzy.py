@@ -197,7 +197,7 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     (a, n), (b, m) = blocks(left, "a"), blocks(right, "b")
     fits = (F.col("a_most") >= F.lit(least / (2 - least)) * F.col("b_least")) & (F.col("b_most") >= F.lit(least / (2 - least)) * F.col("a_least"))
-    meet = a.select("a", "a_least", "a_most", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b")).join(b.drop("bs"), "b").where(fits).select("a", "b").repartition(max(8, min(n * m, 10_000)), "a", "b")
+    meet = a.select("a", "a_least", "a_most", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b")).join(b.drop("bs"), "b").where(fits).select("a", "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,8 +210,9 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
                             rows += [(key, ids[some.start + i]) for i in held.could_match(title, counts, codes, least).tolist()]
                     yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    # A row is two blocks; a batch is not more than a few.
-    return meet.join(a.select("a", "as"), "a").join(b.select("b", "bs"), "b").select("as", "bs").mapInPandas(run, "a long, b long")
+    # A row is two blocks; they are dealt out once more, or a block's rows would be one task.
+    dealt = meet.join(a.select("a", "as"), "a").join(b.select("b", "bs"), "b").repartition(max(8, min(n * m, 10_000)), "a", "b")
+    return dealt.select("as", "bs").mapInPandas(run, "a long, b long")
 
 
 def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.fuzzy import TITLE_RATIO, part_pairs, text_pairs, title_pairs, titles_match
 from pagemill.functions.text import normalized, strip
 from pagemill.functions.titles import confident
+from pagemill.session import stored_table
 
 ACCEPTED, CONTAINED, CONTAINED_SHARE, CONTAINED_CHARS, LEAST_CHARS = 0.85, 0.99, 0.7, 20, 6
 # Headings that are no title of a work.
@@ -79,6 +80,7 @@ def match_bibliography(works: DataFrame, entries: DataFrame) -> DataFrame:
     titles and whole ones with whole ones.
     """
     usable = entries.where(citable(F.col("type"), F.col("title"), F.col("container"))).select("position", bare_isbn(F.col("isbn")).alias("isbn"), folded_title(main_title(F.col("title"))).alias("main"), folded_title(F.col("title")).alias("full"))
+    usable = stored_table(usable, "entries")
     keyed = works.select("work", bare_isbn(F.col("isbn")).alias("isbn"), "titles")
     by_isbn = keyed.where("isbn <> ''").join(usable.where("isbn <> ''"), "isbn").groupBy("work").agg(F.min("position").alias("position"))
     exact = by_isbn.select("work", "position", F.lit(1.0).alias("score"), F.lit("isbn").alias("how"), F.lit(False).alias("tie"))
